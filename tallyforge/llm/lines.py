@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import free_names, spool
 
 #: A window's hash: 128 bits, as 64 are too few for more than some billions of windows.
 HASHES = "xxhash64({0}) AS h1, xxhash64('second', {0}) AS h2"
@@ -49,12 +49,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """``docs`` with ``text_col`` shortened and a column ``removed_lines`` (replaced if it exists)."""
-    lost = spool(repeated_lines(docs, id_col, text_col, size), "lost-lines").select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
-    rest = F.expr(f"array_join(filter(split({_quoted(text_col)}, '\\n', -1), (x, i) -> NOT array_contains(__removed, i)), '\\n')")
-    out = docs.join(lost, F.col(id_col).cast("long") == F.col("__id"), "left")
-    shorter = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(rest)
-    out = out.withColumn(text_col, shorter).withColumn("removed_lines", F.coalesce(F.size("__removed"), F.lit(0)).cast("long"))
-    return out.drop("__id", "__removed")
+    own, gone = free_names(docs, "__id", "__removed")
+    lost = spool(repeated_lines(docs, id_col, text_col, size), "lost-lines").select(F.col("id").alias(own), F.col("removed").alias(gone))
+    rest = F.expr(f"array_join(filter(split({_quoted(text_col)}, '\\n', -1), (x, i) -> NOT array_contains({gone}, i)), '\\n')")
+    out = docs.join(lost, F.col(id_col).cast("long") == F.col(own), "left")
+    shorter = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest)
+    out = out.withColumn(text_col, shorter).withColumn("removed_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    return out.drop(own, gone)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import free_names, spool
 
 KEY_BITS = ID_BITS = 30
 BITS = KEY_BITS + ID_BITS
@@ -71,18 +71,19 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
 
 def shard(df: DataFrame, limit: int, key: Column, row_id: Column, n_bytes: Column) -> DataFrame:
     """``df`` with ``shard`` (its hash prefix as a bit string; empty if one shard holds all), ``shard_rows``, ``shard_bytes``, ``oversize``."""
-    drop = {"shard", "shard_rows", "shard_bytes", "oversize"}
-    df = df.select(*[c for c in df.columns if c.lower() not in drop], place(key, row_id).alias("__h"), F.coalesce(n_bytes.cast("long"), F.lit(0)).alias("__b"))
-    rows = spool(df.select(F.col("__h").alias("h"), F.col("__b").alias("b")), "places")
+    results = ("shard", "shard_rows", "shard_bytes", "oversize")
+    h, b = free_names(df, "__hash", "__bytes")
+    df = df.select(*[c for c in df.columns if c.lower() not in results], place(key, row_id).alias(h), F.coalesce(n_bytes.cast("long"), F.lit(0)).alias(b))
+    rows = spool(df.select(F.col(h).alias("h"), F.col(b).alias("b")), "places")
     shards = spool(directory(rows, limit), "directory")
-    depths = sorted(r[0] for r in shards.select("depth").distinct().collect())  # at most one for each bit
-    bits = F.expr("lpad(conv(prefix, 10, 2), depth, '0')")
-    shards = shards.select(F.col("depth").alias("__depth"), F.col("prefix").alias("__prefix"), F.when(F.col("depth") == 0, "").otherwise(bits).alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), "oversize")
-    tries = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.expr(_prefix("__h", d)).alias("p")) for d in depths] or [F.struct(F.lit(0).alias("d"), F.lit(0).cast("long").alias("p"))]))
+    depths = sorted(r[0] for r in shards.select("depth").distinct().collect()) or [0]  # at most one for each bit
+    bits = F.expr("CASE WHEN depth = 0 THEN '' ELSE lpad(conv(prefix, 10, 2), depth, '0') END")
+    shards = shards.select("depth", "prefix", bits.alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), "oversize")
     # each hash meets exactly one shard: its prefix at one of the depths in use
-    hashes = rows.select(F.col("h").alias("__h")).distinct().withColumn("__t", tries)
-    of = hashes.join(shards, (F.col("__t.d") == F.col("__depth")) & (F.col("__t.p") == F.col("__prefix"))).drop("__t", "__depth", "__prefix")
-    return df.join(of, "__h").drop("__h", "__b")
+    tries = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(_prefix("h", d)).alias("prefix")) for d in depths]))
+    hashes = rows.select("h").distinct().withColumn("t", tries).select("h", "t.*")
+    of = hashes.join(shards, ["depth", "prefix"]).select(F.col("h").alias(h), *results)
+    return df.join(of, h).drop(h, b)
 
 
 def write_shards(df: DataFrame, path: str) -> None:

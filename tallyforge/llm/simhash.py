@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spool
+from .common import free_names, slices, spool
 from .components import connected_components
 
 SEED, CHUNK = 42, 1 << 15
@@ -170,5 +170,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near duplicates of a document with a smaller identifier; of rows with one identifier all stay."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    (own,) = free_names(docs, "__kept")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()
+    kept = near_duplicates(docs, id_col, text_col).where(first).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
