@@ -7,7 +7,8 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,28 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Bits of the filter of ``may_match``: 256 bitmaps of 4 KB, whatever the input.
+FILTER_BITS = 1 << 23
+
+
+def may_match(rows: DataFrame, key: Column, keys: DataFrame, its_key: Column, flag: str) -> DataFrame:
+    """``rows`` with ``flag``: false only where ``key`` is in no row of ``keys``.
+
+    A broadcast filter of fixed size, so that rows without a partner need not be moved for the join that follows. With very
+    many keys it lets more through, and the join decides.
+    """
+    bucket, bits = free_names(rows, "__bucket", "__bits")
+
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    made = keys.groupBy(F.bitmap_bucket_number(place(its_key)).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(its_key))).alias(bits))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = rows.withColumn(bucket, F.bitmap_bucket_number(place(key))).join(F.broadcast(made), bucket, "left")
+    return on.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(bucket, bits)
+
+
 def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -16,9 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import may_match, scratch_path, spool
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on local disk with copies in the checkpoint; no space is reserved ahead, as there are many small stores.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def _digest(text: Column, digest_bits: int) -> Column:
@@ -43,8 +47,9 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
     stream = stream.select("*", F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("locator"))
     rows = stream.select(F.col(id_col).cast("long").alias("doc_id"), _digest(F.coalesce(F.col(text_col), F.lit("")), digest_bits).alias("digest"), "locator")
     state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("last"), F.count("*").alias("n"))
-    changed, before = f"{checkpoint}/changed", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    changed, before = f"{checkpoint}/changed", {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -55,10 +60,11 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     kind = "digest binary, last struct<doc_id: bigint, locator: string>, n bigint, batch int"
     found = spark.read.schema(kind).parquet(changed) if query.lastProgress or query.recentProgress else spark.createDataFrame([], kind)
     newest = found.groupBy("digest").agg(F.max(F.struct("n", "last")).alias("s"))
@@ -74,7 +80,8 @@ def exact_duplicates(spark: SparkSession, path: str, id_col: str = "doc_id", tex
     out = ["doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256", "locator"]
     # full bytes of the digests that were hit, against the content that the state points to
     hit = state.where("group_size > 1").select("digest", "keep_id")
-    copies = rows.join(hit, "digest")
+    near = may_match(rows, F.col("digest"), hit, F.col("digest"), "near").where("near").drop("near")
+    copies = spool(near.join(hit.hint("merge"), "digest"), "copies")
     content = copies.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("content"))
     differing = copies.join(content, "digest").where(F.col("text") != F.col("content")).select("digest").distinct()
     if differing.isEmpty():
