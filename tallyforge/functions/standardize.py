@@ -156,5 +156,5 @@ def ipv6_to_hex(ip: Column) -> Column:
     left, right = groups[0], F.when(low.contains("::"), groups[1]).otherwise(F.array().cast("array<string>"))
     gap = F.lit(8) - F.size(left) - F.size(right)
     whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)
-    good = low.rlike("^[0-9a-f:]+$") & low.contains(":") & F.forall(whole, lambda g: F.char_length(g) <= 4) & (F.size(whole) == 8)
+    good = low.rlike("^[0-9a-f:]+$") & low.contains(":") & ~low.rlike("::.*::") & F.forall(whole, lambda g: F.char_length(g) <= 4) & (F.size(whole) == 8)
     return F.when(good, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))

@@ -19,7 +19,10 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
-    """``path, modified, length`` of all files below ``root`` with an extension (case ignored) changed in the days given."""
+    """``path, modified, length`` of all files below ``root`` with an extension (case ignored) changed in the days given.
+
+    Spark skips empty files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), "length")
     files = files.where(F.lower(F.regexp_extract("path", r"\.[^./]*$", 0)).isin([e.lower() for e in extensions]))
     if start:
