@@ -3,7 +3,7 @@
 Every run of three consecutive lines that are not blank is hashed. A window that occurs more than once, in one document
 or many, has its first occurrence (smallest document, then place) kept; the lines that its later occurrences cover are
 removed, and overlapping occurrences remove the union of their lines. All in built-in functions: occurrences of a window
-are merged before they are shuffled, and only documents that lose lines are joined to what they lose.
+are merged before they are shuffled, and only documents that may lose lines are moved to what they lose.
 
 Defined results: lines end at a line feed; blank lines (white space only) belong to no window and always stay; documents
 of fewer than three other lines stay as they are, empty and null texts too; rows that share an identifier are one
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, spool
+from .common import free_names, may_match, spool
 
 #: A window's hash: 128 bits, as 64 are too few for more than some billions of windows.
 HASHES = "xxhash64({0}) AS h1, xxhash64('second', {0}) AS h2"
@@ -49,13 +49,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """``docs`` with ``text_col`` shortened and a column ``removed_lines`` (replaced if it exists)."""
-    own, gone = free_names(docs, "__id", "__removed")
+    own, gone, near = free_names(docs, "__id", "__removed", "__near")
     lost = spool(repeated_lines(docs, id_col, text_col, size), "lost-lines").select(F.col("id").alias(own), F.col("removed").alias(gone))
+    key = F.col(id_col).cast("long")
+    flagged = may_match(docs, key, lost, F.col(own), near)
     rest = F.expr(f"array_join(filter(split({_quoted(text_col)}, '\\n', -1), (x, i) -> NOT array_contains({gone}, i)), '\\n')")
-    out = docs.join(lost, F.col(id_col).cast("long") == F.col(own), "left")
+    hit = flagged.where(near).join(lost.hint("merge"), key == F.col(own), "left")
     shorter = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(rest)
-    out = out.withColumn(text_col, shorter).withColumn("removed_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
-    return out.drop(own, gone)
+    hit = hit.withColumn(text_col, shorter).withColumn("removed_lines", F.coalesce(F.size(gone), F.lit(0)).cast("long")).drop(own, gone)
+    return flagged.where(~F.col(near)).withColumn("removed_lines", F.lit(0).cast("long")).unionByName(hit).drop(near)
 
 
 def report(docs: DataFrame) -> DataFrame:
