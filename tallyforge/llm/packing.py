@@ -1,9 +1,10 @@
 """Best-fit packing of tokenised documents into sequences of fixed length.
 
 A document is its ids and an end id. Only longer documents are cut, into full pieces and a last one; a full piece is a
-sequence by itself. The others are dealt by a hash, so that every task sees the same mix of lengths, and packed online:
-a task keeps a fixed number of open sequences in a bitset keyed by free space, puts each piece where the least space
-stays free, and closes the fullest when one too many is open.
+sequence by itself. The others are dealt by a hash, so that every task sees the same mix of lengths, and packed online: a
+task takes its pieces in runs of fixed size, the longest of a run first, keeps a fixed number of open sequences (over all
+its runs) in a bitset keyed by free space, puts each piece where the least space stays free, and closes the fullest when
+one too many is open.
 
 Defined results: a null text counts as empty and is its end id alone; texts are read whole; rows are independent, so
 repeated rows are packed one by one; an empty table gives an empty one; other columns are not read.
@@ -22,7 +23,6 @@ from .bpe import Encoder, encoder, read_vocabulary
 from .common import record_batch, slices, spool
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PACKED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
 class LibraryEncoder(Encoder):
@@ -104,7 +104,7 @@ class OpenSequences:
         return sequence, self.length - space
 
 
-def pack(pieces: DataFrame, length: int = 2048, open_sequences: int = 4096, pieces_per_task: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, length: int = 2048, open_sequences: int = 4096, run_pieces: int = 8192, pieces_per_task: int = 200_000) -> DataFrame:
     """``pieces`` (with ``length`` of 1 to ``length``) with sequence_id and offset.
 
     ``pieces`` is read twice, once for its count: pass a written table. Sequences are numbered by task and order; tasks
@@ -116,11 +116,23 @@ def pack(pieces: DataFrame, length: int = 2048, open_sequences: int = 4096, piec
         from pyspark import TaskContext
 
         held = OpenSequences(length, open_sequences, TaskContext.get().partitionId() << 40)
+        def place(run: pa.Table):
+            run = run.take(np.argsort(-run.column("length").to_numpy(), kind="stable"))
+            placed = [held.place(n) for n in run.column("length").to_pylist()]
+            for i, name in enumerate(("sequence_id", "offset")):
+                run = run.append_column(name, pa.array([p[i] for p in placed], pa.int64()))
+            yield from run.combine_chunks().to_batches()
+
+        waiting = []
         for batch in batches:
-            placed = [held.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64())], schema=PACKED
-            )
+            waiting.append(batch)
+            if sum(map(len, waiting)) >= run_pieces:
+                rows = pa.Table.from_batches(waiting)
+                for at in range(0, len(rows) - run_pieces + 1, run_pieces):
+                    yield from place(rows.slice(at, run_pieces))
+                waiting = rows.slice(len(rows) // run_pieces * run_pieces).to_batches()
+        if waiting:
+            yield from place(pa.Table.from_batches(waiting))
 
     order = [F.xxhash64("doc_id", "piece", "start"), F.col("doc_id"), F.col("piece"), F.col("length"), F.col("ids_crc32")]
     dealt = pieces.select(*PIECES.names).repartition(tasks, *order).sortWithinPartitions(*order)
