@@ -28,10 +28,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: no branch recomputes it, and a lost executor costs nothing."""
+def spool(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read again: no branch recomputes it, and a lost executor costs nothing.
+
+    ``tasks``: that many at most, for tables known to be small.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

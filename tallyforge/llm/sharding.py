@@ -22,6 +22,7 @@ KEY_BITS = ID_BITS = 30
 BITS = KEY_BITS + ID_BITS
 #: Cells for each shard of the expected number, as a power of two.
 FINER = 5
+CELLS_PER_TASK = 200_000
 
 
 def _hash(value: Column, bits: int) -> Column:
@@ -43,30 +44,30 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     """``depth, prefix, n_rows, n_bytes``: the shards of ``rows`` (``h``, ``b``)."""
     total = rows.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
     step = min(BITS, max(4, (max(1, total) // max(1, limit)).bit_length() + FINER))
-    open_rows, shards, done = rows, [], 0
+    open_rows, shards, done, n_open = rows, [], 0, 1
     while True:
         deep = min(BITS, done + step)
-        cells = spool(open_rows.groupBy(F.expr(_prefix("h", deep)).alias("cell")).agg(F.sum("b").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")), "cells")
+        tasks = max(1, (n_open << (deep - done)) // CELLS_PER_TASK)
+        cells = open_rows.groupBy(F.expr(_prefix("h", deep)).alias("cell")).agg(F.sum("b").alias("b"), F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        cells = spool(cells, "cells", tasks)
         up = cells.select("*", F.explode(F.sequence(F.lit(done), F.lit(deep))).alias("depth")).withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {deep} - depth)"))
         sums = up.groupBy("depth", "prefix").agg(F.sum("b").alias("n_bytes"), F.sum("n").alias("n_rows"), (F.min("lo") == F.max("hi")).alias("one"))
-        fits = (F.col("n_bytes") <= limit) | F.col("one")
-        sums = sums.withColumn("fits", fits)
+        sums = spool(sums.withColumn("fits", (F.col("n_bytes") <= limit) | F.col("one")), "sums", tasks)
         # a bucket is split only if it is too large; so a shard fits and the bucket above it does not
         above = sums.where(~F.col("fits")).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
         whole = sums.where("fits").select("depth", "prefix", "n_rows", "n_bytes")
         found = whole.join(above, ["depth", "prefix"], "left_semi")
-        if done == 0:
-            found = found.union(whole.where("depth = 0"))
-        shards.append(spool(found, "shards"))
-        left = spool(sums.where((F.col("depth") == deep) & ~F.col("fits")).select(F.col("prefix").alias("cell")), "open-cells")
-        if left.isEmpty():
+        shards.append(found.union(whole.where("depth = 0")) if done == 0 else found)
+        left = sums.where((F.col("depth") == deep) & ~F.col("fits")).select(F.col("prefix").alias("cell"))
+        n_open = left.count()
+        if not n_open:
             break
         open_rows = open_rows.join(left, F.expr(_prefix("h", deep)) == F.col("cell"), "left_semi")
         done = deep
     out = shards[0]
     for more in shards[1:]:
         out = out.union(more)
-    return out.withColumn("oversize", F.col("n_bytes") > limit)
+    return spool(out.withColumn("oversize", F.col("n_bytes") > limit), "directory", max(1, total // max(1, limit) // CELLS_PER_TASK))
 
 
 def shard(df: DataFrame, limit: int, key: Column, row_id: Column, n_bytes: Column) -> DataFrame:
@@ -75,7 +76,7 @@ def shard(df: DataFrame, limit: int, key: Column, row_id: Column, n_bytes: Colum
     h, b = free_names(df, "__hash", "__bytes")
     df = df.select(*[c for c in df.columns if c.lower() not in results], place(key, row_id).alias(h), F.coalesce(n_bytes.cast("long"), F.lit(0)).alias(b))
     rows = spool(df.select(F.col(h).alias("h"), F.col(b).alias("b")), "places")
-    shards = spool(directory(rows, limit), "directory")
+    shards = directory(rows, limit)
     depths = sorted(r[0] for r in shards.select("depth").distinct().collect()) or [0]  # at most one for each bit
     bits = F.expr("CASE WHEN depth = 0 THEN '' ELSE lpad(conv(prefix, 10, 2), depth, '0') END")
     shards = shards.select("depth", "prefix", bits.alias("shard"), F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"), "oversize")
