@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as A
+from . import file_queries
 from .functions import dates, ids
 from .functions import standardize as S
 from .operators import checks, coverage, filters, joins, quality, store, usage
 from .sources import dumps
 from .streaming import ingest as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(file_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(file_queries.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
@@ -616,17 +617,9 @@ def table_checks(spark, d):
 # Streams
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_ingest(spark, d):
-    out = _shared(spark, "ingest")
+    out = file_queries.scratch(spark, "ingest")
     stream = streams.stream_table(spark, f"{d}/events.parquet").select("event_id", "user_id", "event_type")
     streams.ingest(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -638,7 +631,7 @@ SELECT date_trunc('hour', local_datetime)::TIMESTAMP AS hour, ip_address, issn,
 FROM raw_hits GROUP BY date_trunc('hour', local_datetime), client_name, ip_address, collection, issn, pid_v2
 """)
 def stream_sessions(spark, d):
-    out = _shared(spark, "sessions")
+    out = file_queries.scratch(spark, "sessions")
     hits = A.raw_hits(spark, d).withColumns({"pid_v3": F.lit(""), "pid_generic": F.lit("")})
     hits.select("local_datetime", *usage.SESSION, *usage.ITEM).write.parquet(f"{out}/hits")
     sessions = streams.hourly_sessions(streams.stream_table(spark, f"{out}/hits"), "3650 days")
@@ -650,7 +643,7 @@ def stream_sessions(spark, d):
 
 @query(_usage_sql(30, "hour"))
 def stream_merge(spark, d):
-    out = _shared(spark, "merge")
+    out = file_queries.scratch(spark, "merge")
     target = store.UsageStore(spark, f"{out}/store")
     hits = checked(spark, d).where("is_valid")
     for part in (0, 1):  # two batches of one stream, each with rows of the same days

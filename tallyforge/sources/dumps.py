@@ -18,6 +18,9 @@ ARTICLE_PAGE = (
 DOCUMENT_PAGE = "documents map<string, struct<journal_acronym: string, pid_v2: string, pid_v3: string, publication_date: string, default_language: string>>, pages int"
 JOURNAL = "collection string, acronym string, title string, electronic_issn string, print_issn string, issn string, publisher_name array<string>, subject_areas array<string>, wos_subject_areas array<string>"
 
+#: Fixed value: the type of a container in a dataset dump.
+CONTAINER = "dataverse"
+
 
 def read_article_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row per object of the pages."""
@@ -47,7 +50,7 @@ def read_oai_records(spark: SparkSession, path: str) -> DataFrame:
 def read_dataset_tree(containers: DataFrame, datasets: DataFrame, files: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Files of published datasets: containers (id, title, type), datasets (id, container_id, type, doi, published), files
     (dataset_id, file_id, file_name, file_url, file_persistent_id). A DOI is required; undated datasets are kept."""
-    c = containers.where("type = 'dataverse'").select(F.col("id").alias("container_id"), "title")
+    c = containers.where(F.col("type") == CONTAINER).select(F.col("id").alias("container_id"), "title")
     d = datasets.where("type = 'dataset'").select(F.col("id").alias("dataset_id"), "container_id", S.std_doi(F.col("doi")).alias("dataset_doi"), F.try_to_date("published").alias("dataset_published"))
     d = publication_window(d.where("dataset_doi is not null"), start, end, "dataset_published")
     return c.join(d, "container_id").join(files, "dataset_id")
