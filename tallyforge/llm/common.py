@@ -28,6 +28,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def spool(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read again: no branch recomputes it, and a lost executor costs nothing.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import may_match, scratch_path, spool
+from .common import exists, may_match, scratch_path, spool
 
 #: State on local disk with copies in the checkpoint; no space is reserved ahead, as there are many small stores.
 STATE_SETTINGS = {
@@ -66,7 +66,7 @@ def stream_state(spark: SparkSession, path: str, id_col: str = "doc_id", text_co
             else:
                 spark.conf.set(k, v)
     kind = "digest binary, last struct<doc_id: bigint, locator: string>, n bigint, batch int"
-    found = spark.read.schema(kind).parquet(changed) if query.lastProgress or query.recentProgress else spark.createDataFrame([], kind)
+    found = spark.read.schema(kind).parquet(changed) if exists(spark, changed) else spark.createDataFrame([], kind)
     newest = found.groupBy("digest").agg(F.max(F.struct("n", "last")).alias("s"))
     return newest.select("digest", "s.last.doc_id", "s.n", "s.last.locator")
 

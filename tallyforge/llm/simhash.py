@@ -27,6 +27,8 @@ from .common import free_names, slices, spool
 from .components import connected_components
 
 SEED, CHUNK = 42, 1 << 15
+#: Bits in which linked fingerprints may differ; the keys are made for this number.
+BITS = 2
 #: Widths of the three segments, from the low bits up.
 SEGMENTS = (22, 21, 21)
 #: Generator polynomial of the [23, 12] Golay code (fixed value).
@@ -119,10 +121,8 @@ def _near_words(fp: np.ndarray) -> np.ndarray:
     return fp[:, None] ^ np.concatenate(([0], 1 << np.arange(64, dtype=np.uint64))).astype(np.uint64)
 
 
-def links(nodes: DataFrame, bits: int = 2, pairs_up_to: int = 24) -> DataFrame:
+def links(nodes: DataFrame, pairs_up_to: int = 24) -> DataFrame:
     """Edges ``u, v`` between the ``rep`` of distinct fingerprints ``fp`` whose closure is that of all pairs within two bits."""
-    if bits > 2:
-        raise ValueError("the keys are complete up to two differing bits")
 
     def make_keys(batches):
         for batch in batches:
@@ -145,10 +145,8 @@ def links(nodes: DataFrame, bits: int = 2, pairs_up_to: int = 24) -> DataFrame:
     shared = keys.join(sizes, "key")
     small = shared.where(F.col("n") <= pairs_up_to).select("key", "fp", "rep")
     other = small.select("key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    pairs = small.join(other, "key").where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= bits))
+    pairs = small.join(other, "key").where((F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= BITS))
     full = shared.where(F.col("n") > pairs_up_to).select("fp", "rep").distinct()
-    if bits < 2:
-        raise ValueError("full keys are linked at two bits")
     words = full.mapInArrow(make_words, "word long, rep long")
     least = words.groupBy("word").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = words.join(least, "word").where("rep <> v")

@@ -124,6 +124,7 @@ def test_exact_state_goes_on_with_new_files(spark, tmp_path):
     got = exact.stream_state(spark, path, checkpoint=held).collect()
     assert {(r.doc_id, r.n) for r in got} == {(3, 2), (2, 1), (9, 2)}
     assert all("#" in r.locator for r in got)
+    assert exact.stream_state(spark, path, checkpoint=held).count() == 3  # nothing new
 
 
 def test_exact_empty_table(spark, none, tmp_path):
