@@ -26,7 +26,9 @@ from pyspark.sql import Window as W
 
 from .common import spool
 
-PROJECTIONS, LEAF, SEED = 8, 32, 11
+PROJECTIONS, LEAF, SEED = 8, 256, 11
+#: Chunks of queries that meet one copy of a block; more copies of the blocks take the rest.
+CHUNKS_EACH = 4
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -114,20 +116,19 @@ def search_block(block: dict, query_ids: np.ndarray, queries: np.ndarray, longes
     held = k + 8  # a few more than k, for the query itself and rounding
     best = np.full((len(queries), held), -np.inf)
     which = np.full((len(queries), held), -1, np.int64)
-    active, step = np.arange(len(queries)), 4
-    for r in range(0, len(low), step):
-        for leaf_rank in range(r, min(r + step, len(low))):
-            leaves = turn[active, leaf_rank]
-            for leaf in np.unique(leaves):
-                q = active[leaves == leaf]
-                a, b = starts[leaf], starts[leaf + 1]
-                score = np.concatenate([best[q], queries[q] @ vectors[a:b].T], axis=1)
-                index = np.concatenate([which[q], np.broadcast_to(np.arange(a, b), (len(q), b - a))], axis=1)
-                top = np.argpartition(-score, held - 1, axis=1)[:, :held]
-                best[q], which[q] = np.take_along_axis(score, top, 1), np.take_along_axis(index, top, 1)
-        if r + step < len(low):
+    active = np.arange(len(queries))
+    for r in range(len(low)):
+        leaves = turn[active, r]
+        for leaf in np.unique(leaves):
+            q = active[leaves == leaf]
+            a, b = starts[leaf], starts[leaf + 1]
+            score = np.concatenate([best[q], queries[q] @ vectors[a:b].T], axis=1)
+            top = np.argpartition(-score, held - 1, axis=1)[:, :held]
+            best[q] = np.take_along_axis(score, top, 1)
+            which[q] = np.where(top < held, np.take_along_axis(which[q], np.minimum(top, held - 1), 1), top + (a - held))
+        if r + 1 < len(low):
             kth = -np.partition(-best[active], k, axis=1)[:, k]  # one more than k, as the query may be its own
-            going = bounds[active, r + step] < limit * np.maximum(lengths[active] - 2 * kth, 0)
+            going = bounds[active, r + 1] < limit * np.maximum(lengths[active] - 2 * kth, 0)
             active = active[going | np.isinf(kth)]
             if not len(active):
                 break
@@ -164,8 +165,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, longest: float, k: int = 20,
     blocks = spool(blocks.applyInArrow(build, "block long, ids binary, firsts binary, vectors binary, starts binary, low binary, high binary"), "blocks")
     chunks = queries.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_chunks))).groupBy("chunk")
     chunks = spool(chunks.applyInArrow(gather, "chunk long, query_ids binary, queries binary"), "chunks")
-    pairs = chunks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(blocks, "block")
-    best = pairs.drop("block", "chunk").mapInArrow(search, RESULT)
+
+    def numbers(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+    # every chunk with every block, dealt by block and group of chunks
+    chunks = chunks.select("*", numbers(n_blocks).alias("block"), F.floor(F.col("chunk") / CHUNKS_EACH).alias("group"))
+    blocks = blocks.select("*", numbers(-(-n_chunks // CHUNKS_EACH)).alias("group"))
+    best = chunks.join(blocks, ["block", "group"]).drop("block", "group", "chunk").mapInArrow(search, RESULT)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
