@@ -29,7 +29,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
 #: Entries of each half of a worker's caches, and the longest text that is kept there.
-CACHE_PIECES, CACHE_WORDS, CACHE_LENGTH = 500_000, 400_000, 48
+CACHE_PIECES, CACHE_WORDS, CACHE_LENGTH = 200_000, 150_000, 48
 
 
 def byte_symbols() -> list[str]:
