@@ -22,14 +22,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import hold, slices
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: str.split() also cuts at these; the vocabulary's normaliser does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
-#: Entries of each half of a worker's caches, and the longest text that is kept there.
-CACHE_PIECES, CACHE_WORDS, CACHE_LENGTH = 200_000, 150_000, 48
+#: Entries (pieces, words) of each half of a worker's caches, about 400 MB in all, and the longest text that is kept there.
+CACHE, CACHE_LENGTH = (500_000, 400_000), 48
 
 
 def byte_symbols() -> list[str]:
@@ -98,7 +98,7 @@ class Cache:
 class Encoder:
     """Encodes and decodes with the vocabulary in ``source``, the JSON text of a BPE file with word ends."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, cache: tuple[int, int] = CACHE):
         spec = json.loads(source)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
@@ -112,7 +112,7 @@ class Encoder:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.strings = [strings.get(i, "") for i in range(max(strings) + 1)]
-        self.pieces, self.words = Cache(CACHE_PIECES), Cache(CACHE_WORDS)
+        self.pieces, self.words = map(Cache, cache)
 
     def words_of(self, piece: str) -> list[str]:
         """Words of a run of characters without white space, special tokens among them."""
@@ -175,16 +175,9 @@ class Encoder:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder(source: str, kind: type[Encoder] = Encoder) -> Encoder:
+def encoder(source: str, kind: type[Encoder] = Encoder, cache: tuple[int, int] = CACHE) -> Encoder:
     """One per Python worker, so that its cache lasts over tasks."""
-    key = kind.__name__, hash(source)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = kind(source)
-    return _encoders[key]
+    return hold((kind.__name__, hash(source), cache), lambda: kind(source, cache))
 
 
 def read_vocabulary(df: DataFrame, path: str):

@@ -28,6 +28,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: What the operator that runs in this Python worker keeps between tasks.
+_held: dict = {}
+
+
+def hold(key=None, make=None):
+    """``make()``, kept for later tasks of this worker under ``key``; what another operator has kept is let go."""
+    if key not in _held:
+        _held.clear()
+        if make:
+            _held[key] = make()
+    return _held.get(key)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)

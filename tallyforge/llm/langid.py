@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import hold, slices
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -68,6 +68,7 @@ def count_trigrams(labelled: DataFrame, text_col: str = "text", lang_col: str =
     """``lang, bucket, n`` over all rows whose text and language are not null."""
 
     def run(batches):
+        hold()
         counts: dict[str, np.ndarray] = {}
 
         def out():
@@ -124,6 +125,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", ambiguous_below
     sent = df.sparkSession.sparkContext.broadcast(model)  # languages x buckets, whatever the number of rows
 
     def run(batches):
+        hold()
         model = sent.value
         for whole in batches:
             for batch in slices(whole, text_col, 4 << 20):

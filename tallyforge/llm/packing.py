@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, encoder, read_vocabulary
+from .bpe import CACHE, Encoder, encoder, read_vocabulary
 from .common import record_batch, slices, spool
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -28,10 +28,10 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 class LibraryEncoder(Encoder):
     """The same ids with the words merged by the tokenizers library, many in one call."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, cache: tuple[int, int] = CACHE):
         from tokenizers import Tokenizer
 
-        super().__init__(source)
+        super().__init__(source, cache)
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
         self.library.no_padding()
@@ -52,12 +52,12 @@ class LibraryEncoder(Encoder):
         return out
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache: tuple[int, int] = CACHE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit integers)."""
     source, end = read_vocabulary(docs, vocabulary), end_id.to_bytes(4, "little")
 
     def run(batches):
-        coder = encoder(source.value, LibraryEncoder)
+        coder = encoder(source.value, LibraryEncoder, cache)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 out = {f.name: [] for f in PIECES}
@@ -139,6 +139,7 @@ def pack(pieces: DataFrame, length: int = 2048, open_sequences: int = 4096, run_
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048) -> DataFrame:
-    """One row per piece of every document, with its sequence and its place there."""
-    return pack(spool(cut_pieces(docs, vocabulary, length), "pieces"), length)
+def pack_documents(docs: DataFrame, vocabulary: str, length: int = 2048, cache: tuple[int, int] = CACHE) -> DataFrame:
+    """One row per piece of every document, with its sequence and its place there. ``cache``: entries of a worker's caches
+    of pieces and words, which change the time alone."""
+    return pack(spool(cut_pieces(docs, vocabulary, length, cache=cache), "pieces"), length)

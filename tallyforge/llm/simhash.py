@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, slices, spool
+from .common import free_names, hold, slices, spool
 from .components import connected_components
 
 SEED, CHUNK = 42, 1 << 15
@@ -57,6 +57,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``doc_id, fp``: the fingerprint as a signed 64-bit integer."""
 
     def run(batches):
+        hold()
         for whole in batches:
             for batch in slices(whole, "text", 8 << 20):
                 found = np.array([fingerprint(t, words_each) for t in batch.column("text").to_pylist()], np.uint64)
