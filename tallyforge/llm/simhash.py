@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, hold, slices, spool
+from .common import hold, slices, spool
 from .components import connected_components
+from .similar import keep_one_of_each  # noqa: F401
 
 SEED, CHUNK = 42, 1 << 15
 #: Bits in which linked fingerprints may differ; the keys are made for this number.
@@ -165,11 +166,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the near duplicates of a document with a smaller identifier; of rows with one identifier all stay."""
-    (own,) = free_names(docs, "__kept")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("component_id").isNull()
-    kept = near_duplicates(docs, id_col, text_col).where(first).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(own)), "left_semi")
