@@ -3,8 +3,9 @@
 A page is cut into text nodes, each with its path of tags from the root. Nodes inside elements that never hold article
 text (scripts, menus, forms and the like, by tag, role or name) are left out. For each path the text length and the
 punctuation of its nodes are set against the number of its nodes; along the page these ratios are smoothed, fused by
-multiplication and compared with their spread, which selects the content paths. The innermost container that holds the
-selected text is the article, and all that is not left out is its text.
+multiplication and compared with their spread, which selects the content paths. Output are the nodes of content paths,
+wherever they stand; all of an article or main element that holds some; and, of the containers around them, the text that
+stands in no other container and is not links alone.
 
 Defined results: a null or empty page, or one without text, gives an empty text; unclosed and misnested tags are
 tolerated; pages are read whole and independently, so repeated rows give repeated results; an empty table gives an empty
@@ -36,12 +37,15 @@ BLOCK = frozenset(
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINER = frozenset("article main section div td body".split())
-#: Names (words of class and id) of what surrounds an article.
+#: Names (words of class and id) of what surrounds an article: a block named by these alone is left out; one that has other
+#: words as well is doubtful, and only its content paths are output.
 OUT_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
     "masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus respond "
     "replies share sharing social related recommended recommendations widget toolbar pagination pager skip".split()
 )
+#: Elements whose names are looked at: those that hold other blocks, so no headings, paragraphs or inline elements.
+NAMED = frozenset("div section ul ol dl table details fieldset center".split())
 LAYOUT_NAMES = frozenset("has no with without".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -50,8 +54,9 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 
-def left_out(name: str, rest: str, in_article: bool) -> bool:
-    """Whether an element with this start tag never holds article text."""
+def left_out(name: str, rest: str, in_article: bool) -> bool | None:
+    """Whether an element with this start tag never holds article text; None if its names leave it in doubt."""
+    doubt = False
     if name in OUT or name == "header" and not in_article:
         return True
     if name in ("html", "body", "main", "article") or "=" not in rest and "hidden" not in rest:
@@ -62,25 +67,29 @@ def left_out(name: str, rest: str, in_article: bool) -> bool:
             return True
         if key == "role" and value.lower() in OUT_ROLES:
             return True
-        if key in ("class", "id"):
+        if key in ("class", "id") and name in NAMED:
             for each in value.split():
                 words = {w.lower() for w in WORDS.findall(each)}
-                if words & OUT_NAMES and not words & LAYOUT_NAMES:
+                if words and words <= OUT_NAMES:
                     return True
-    return False
+                doubt = doubt or bool(words & OUT_NAMES and not words & LAYOUT_NAMES)
+    return None if doubt else False
 
 
-def text_nodes(page: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
-    """(path, text, block, containers around it) of every text node that is not left out, in page order."""
+def text_nodes(page: str) -> list[tuple[str, str, int, tuple[int, ...], int]]:
+    """(path, text, block, containers around it, outermost article) of every text node that is not left out, in page order.
+
+    In the path, doubtful elements have a question mark; article is 0 outside of article and main.
+    """
     nodes, stack, block, n_containers = [], [], 0, 0  # stack: (name, path, out, containers, in an article)
     at, end = 0, len(page)
-    path, out, around, in_article = "", False, (), False
+    path, out, around, in_article = "", False, (), 0
     while at < end:
         tag = TAG.search(page, at)
         stop = tag.start() if tag else end
         if stop > at and not out:
             text = html.unescape(page[at:stop])
-            nodes.append((path, text, block, around))
+            nodes.append((path, text, block, around, in_article))
         if not tag:
             break
         at = tag.end()
@@ -116,17 +125,19 @@ def text_nodes(page: str) -> list[tuple[str, str, int, tuple[int, ...]]]:
                         break
                     if stack[i][0] in limit:
                         break
-            path, out, around, in_article = stack[-1][1:] if stack else ("", False, (), False)
+            path, out, around, in_article = stack[-1][1:] if stack else ("", False, (), 0)
             if name in CONTAINER:
                 n_containers += 1
                 around = (*around, n_containers)
-            stack.append((name, f"{path}/{name}", out or left_out(name, tag[3] or "", in_article), around, in_article or name in ("article", "main")))
-        path, out, around, in_article = stack[-1][1:] if stack else ("", False, (), False)
+            never = left_out(name, tag[3] or "", bool(in_article))
+            within = in_article or (n_containers if name in ("article", "main") else 0)
+            stack.append((name, f"{path}/{name}{'?' if never is None else ''}", out or bool(never), around, within))
+        path, out, around, in_article = stack[-1][1:] if stack else ("", False, (), 0)
     return nodes
 
 
 def content_paths(paths: list[str], lengths: np.ndarray, marks: np.ndarray, spread: float = 0.5) -> set[str]:
-    """Paths whose smoothed and fused ratios of text and punctuation reach ``spread`` standard deviations."""
+    """Paths whose fused ratios of text and punctuation, smoothed and their own, reach ``spread`` standard deviations."""
     names, of = np.unique(np.array(paths, object), return_inverse=True)
     n = np.bincount(of)
     text_ratio, mark_ratio = np.bincount(of, lengths) / n, np.bincount(of, marks) / n
@@ -135,8 +146,9 @@ def content_paths(paths: list[str], lengths: np.ndarray, marks: np.ndarray, spre
     smooth = [np.convolve(np.pad(r[of], 2, mode="edge"), kernel, "valid") for r in (text_ratio, mark_ratio + 1)]
     fused = smooth[0] * smooth[1]
     by_path = np.bincount(of, fused) / n
-    found = by_path >= min(spread * fused.std(), by_path.max())
-    return set(names[found])
+    own = text_ratio * (mark_ratio + 1)
+    both = np.minimum(by_path, own)  # a short path beside a long one has a large smoothed ratio only
+    return set(names[both >= min(spread * fused.std(), both.max())])
 
 
 def main_text(page: str | None) -> str:
@@ -146,18 +158,23 @@ def main_text(page: str | None) -> str:
         return ""
     lengths = np.array([len(x[1].strip()) for x in solid], float)
     paths = content_paths([x[0] for x in solid], lengths, np.array([len(PUNCTUATION.findall(x[1])) for x in solid], float))
-    inside: dict[int, float] = {}
-    total = 0.0
-    for x, n in zip(solid, lengths):
-        if x[0] in paths:
-            total += n
-            for c in x[3]:
-                inside[c] = inside.get(c, 0) + n
-    region = max((c for c, n in inside.items() if n >= 0.9 * total), default=0)  # containers are numbered from the outside in
+    chosen = [x for x in solid if x[0] in paths]
+    with_text = {x[2] for x in chosen}
+    articles = {x[4] for x in chosen} - {0}
+    containers = {c for x in chosen for c in x[3]} | {0}
+    links_only = {x[2] for x in solid} - {x[2] for x in solid if "/a/" not in f"{x[0]}/"}
+
+    def kept(path: str, block: int, around: tuple[int, ...], article: int) -> bool:
+        if block in with_text:
+            return True
+        if "?" in path:
+            return False
+        return article in articles or (around[-1] if around else 0) in containers and block not in links_only
+
     blocks: dict[int, list[str]] = {}
-    for _, text, block, around in nodes:
-        if not region or region in around:
-            blocks.setdefault(block, []).append(text)
+    for path, text, *where in nodes:
+        if kept(path, *where):
+            blocks.setdefault(where[0], []).append(text)
     return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
 
 
