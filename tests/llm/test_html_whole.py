@@ -14,3 +14,13 @@ def test_all_of_the_article_is_kept():
 def test_parts_outside_one_container_are_kept():
     assert main_text(f"<body><div><p>{LONG}</p></div><div><p>{SHORT}</p></div></body>") == f"{LONG.strip()} {SHORT}"
     assert main_text(f"<body><h1>T</h1><p>lead</p><div><p>{LONG}</p></div></body>") == f"T lead {LONG.strip()}"
+
+
+def test_paths_decide_what_is_output():
+    assert main_text(f"<body><div class=links>Home About</div><p>{LONG}</p></body>") == LONG.strip()
+    assert main_text(f"<body><div class='related-items'><p>More</p></div><article><p>{LONG}</p></article></body>") == LONG.strip()
+
+
+def test_one_listed_word_in_a_name_drops_no_article_part():
+    page = f"<body><article><p>{LONG}</p><h2 id='related-work'>Related work</h2><p>{LONG}</p><section id='social-impact'><p>{SHORT} {LONG}</p></section></article></body>"
+    assert main_text(page) == f"{LONG.strip()} Related work {LONG.strip()} {SHORT} {LONG.strip()}"
