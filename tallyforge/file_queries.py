@@ -236,6 +236,19 @@ def row_widths(spark, d):
     return quality.check_widths(lines, 3).select("doc_id", "message")
 
 
+@query(r"""
+SELECT doc_id, line, CASE WHEN n < 3 THEN 'fewer values than columns' ELSE 'more values than columns' END AS message
+FROM (SELECT doc_id, line, len(string_split(regexp_replace(l, '"[^"]*"', '', 'g'), ',')) AS n
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)
+      WHERE NOT regexp_full_match(l, '[\s\x0b\x{85}\p{Z}]*'))
+WHERE n <> 3
+""")
+def all_row_widths(spark, d):
+    """Every line of every text; ``row_widths`` has first lines of texts without quotes only."""
+    lines = A.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "value"))
+    return quality.check_widths(lines.withColumn("line", (F.col("at") + 1).cast("long")), 3).select("doc_id", "line", "message")
+
+
 @query("SELECT 'not an integer' AS message, min(doc_id)::VARCHAR AS row_id, 'lang' AS \"column\" FROM documents WHERE lang <> ''")
 def first_error(spark, d):
     return quality.check_table(A.table(spark, d, "documents"), [quality.Rule("lang", kind="integer")], "doc_id", first_only=True)

@@ -213,3 +213,11 @@ def test_closed_hours_equal_the_batch(spark):
     hits = spark.createDataFrame(rows, kind)
     hours = [ingest.closed_hour_clicks(hits.where(F.hour("local_datetime") == h)) for h in (0, 1)]
     assert hours[0].union(hours[1]).where("kept").count() == usage_documents(hits, Rules()).agg(F.sum("total_investigations")).first()[0]
+
+
+def test_widths_of_later_lines_and_of_quoted_separators(spark, tmp_path):
+    from tallyforge import queries
+
+    spark.createDataFrame([(1, 'a,b,c\nx\n\n"a,b",c,d'), (2, 'say "x,y"'), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["all_row_widths"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.line, r.message) for r in got} == {(1, 2, "fewer values than columns"), (2, 1, "fewer values than columns")}
