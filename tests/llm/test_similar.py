@@ -53,3 +53,9 @@ def test_the_stage_drops_near_copies(spark):
     texts = near_texts()
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in similar.keep_one_of_each(rows).collect()} == set(brute_groups(texts))
+
+
+def test_one_row_of_each_group_stays(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (None, "d e f"), (None, "d e f"), (None, "g h i"), (3, None)]
+    kept = similar.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "d e f"), (0, "g h i"), (1, "a b c"), (3, "")]
