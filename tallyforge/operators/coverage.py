@@ -46,13 +46,15 @@ def validate_files(lines: DataFrame, fraction: float = 0.1, min_share: float = 0
     """Per file, from a sample of its lines by hash: share of good lines, probable date (most frequent, ties to the earlier)
     and status ``QUE`` or ``INV``. With ``named_date`` the probable date must be near the date in the file's name.
 
-    ``fraction`` is the feature: 1.0 reads every line.
+    ``fraction`` is the feature: 1.0 takes every line. A file without a line in the sample is judged by all of its lines.
     """
-    sample = lines.where(F.pmod(F.xxhash64(file_col, seq), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    in_sample = F.pmod(F.xxhash64(file_col, seq), F.lit(1_000_000)) < int(fraction * 1_000_000)
     names = [file_col, *([named_date] if named_date else [])]
-    by = sample.groupBy(*names, F.to_date("local_datetime").alias("d")).agg(F.count("*").alias("n"), F.count_if(F.col("reject_reason").isNull()).alias("good"))
+    by = lines.groupBy(*names, F.to_date("local_datetime").alias("d"), in_sample.alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("reject_reason").isNull()).alias("good"))
     top = F.max(F.when(F.col("d").isNotNull(), F.struct("good", (-F.unix_date("d")).alias("m"), "d"))).alias("top")
-    out = by.groupBy(*names).agg(F.sum("n").alias("sampled"), (F.sum("good") / F.sum("n")).alias("share"), top).withColumn("probable_date", F.col("top.d")).drop("top")
+    each = by.groupBy(*names, "s").agg(F.sum("n").alias("sampled"), (F.sum("good") / F.sum("n")).alias("share"), top).withColumn("probable_date", F.col("top.d")).drop("top")
+    # the sample; all lines where it has none
+    out = each.groupBy(*names).agg(F.max_by(F.struct("sampled", "share", "probable_date"), "s").alias("r")).select(*names, "r.*")
     good = (F.col("share") >= min_share) & F.col("probable_date").isNotNull()
     if named_date:
         good = good & (F.col(named_date).isNull() | (F.abs(F.date_diff("probable_date", named_date)) <= days_delta))

@@ -98,3 +98,12 @@ def test_null_record_gives_null_fields(spark):
     df = spark.createDataFrame([(None,), ({"issn": "1"},)], "item struct<issn: string>")
     out = checks.item_access_data(df, F.lit("aaa"), {"en": "en"}, record="item").collect()
     assert out[0].collection is None and (out[1].collection, out[1].media_language, out[1].pid_v2) == ("aaa", "un", "")
+
+
+def test_files_without_sampled_lines_are_validated(spark):
+    from tallyforge.operators.coverage import validate_files
+
+    rows = [(f"f{i}", 0, "2024-01-02 03:04:05", None) for i in range(30)]
+    lines = spark.createDataFrame(rows, "file string, seq long, local_datetime string, reject_reason string")
+    got = validate_files(lines).collect()
+    assert {(r.file, r.sampled, r.status) for r in got} == {(f"f{i}", 1, "QUE") for i in range(30)}
