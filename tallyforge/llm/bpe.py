@@ -1,8 +1,8 @@
 """BPE encoding and decoding with a given vocabulary file.
 
-A text is cut at white space; each piece is normalised, cut into words and merged by a priority queue of merge ranks
-over a doubly linked symbol list. White space never joins two pieces, so the ids of a piece do not depend on its
-neighbours and a bounded per-worker cache of pieces is exact.
+A text is cut at ASCII white space; each distinct piece of a batch is normalised, cut into words (at other white space
+too) and merged by a priority queue of merge ranks over a doubly linked symbol list. White space never joins two pieces,
+so the ids of a piece do not depend on its neighbours and a bounded per-worker cache of pieces is exact.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty text; texts of any
 length are handled whole; strings of the special tokens inside a text become those tokens; rows are independent, so
@@ -15,9 +15,11 @@ import heapq
 import json
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +27,10 @@ from pyspark.sql import functions as F
 from .common import hold, slices
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: str.split() also cuts at these; the vocabulary's normaliser does not.
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
-SPACE = regex.compile(r"[^\S\x1c-\x1f]+")
-#: Entries (pieces, words) of each half of a worker's caches, about 400 MB in all, and the longest text that is kept there.
-CACHE, CACHE_LENGTH = (500_000, 400_000), 48
+#: Most pieces: letters of Latin-1, which no normal form changes, and ASCII marks that are one word (no apostrophe).
+LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+#: Entries (odd pieces, words) of each half of a worker's caches, about 400 MB in all, and the longest text that is kept there.
+CACHE, CACHE_LENGTH = (400_000, 500_000), 48
 
 
 def byte_symbols() -> list[str]:
@@ -82,17 +83,20 @@ class Cache:
     def __init__(self, most: int):
         self.most, self.new, self.old = most, {}, {}
 
-    def find(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(key) <= CACHE_LENGTH:
-            if len(self.new) >= self.most:
-                self.new, self.old = {}, self.new
-            self.new[key] = value
+    def get_all(self, keys: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Values of distinct keys; those that are not held are made, all in one call."""
+        found = list(map(self.new.get, keys))
+        missing = [k for k, f in zip(keys, found) if f is None]
+        if not missing:
+            return found
+        unknown = [k for k in missing if k not in self.old]
+        values = dict(zip(unknown, make(unknown)))
+        if len(values) < len(missing):
+            values |= {k: self.old[k] for k in missing if k not in values}
+        if len(self.new) + len(missing) > self.most:
+            self.new, self.old = {}, self.new
+        self.new.update((k, values[k]) for k in missing[: self.most] if len(k) <= CACHE_LENGTH)
+        return [values[k] if f is None else f for k, f in zip(keys, found)]
 
 
 class Encoder:
@@ -111,7 +115,7 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        self.strings = [strings.get(i, "") for i in range(max(strings) + 1)]
+        self.strings = pa.array([strings.get(i, "") for i in range(max(strings) + 1)], pa.string())
         self.pieces, self.words = map(Cache, cache)
 
     def words_of(self, piece: str) -> list[str]:
@@ -125,54 +129,52 @@ class Encoder:
         if not piece.isascii():
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         piece = piece.lower()
-        if piece.isalpha():
-            return [piece]
-        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return WORD.findall(piece)
+        return [piece] if piece.isalpha() else WORD.findall(piece)
 
     def merge_words(self, words: list[str]) -> list[bytes]:
         out = []
         for word in words:
             raw = word.encode("utf-8", "replace")
             ids = [self.inner[b] for b in raw]
-            ids[-1] = self.last[raw[-1]]
+            ids[-1:] = [self.last[b] for b in raw[-1:]]
             out.append(array("I", merge_symbols(ids, self.table)).tobytes())
         return out
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that the front of the cache does not hold, as little-endian unsigned 32-bit integers."""
-        ids, cut, words, new = {}, {}, {t: i.to_bytes(4, "little") for t, i in self.special.items()}, []
-        for p in pieces:
-            if (found := self.pieces.find(p)) is not None:
-                ids[p] = found
-                continue
-            cut[p] = self.words_of(p)
-            for w in cut[p]:
-                if w not in words:
-                    if (found := self.words.find(w)) is None:
-                        new.append(w)
-                    words[w] = found
-        for w, found in zip(new, self.merge_words(new)):
-            words[w] = found
-            self.words.put(w, found)
-        for p, ws in cut.items():
-            ids[p] = b"".join([words[w] for w in ws])
-            self.pieces.put(p, ids[p])
-        return ids
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        get, cut, found, missing = self.pieces.new.get, [], [], set()
-        for text in texts:
-            cut.append([x for x in SPACE.split(text) if x] if any(c in text for c in NOT_SPACE) else text.split())
-            found.append(list(map(get, cut[-1])))
-            if None in found[-1]:
-                missing.update([p for p, f in zip(cut[-1], found[-1]) if f is None])
-        learned = self.learn(missing)
-        return [b"".join([learned[p] if f is None else f for p, f in zip(ps, fs)] if None in fs else fs) for ps, fs in zip(cut, found)]
-
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def _odd(self, pieces: list[str]) -> list[bytes]:
+        cut = [self.words_of(p) for p in pieces]
+        words = list({w for ws in cut for w in ws} - self.special.keys())
+        known = dict(zip(words, self.words.get_all(words, self.merge_words)))
+        known |= {t: i.to_bytes(4, "little") for t, i in self.special.items()}
+        return [b"".join([known[w] for w in ws]) for ws in cut]
+
+    def ids_of(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces as binary: little-endian unsigned 32-bit integers. Plain ones are cut in Arrow."""
+        plain = pc.match_substring_regex(pieces, f"^{LETTERS}+{MARKS}*$")
+        some, odd = pieces.filter(plain), pieces.filter(pc.invert(plain)).to_pylist()
+        tails = pc.replace_substring_regex(some, f"^{LETTERS}+", "").dictionary_encode()
+        words = pc.utf8_lower(pc.replace_substring_regex(some, f"{MARKS}+$", "")).dictionary_encode()
+        known = [pa.array(self.words.get_all(x.dictionary.to_pylist(), self.merge_words), pa.binary()).take(x.indices) for x in (words, tails)]
+        both = pa.concat_arrays([pc.binary_join_element_wise(*known, b""), pa.array(self.pieces.get_all(odd, self._odd), pa.binary())])
+        plain = plain.to_numpy(zero_copy_only=False)
+        return both.take(pa.array(np.where(plain, np.cumsum(plain) - 1, len(some) + np.cumsum(~plain) - 1)))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as binary. Pieces are told apart in Arrow, so that Python sees each distinct word once."""
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        pieces = cut.flatten().dictionary_encode()
+        return _joined(self.ids_of(pieces.dictionary).take(pieces.indices), cut.value_lengths(), b"")
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The text of each binary of ids; a null counts as none."""
+        ids = pc.fill_null(ids, b"")
+        each = np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+        return _joined(self.strings.take(pa.array(each.astype(np.int32))), pc.divide(pc.binary_length(ids), 4), " ")
+
+
+def _joined(values: pa.Array, lengths: pa.Array, separator: str | bytes) -> pa.Array:
+    """Runs of ``values`` of the given lengths, each joined to one value."""
+    offsets = np.concatenate(([0], np.cumsum(lengths.to_numpy(zero_copy_only=False)))).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), values), separator)
 
 
 def encoder(source: str, kind: type[Encoder] = Encoder, cache: tuple[int, int] = CACHE) -> Encoder:
@@ -198,11 +200,10 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str
     def run(batches):
         coder = encoder(source.value)
         for whole in batches:
-            for batch in slices(whole, text_col, 4 << 20):
-                ids = coder.encode_all([t or "" for t in batch.column(text_col).to_pylist()])
-                columns = [batch.column(c) for c in kept] + [pa.array(ids, pa.binary())]
+            for batch in slices(whole, text_col):
+                columns = [batch.column(c) for c in kept] + [coder.encode(batch.column(text_col))]
                 if decoded_col:
-                    columns.append(pa.array(list(map(coder.decode, ids)), pa.string()))
+                    columns.append(coder.decode(columns[-1]))
                 yield pa.RecordBatch.from_arrays(columns, names=kept + names)
 
     schema = df.select(*kept).withColumn(ids_col, F.lit(b""))
@@ -219,9 +220,8 @@ def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", decoded_col: st
     def run(batches):
         coder = encoder(source.value)
         for whole in batches:
-            for batch in slices(whole, ids_col, 4 << 20):
-                texts = [coder.decode(i or b"") for i in batch.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, decoded_col])
+            for batch in slices(whole, ids_col):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), coder.decode(batch.column(ids_col))], names=[*kept, decoded_col])
 
     return df.select(*kept).mapInArrow(run, df.select(*kept).withColumn(decoded_col, F.lit("")).schema)
 

@@ -13,42 +13,35 @@ repeated rows are packed one by one; an empty table gives an empty one; other co
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, Encoder, encoder, read_vocabulary
+from .bpe import CACHE, Encoder, byte_symbols, encoder, read_vocabulary
 from .common import record_batch, slices, spool
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 class LibraryEncoder(Encoder):
-    """The same ids with the words merged by the tokenizers library, many in one call."""
+    """The same ids with the words merged by the tokenizers library's model."""
 
     def __init__(self, source: str, cache: tuple[int, int] = CACHE):
         from tokenizers import Tokenizer
 
+        self.library, self.symbols = Tokenizer.from_str(source), byte_symbols()
         super().__init__(source, cache)
-        self.library = Tokenizer.from_str(source)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.ends = np.array([s.endswith("</w>") for s in self.strings])
 
     def merge_words(self, words: list[str]) -> list[bytes]:
-        out = []
-        for first in range(0, len(words), 500):
-            some = words[first : first + 500]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                starts = [0, *cuts.tolist()]
-                raw = ids.tobytes()
-                out += [raw[4 * a : 4 * b] for a, b in zip(starts, starts[1:])]
-            else:  # a word that the library cuts in two when it stands alone
-                out += super().merge_words(some)
+        # the model takes a normalised word in the symbols of its bytes, which are the characters of printable ASCII
+        tokenize, out = self.library.model.tokenize, []
+        for word in words:
+            if not (word.isascii() and word.isprintable()):
+                word = "".join([self.symbols[b] for b in word.encode("utf-8", "replace")])
+            out.append(array("I", [t.id for t in tokenize(word)]).tobytes())
         return out
 
 
@@ -59,10 +52,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int
     def run(batches):
         coder = encoder(source.value, LibraryEncoder, cache)
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 out = {f.name: [] for f in PIECES}
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode_all(texts)):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")).to_pylist()):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
                         some = ids[at : at + 4 * length]

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -163,6 +164,30 @@ def test_bpe_is_the_librarys(docs, odd, none):
     assert twice.count() == len(ODD) and "ids" in twice.columns
 
 
+ALPHABET = [*"abcXYZ  \n\t.,;'’sσΣςİıéßÿµ123½²<|>\x00\x0b\x0c\x1c\x1f\x85", *"\u0327\u0301\u0307\u00a0\u2003\u2028\u3000\u180e\ufeff\u200b\u200d\u0345", *"가가ÅﬁअिǄ\U0001f600", "<|endoftext|>", "<|startoftext|>", "'s", "'LL", "İ̧", "naïve.", "Über,"]
+
+
+@pytest.mark.parametrize("kind", [bpe.Encoder, packing.LibraryEncoder])
+def test_encoders_equal_the_library_on_random_texts(kind):
+    import random
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 25))) for _ in range(6000)] + ["x" * 300_000, "word, " * 200_000, "é.," * 50_000]
+    with open(vocabulary(), encoding="utf-8") as f:
+        coder = kind(f.read(), cache=(700, 500))  # so small that both halves are dropped on the way
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for at in range(0, len(texts), 500):
+        got = coder.encode(pa.array(texts[at : at + 500]))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got.to_pylist()] == want[at : at + 500]
+        assert coder.decode(got).to_pylist() == [library.decode(x, skip_special_tokens=False) for x in want[at : at + 500]]
+    assert coder.encode(pa.array([None, ""], pa.string())).to_pylist() == [b"", b""] and len(coder.encode(pa.array([], pa.string()))) == 0
+
+
 def test_merging_equals_the_plain_rule():
     table = {1 << 16 | 2: 5 << 16 | 3, 3 << 16 | 2: 1 << 16 | 4, 2 << 16 | 2: 3 << 16 | 6, 6 << 16 | 1: 0 << 16 | 7}
     rng = np.random.default_rng(0)
