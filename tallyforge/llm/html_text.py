@@ -1,21 +1,25 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with its path of tags from the root. Nodes inside elements that never hold article
-text (scripts, menus, forms and the like, by tag, role or name) are left out. For each path the text length and the
-punctuation of its nodes are set against the number of its nodes; along the page these ratios are smoothed, fused by
-multiplication and compared with their spread, which selects the content paths. Output are the nodes of content paths,
-wherever they stand; all of an article or main element that holds some; and, of the containers around them, the text that
-stands in no other container and is not links alone.
+A page is cut into text nodes, each with its path of tags from the root. Elements that by the meaning of their tag hold no
+article text (scripts, forms, nav, aside, footer, a page's header) or are hidden are left out. For each path the text
+length and the punctuation of its nodes are set against the number of its nodes; along the page these ratios are smoothed
+and fused by multiplication, paths through an article or main element weigh more and paths through a link less, and the
+paths that reach a share of the page's mean are content. Output are the nodes of content paths, wherever they stand; what
+stands in an article or main element together with some (an article inside it apart, which is a reader's comment); and,
+of the containers around them, the text that stands in no other container and is not links alone.
 
 Defined results: a null or empty page, or one without text, gives an empty text; unclosed and misnested tags are
-tolerated; pages are read whole and independently, so repeated rows give repeated results; an empty table gives an empty
-one; all other columns pass through, and columns named like the results are replaced.
+tolerated; a page whose text stands in forms alone is read as if they were plain containers; pages are read whole and
+independently, in time and memory in proportion to their length, so repeated rows give repeated results; an empty table
+gives an empty one; all other columns pass through, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,151 +34,173 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp".split())
-#: Elements that never hold article text, and those that end a block.
-OUT = frozenset("head script style title noscript template iframe object svg canvas nav aside footer form button select textarea dialog menu".split())
+#: Elements whose tag says that they hold no article text, and those that end a block.
+OUT = frozenset("head script style title noscript template iframe object svg canvas nav aside footer button select textarea dialog menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article main section div td body".split())
-#: Names (words of class and id) of what surrounds an article: a block named by these alone is left out; one that has other
-#: words as well is doubtful, and only its content paths are output.
-OUT_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
-    "masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login comment comments disqus respond "
-    "replies share sharing social related recommended recommendations widget toolbar pagination pager skip".split()
-)
-#: Elements whose names are looked at: those that hold other blocks, so no headings, paragraphs or inline elements.
-NAMED = frozenset("div section ul ol dl table details fieldset center".split())
-LAYOUT_NAMES = frozenset("has no with without".split())
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+CONTAINER = frozenset("article main section div td body form".split())
+#: Weights of paths through an article or main element (text outside counts as content if it is denser by far), and through a link.
+IN_ARTICLE, IN_LINK = 100.0, 0.1
+#: Share of the mean of the page's text that a content path reaches.
+SHARE = 0.15
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-#: What an open paragraph, list item and so on is closed by.
-CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: Which open elements a start tag closes: the innermost of the first names, unless one of the second stands inside it.
+CLOSED_BY = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+CLOSED_BY = {name: (tuple(a.split()), tuple(b.split())) for name, (a, b) in CLOSED_BY.items()}
 
 
-def left_out(name: str, rest: str, in_article: bool) -> bool | None:
-    """Whether an element with this start tag never holds article text; None if its names leave it in doubt."""
-    doubt = False
-    if name in OUT or name == "header" and not in_article:
-        return True
-    if name in ("html", "body", "main", "article") or "=" not in rest and "hidden" not in rest:
+def hidden(rest: str) -> bool:
+    """Whether an element with these attributes is not shown."""
+    if "hidden" not in rest and "none" not in rest:
         return False
     for key, value in ATTRIBUTE.findall(rest):
-        key, value = key.lower(), html.unescape(value.strip("\"'"))
+        key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key == "role" and value.lower() in OUT_ROLES:
-            return True
-        if key in ("class", "id") and name in NAMED:
-            for each in value.split():
-                words = {w.lower() for w in WORDS.findall(each)}
-                if words and words <= OUT_NAMES:
-                    return True
-                doubt = doubt or bool(words & OUT_NAMES and not words & LAYOUT_NAMES)
-    return None if doubt else False
+    return False
+
+
+class Element(NamedTuple):
+    """An open element: its path, whether its text is left out, the container it is in, and the outermost article."""
+
+    name: str = ""
+    path: int = 0
+    out: bool = False
+    container: int = 0
+    article: int = 0
+    comment: bool = False
+
+
+class Node(NamedTuple):
+    """A text node, its block and the element it stands in."""
+
+    text: str
+    block: int
+    of: Element
+
+
+class Page:
+    """Text nodes of a page in order. Paths and containers are numbered, each with the number of the one around it."""
+
+    def __init__(self, page: str, forms: bool = False):
+        self.nodes: list[Node] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.path_articles, self.path_links = [False], [False]  # whether the path goes through such an element
+        self.container_in = [0]
+        self.forms = forms
+        self.stack, self.open = [Element()], defaultdict(list)  # open: places in the stack by name
+        self.blocks: list[int] = []  # places of block elements
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        at, end, block = 0, len(page), 0
+        while at < end:
+            tag = TAG.search(page, at)
+            stop = tag.start() if tag else end
+            if stop > at and not self.stack[-1].out:
+                self.nodes.append(Node(html.unescape(page[at:stop]), block, self.stack[-1]))
+            if not tag:
+                break
+            at, name = tag.end(), (tag[2] or "").lower()
+            if not name:
+                continue
+            block += name in BLOCK
+            if tag[1]:
+                if self.open[name]:
+                    self._close(self.open[name][-1])
+            elif name in RAW:
+                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = close.end() if close else end
+            elif name not in VOID:
+                self._open(name, tag[3] or "")
+
+    def _close(self, place: int) -> None:
+        while len(self.stack) > place:
+            name = self.stack.pop().name
+            self.open[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def _open(self, name: str, rest: str) -> None:
+        if name in BLOCK and self.blocks and self.stack[self.blocks[-1]].name == "p":  # a paragraph ends where a block begins
+            self._close(self.blocks[-1])
+        if name in CLOSED_BY:
+            ends, limits = CLOSED_BY[name]
+            place, limit = (max((self.open[n][-1] for n in names if self.open[n]), default=-1) for names in (ends, limits))
+            if place > limit:
+                self._close(place)
+        _, path, out, container, article, comment = self.stack[-1]
+        key, around = (path, name), path
+        path = self.paths.get(key)
+        if path is None:
+            path = self.paths[key] = len(self.path_links)
+            self.path_articles.append(self.path_articles[around] or name in ("article", "main"))
+            self.path_links.append(self.path_links[around] or name == "a")
+        out = out or name in OUT or name == "form" and not self.forms or name == "header" and not article or hidden(rest)
+        if name in CONTAINER:
+            self.container_in.append(container)
+            container = len(self.container_in) - 1
+        if name == "article" and self.open["article"]:
+            comment = True
+        if name in ("article", "main") and not article:
+            article = container
+        self.open[name].append(len(self.stack))
+        if name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(Element(name, path, out, container, article, comment))
 
 
-def text_nodes(page: str) -> list[tuple[str, str, int, tuple[int, ...], int]]:
-    """(path, text, block, containers around it, outermost article) of every text node that is not left out, in page order.
+def content_paths(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """Paths whose fused ratios of text and punctuation, smoothed along the page and their own, reach ``share`` of the mean.
 
-    In the path, doubtful elements have a question mark; article is 0 outside of article and main.
+    ``paths``: of each node; ``weights``: of each path. The mean is over the page's text by weight, so that many short
+    nodes do not lower it.
     """
-    nodes, stack, block, n_containers = [], [], 0, 0  # stack: (name, path, out, containers, in an article)
-    at, end = 0, len(page)
-    path, out, around, in_article = "", False, (), 0
-    while at < end:
-        tag = TAG.search(page, at)
-        stop = tag.start() if tag else end
-        if stop > at and not out:
-            text = html.unescape(page[at:stop])
-            nodes.append((path, text, block, around, in_article))
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
-            continue
-        if name in BLOCK:
-            block += 1
-        if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        else:
-            if name in VOID:
-                continue
-            if name in RAW:
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-                continue
-            if name in BLOCK:  # an open paragraph ends where a block begins
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            if name in CLOSED_BY:
-                closed, limit = CLOSED_BY[name]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in closed.split():
-                        del stack[i:]
-                        break
-                    if stack[i][0] in limit:
-                        break
-            path, out, around, in_article = stack[-1][1:] if stack else ("", False, (), 0)
-            if name in CONTAINER:
-                n_containers += 1
-                around = (*around, n_containers)
-            never = left_out(name, tag[3] or "", bool(in_article))
-            within = in_article or (n_containers if name in ("article", "main") else 0)
-            stack.append((name, f"{path}/{name}{'?' if never is None else ''}", out or bool(never), around, within))
-        path, out, around, in_article = stack[-1][1:] if stack else ("", False, (), 0)
-    return nodes
-
-
-def content_paths(paths: list[str], lengths: np.ndarray, marks: np.ndarray, spread: float = 0.5) -> set[str]:
-    """Paths whose fused ratios of text and punctuation, smoothed and their own, reach ``spread`` standard deviations."""
-    names, of = np.unique(np.array(paths, object), return_inverse=True)
+    found, of = np.unique(paths, return_inverse=True)
     n = np.bincount(of)
-    text_ratio, mark_ratio = np.bincount(of, lengths) / n, np.bincount(of, marks) / n
+    ratios = np.bincount(of, lengths) / n, np.bincount(of, marks) / n + 1
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     kernel /= kernel.sum()
-    smooth = [np.convolve(np.pad(r[of], 2, mode="edge"), kernel, "valid") for r in (text_ratio, mark_ratio + 1)]
-    fused = smooth[0] * smooth[1]
-    by_path = np.bincount(of, fused) / n
-    own = text_ratio * (mark_ratio + 1)
-    both = np.minimum(by_path, own)  # a short path beside a long one has a large smoothed ratio only
-    return set(names[both >= min(spread * fused.std(), both.max())])
+    fused = np.prod([np.convolve(np.pad(r[of], 2, mode="edge"), kernel, "valid") for r in ratios], axis=0)
+    # a short path beside a long one has a large smoothed ratio only
+    both = np.minimum(np.bincount(of, fused) / n, ratios[0] * ratios[1]) * weights[found]
+    return found[both >= min(share * np.average(both[of], weights=lengths * weights[paths]), both.max())]
 
 
-def main_text(page: str | None) -> str:
-    nodes = [x for x in text_nodes(page or "") if x[1]]
-    solid = [x for x in nodes if not x[1].isspace()]
+def main_text(source: str | None, share: float = SHARE) -> str:
+    page = Page(source or "")
+    solid = [x for x in page.nodes if x.text and not x.text.isspace()]
     if not solid:
-        return ""
-    lengths = np.array([len(x[1].strip()) for x in solid], float)
-    paths = content_paths([x[0] for x in solid], lengths, np.array([len(PUNCTUATION.findall(x[1])) for x in solid], float))
-    chosen = [x for x in solid if x[0] in paths]
-    with_text = {x[2] for x in chosen}
-    articles = {x[4] for x in chosen} - {0}
-    containers = {c for x in chosen for c in x[3]} | {0}
-    links_only = {x[2] for x in solid} - {x[2] for x in solid if "/a/" not in f"{x[0]}/"}
-
-    def kept(path: str, block: int, around: tuple[int, ...], article: int) -> bool:
-        if block in with_text:
-            return True
-        if "?" in path:
+        page = Page(source or "", forms=True)
+        solid = [x for x in page.nodes if x.text and not x.text.isspace()]
+        if not solid:
+            return ""
+    lengths = np.array([len(x.text.strip()) for x in solid], float)
+    marks = np.array([len(PUNCTUATION.findall(x.text)) for x in solid], float)
+    weights = np.where(page.path_articles, IN_ARTICLE, 1) * np.where(page.path_links, IN_LINK, 1)
+    paths = set(content_paths(np.array([x.of.path for x in solid]), lengths, marks, weights, share).tolist())
+    chosen = [x for x in solid if x.of.path in paths]
+    with_text = {x.block for x in chosen}
+    articles = {x.of.article for x in chosen} - {0}
+    own_text = {x.of.article for x in chosen if not x.of.comment}
+    links_only = {x.block for x in solid} - {x.block for x in solid if not page.path_links[x.of.path]}
+    containers = {0}
+    for x in chosen:
+        at = x.of.container
+        while at not in containers:
+            containers.add(at)
+            at = page.container_in[at]
+
+    def kept(x: Node) -> bool:
+        if x.of.comment and x.of.article in own_text:
             return False
-        return article in articles or (around[-1] if around else 0) in containers and block not in links_only
+        return x.block in with_text or x.of.article in articles or x.of.container in containers and x.block not in links_only
 
     blocks: dict[int, list[str]] = {}
-    for path, text, *where in nodes:
-        if kept(path, *where):
-            blocks.setdefault(where[0], []).append(text)
+    for x in filter(kept, page.nodes):
+        blocks.setdefault(x.block, []).append(x.text)
     return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
 
 

@@ -24,3 +24,45 @@ def test_paths_decide_what_is_output():
 def test_one_listed_word_in_a_name_drops_no_article_part():
     page = f"<body><article><p>{LONG}</p><h2 id='related-work'>Related work</h2><p>{LONG}</p><section id='social-impact'><p>{SHORT} {LONG}</p></section></article></body>"
     assert main_text(page) == f"{LONG.strip()} Related work {LONG.strip()} {SHORT} {LONG.strip()}"
+
+
+def test_judged_pages():
+    assert main_text(f"<article><h1>Title</h1><div><p>{LONG}</p></div><p>Closing</p></article>") == f"Title {LONG.strip()} Closing"
+    for name in ("ad-hoc", "social-history", "related-work", "ad", "comments"):  # names decide nothing
+        assert main_text(f"<article><p>{LONG}</p><div class='{name}'><p>Part</p></div></article>") == f"{LONG.strip()} Part"
+    page = f"<article><h1>T</h1><p>{LONG}</p><section><h2>Comments</h2><article><p>{SHORT}</p></article></section></article>"
+    assert main_text(page) == f"T {LONG.strip()} Comments"  # an article inside the article is a reader's comment
+    assert main_text(f"<body><form id=all><p>{LONG}</p></form></body>") == LONG.strip()
+
+
+def test_the_threshold_decides():
+    page = f"<body><div class=x>Buy, now.</div><article><h1>T</h1><p>{LONG}</p></article><div><p>{SHORT}</p></div></body>"
+    assert main_text(page) == f"T {LONG.strip()}"
+    assert main_text(page, share=0.0) == f"Buy, now. T {LONG.strip()} {SHORT}"
+    dense = f"<body><main><p>{SHORT}</p></main><div><p>{LONG}</p></div></body>"  # what is denser by far is content outside main too
+    assert main_text(dense) == f"{SHORT} {LONG.strip()}"
+
+
+def test_given_pages_exactly():
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    changed = 0
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
+        blocks = re.split(r"</?(?:h1|p|br|ul|li|div)\b[^>]*>", inner)
+        want = " ".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)))
+        assert main_text(r["html"]) == want
+        changed += main_text(r["html"], share=0.0) != want
+    assert changed > 200  # of 250: without the threshold the adverts come through
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    import time
+
+    for part in ("<div>", "<div><p>", "<li>", "<dd><dl><div></dd>", "<a \"'>", "<", "</p>", "<p>x<a b='", "<b><div></div>"):
+        began = time.process_time()
+        assert main_text(part * (100_000 // part.count("<")) + "<p>end").endswith("end")
+        assert time.process_time() - began < 5
