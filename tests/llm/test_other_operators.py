@@ -64,6 +64,48 @@ def test_neighbours_reach_recall(spark):
         assert all(abs(s - true[q, i]) < 1e-12 for q in got for i, s in got[q] if (q, i) in true)
 
 
+def test_neighbours_ties_go_to_the_smaller_identifiers(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(1, 400)] + [(0, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    for block in (8192, 40):
+        got = neighbours.nearest(df, df.where("id = 0"), 1.0 + 399.0**2, block_rows=block).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_neighbours_repeated_identifiers(spark):
+    own = [(20, [1.0, float(i)]) for i in range(30)]  # 30 vectors of the query's own identifier
+    rows = own + own + [(i, [0.5, float(i)]) for i in range(21, 40)] + [(40, [0.25, 0.0]), (40, [0.75, 0.0]), (40, [0.75, 0.0])]
+    got = neighbours.search_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    first = [(r.vec_id, r.score) for r in got if r.query_id == 20]  # its query is the least of its vectors, [1, 0]
+    assert first == [(40, 0.75), *[(i, 0.5) for i in range(21, 40)]]
+    second = [(r.vec_id, r.score) for r in got if r.query_id == 40]  # [0.25, 0.0]; the other vectors of 20 are candidates each
+    assert second == [(20, 0.25)] * 20
+
+
+def test_cells_are_pruned_on_clustered_vectors(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 32))
+    vectors = np.repeat(centres, 150, axis=0) + 0.05 * rng.standard_normal((6000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5).cache()
+    want = brute_nearest(rows, 20, 20)
+    seen, whole = neighbours.search_block, spark.sparkContext.accumulator(0)
+
+    def counted(block, query_ids, *rest):
+        whole.add(len(query_ids))
+        return seen(block, query_ids, *rest)
+
+    neighbours.search_block = counted
+    try:
+        got = neighbours.nearest(df, df.where("id % 20 = 0"), 1.0 + 1e-9, block_rows=200).collect()
+    finally:
+        neighbours.search_block = seen
+    hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+    assert len(got) == 300 * 20 and hits >= 0.95 * len(got)
+    assert 300 <= whole.value < 0.4 * 300 * 32  # of 32 cells a query meets a few
+
+
 def test_neighbours_odd_vectors(spark):
     rows = [(i, [float(i % 3), 1.0]) for i in range(100)]  # many equal vectors: ties go to the smaller id
     odd = [(200, None), (220, [0.0, 0.0]), (240, [float("nan"), 1.0]), (260, [1.0]), (280, [None, 1.0]), (300, [float("inf"), 0.0]), (0, [0.0, 1.0]), (None, [1.0, 1.0])]
