@@ -126,6 +126,18 @@ def test_exact_state_goes_on_with_new_files(spark, tmp_path):
     assert {(r.doc_id, r.n) for r in got} == {(3, 2), (2, 1), (9, 2)}
     assert all("#" in r.locator for r in got)
     assert exact.stream_state(spark, path, checkpoint=held).count() == 3  # nothing new
+    spark.createDataFrame([(5, "c"), (6, "a")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(path)
+    state = exact.stream_state(spark, path, checkpoint=held)
+    assert {(r.doc_id, r.n) for r in state.collect()} == {(6, 3), (2, 1), (9, 2), (5, 1)}
+    assert len({f.split("/")[-2] for f in state.inputFiles()}) == 1  # merged into one table
+
+
+def test_exact_hot_text_moves_a_row_a_task(spark, tmp_path):
+    path = str(tmp_path / "d")
+    spark.range(0, 4000, 1, 8).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('hot ', 50) ELSE concat('t', id) END AS text").write.parquet(path)
+    got = exact.exact_duplicates(spark, path)
+    assert [tuple(r) for r in got.groupBy("group_size", "kept").count().orderBy("group_size", "kept").collect()] == [(1, True, 2666), (1334, False, 1333), (1334, True, 1)]
+    assert got.where("group_size > 1 AND keep_id <> 3999").count() == 0
 
 
 def test_exact_empty_table(spark, none, tmp_path):
