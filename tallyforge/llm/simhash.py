@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import hold, slices, spool
 from .components import connected_components
-from .similar import keep_one_of_each  # noqa: F401
 
 SEED, CHUNK = 42, 1 << 15
 #: Bits in which linked fingerprints may differ; the keys are made for this number.
@@ -164,5 +164,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, by verified five-word similarity of 0.8 or more.
+
+    Candidates are the pairs of five-word fingerprints that share a Golay key and lie within two bits, and those that
+    ``similar`` adds for texts further apart, which no number of Golay keys in reason would reach.
+    """
+    return similar.keep_one_of_each(docs, id_col, text_col, near=links)
+
+
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

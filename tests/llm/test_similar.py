@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tallyforge.llm import similar
+from tallyforge.llm import simhash, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,12 +41,13 @@ def near_texts():
 def test_groups_match_brute_force(spark, pairs_up_to):
     texts = [*[r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()], *near_texts(), "", None, "x y"]
     want = brute_groups(texts)
-    got = similar.groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), pairs_up_to).collect()
-    by = {}
-    for r in got:
-        by.setdefault(r.component, []).append(r.row)
-    assert len(got) == len(texts)
-    assert {r: min(some) for some in by.values() for r in some} == dict(enumerate(want))
+    for near in (None, simhash.links):
+        got = similar.groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3), pairs_up_to, near).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.component, []).append(r.row)
+        assert len(got) == len(texts)
+        assert {r: min(some) for some in by.values() for r in some} == dict(enumerate(want))
 
 
 def test_the_stage_drops_near_copies(spark):
