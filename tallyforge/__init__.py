@@ -1 +1 @@
-"""Usage analytics over web access logs, on Spark."""
+"""Access analytics over web access logs, on Spark."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
+import io
+import re
+import tarfile
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +34,12 @@ def query(sql: str):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A fresh path in the folder that the cluster shares; a temporary one where the master is this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the cluster shares")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -227,13 +236,16 @@ def document_merges(spark, d):
     return dumps.merge_documents(old, new).select("pid_v2", "pid_v3", "publication_date")
 
 
-@query("""
-SELECT doc_id, CASE WHEN n < 3 THEN 'fewer values than columns' ELSE 'more values than columns' END AS message
-FROM (SELECT doc_id, len(string_split(l, ',')) AS n FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents WHERE NOT contains(text, '"')) WHERE trim(l) <> '') WHERE n <> 3
+@query(r"""
+SELECT doc_id, CASE WHEN n < 3 THEN 'fewer values than columns' ELSE 'more values than columns' END AS message, count(*) AS n_lines
+FROM (SELECT doc_id, len(string_split(regexp_replace(l, '"[^"]*"', '', 'g'), ',')) AS n
+      FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE NOT regexp_full_match(l, '[\s\x0b\x{85}\p{Z}]*'))
+WHERE n <> 3 GROUP BY ALL
 """)
 def row_widths(spark, d):
-    lines = A.table(spark, d, "documents").where(~F.col("text").contains('"')).select("doc_id", F.substring_index("text", "\n", 1).alias("value"))
-    return quality.check_widths(lines, 3).select("doc_id", "message")
+    """Lines of wrong width of every document, quoted separators and all."""
+    lines = A.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("value"))
+    return quality.check_widths(lines, 3).groupBy("doc_id", "message").agg(F.count("*").alias("n_lines"))
 
 
 @query(r"""
@@ -244,7 +256,7 @@ FROM (SELECT doc_id, line, len(string_split(regexp_replace(l, '"[^"]*"', '', 'g'
 WHERE n <> 3
 """)
 def all_row_widths(spark, d):
-    """Every line of every text; ``row_widths`` has first lines of texts without quotes only."""
+    """Every line of every text, one by one."""
     lines = A.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "value"))
     return quality.check_widths(lines.withColumn("line", (F.col("at") + 1).cast("long")), 3).select("doc_id", "line", "message")
 
@@ -262,7 +274,7 @@ def replaced_days(spark, d):
     """All days stored, three of them replaced (some rows gone), twice; then a whole collection dropped."""
     day = F.to_date("ts")
     rows = A.table(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("id"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("collection"), day.alias("date"), F.col("event_type").alias("kind"))
-    target = store.UsageStore(spark, scratch(spark, "store"))
+    target = store.MetricStore(spark, scratch(spark, "store"))
     target.write(rows)
     again = rows.where("date between '2024-01-05' and '2024-01-07'")
     for _ in range(2):
@@ -271,6 +283,72 @@ def replaced_days(spark, d):
     return target.read().select("event_id", "kind")
 
 
+@query("SELECT event_id FROM events WHERE user_id % 3 <> 1 AND NOT (user_id % 3 = 0 AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-06')")
+def emptied_days(spark, d):
+    """Days whose new result is empty: all of one collection, and two days of another."""
+    rows = A.table(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("id"), F.concat(F.lit("c"), (F.col("user_id") % 3).cast("string")).alias("collection"), F.to_date("ts").alias("date"))
+    target = store.MetricStore(spark, scratch(spark, "store"))
+    target.write(rows)
+    target.replace_days(rows.where("false"), rows.where("collection = 'c1' OR collection = 'c0' AND date BETWEEN '2024-01-05' AND '2024-01-06'"))
+    return target.read().select("event_id")
+
+
+@query("""
+WITH rows AS (SELECT 'n/' || c_nationkey AS collection, 2020 + c_custkey % 3 AS year FROM customer),
+have AS (SELECT collection, year, count(*) AS n FROM rows GROUP BY ALL)
+SELECT collection, year::INTEGER AS year, n FROM have WHERE year <> 2022 UNION ALL SELECT DISTINCT collection, 2030, 0 FROM have
+""")
+def store_partitions(spark, d):
+    """A store of fixed columns: partitions made before their first row, twice; rows written; a year dropped."""
+    rows = A.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("n/"), "c_nationkey").alias("collection"), F.make_date(F.lit(2020) + (F.col("c_custkey") % 3).cast("int"), F.lit(1), F.lit(1)).alias("date"))
+    target = store.MetricStore(spark, scratch(spark, "store"), "id string, collection string, date date, total_requests long")
+    names = [r[0] for r in rows.select("collection").distinct().collect()]
+    made = [[target.create(c, 2030) for c in names] for _ in range(2)]
+    target.write(rows)
+    for c in names:
+        target.drop(c, 2022)
+    if made != [[True] * len(names), [False] * len(names)]:
+        raise AssertionError("a partition is made once")
+    parts = spark.createDataFrame(target.partitions(), "collection string, year int")
+    have = target.read().where("total_requests is null").groupBy("collection", "year").agg(F.count("*").alias("n"))
+    return parts.join(have, ["collection", "year"], "left").select("collection", "year", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, NULL::VARCHAR AS absent, 'part-' || p_brand || '.csv' AS member FROM part")
+def tsv_archives(spark, d):
+    """Archives with one member for each brand, and a file that is no table."""
+
+    def archive(table: pa.Table) -> pa.Table:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as tar:
+            for brand in sorted({*table.column("p_brand").to_pylist()}):
+                text = io.StringIO()
+                rows = csv.writer(text, delimiter="\t", lineterminator="\n")
+                rows.writerow(["p_name", "p_brand", "p_partkey"])
+                rows.writerows([[r["p_name"], brand, r["p_partkey"]] for r in table.to_pylist() if r["p_brand"] == brand])
+                for name, raw in ((f"part-{brand}.csv", text.getvalue().encode()), (f"{brand}.txt", b"no table")):
+                    member = tarfile.TarInfo(name)
+                    member.size = len(raw)
+                    tar.addfile(member, io.BytesIO(raw))
+        return pa.table({"path": ["x.tar.gz"], "content": pa.array([out.getvalue()], pa.binary())})
+
+    rows = A.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.floor(F.col("p_partkey") / 1000).alias("__archive"))
+    files = rows.groupBy("__archive").applyInArrow(archive, "path string, content binary")
+    return tables.unpack_archives(files, ["p_partkey", "p_name", "p_brand", "absent"])
+
+
+@query("""
+SELECT sha256(n_name || chr(10)) AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'known' ELSE 'new' END AS state FROM nation
+""")
+def geo_snapshots(spark, d):
+    """Snapshots by the hash of their content; those that are known stay as they are."""
+    path = scratch(spark, "snapshots")
+    A.table(spark, d, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    found = tables.snapshot_id(spark, f"{path}/*/*.txt").withColumn("key", F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int"))
+    known = found.where("key % 2 = 0").select("id", F.lit("known").alias("state"))
+    return store.insert_only(known, found.select("id", F.lit("new").alias("state")), ["id"])
+
+
 @query("SELECT event_id, event_type = 'error' AS archived FROM events")
 def archived_events(spark, d):
     path = scratch(spark, "archive")
@@ -294,3 +372,74 @@ def stream_distinct_files(spark, d):
     stream = streams.distinct_files(streams.stream_table(spark, f"{out}/in"), "3650 days").select("hash")
     streams.ingest(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+CATALOGUE_SQL = """rows AS (SELECT o_orderkey AS k, 'c' || (o_orderkey % 5) AS collection, 'g' || o_orderkey AS pid, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+old AS (SELECT * FROM rows WHERE k % 3 <> 0), new AS (SELECT k, collection, pid, 'new' AS day FROM rows WHERE k % 3 <> 2)"""
+
+
+def _catalogue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stored rows and loaded ones, which overlap; each loaded row comes twice."""
+    k = F.col("o_orderkey")
+    rows = A.table(spark, d, "orders").select(k.alias("k"), F.concat(F.lit("c"), (k % 5).cast("string")).alias("collection"), F.concat(F.lit("g"), k).alias("pid"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    new = rows.where("k % 3 <> 2").withColumn("day", F.lit("new"))
+    return rows.where("k % 3 <> 0"), new.union(new)
+
+
+@query(f"""
+WITH {CATALOGUE_SQL}
+SELECT coalesce(o.pid, n.pid) AS pid_v2, f.force, CASE WHEN o.pid IS NULL OR f.force AND n.pid IS NOT NULL THEN n.day ELSE o.day END AS publication_date
+FROM old o FULL JOIN new n ON o.pid = n.pid AND o.collection = n.collection, (VALUES (true), (false)) f(force)
+""")
+def article_merges(spark, d):
+    def articles(rows: DataFrame) -> DataFrame:
+        more = {c: F.lit(None).cast("string") for c in ("processing_date", "publication_year", "default_language")} | {c: F.array("k") for c in ("files", "text_langs")}
+        return rows.withColumns(more).select("collection", F.lit("i").alias("issn"), F.col("pid").alias("pid_v2"), F.col("day").alias("publication_date"), *more)
+
+    old, new = map(articles, _catalogue(spark, d))
+    parts = [dumps.merge_articles(old, new, force=x).select("pid_v2", F.lit(x).alias("force"), "publication_date") for x in (True, False)]
+    return parts[0].union(parts[1])
+
+
+MERGED_SQL = f"WITH {CATALOGUE_SQL} SELECT coalesce(o.pid, n.pid) AS pid, coalesce(n.day, o.day) AS day FROM old o FULL JOIN new n ON o.pid = n.pid AND o.collection = n.collection"
+
+
+@query(f"{MERGED_SQL} WHERE coalesce(o.k, n.k) % 7 <> 0 OR o.k IS NOT NULL AND o.k % 7 <> 0")
+def preprint_merges(spark, d):
+    """Loaded records without an identifier are left out."""
+    old, new = (x.withColumnRenamed("pid", "pid_generic") for x in _catalogue(spark, d))
+    new = new.withColumn("pid_generic", F.when(F.col("k") % 7 == 0, "").otherwise(F.col("pid_generic")))
+    return dumps.merge_preprints(old.where("k % 7 <> 0"), new).select(F.col("pid_generic").alias("pid"), "day")
+
+
+@query(MERGED_SQL)
+def dataset_merges(spark, d):
+    old, new = (x.withColumnRenamed("pid", "pid_generic") for x in _catalogue(spark, d))
+    return dumps.merge_datasets(old, new).select(F.col("pid_generic").alias("pid"), "day")
+
+
+@query(MERGED_SQL)
+def journal_merges(spark, d):
+    old, new = (x.withColumnRenamed("pid", "issn") for x in _catalogue(spark, d))
+    return dumps.merge_journals(old, new).select(F.col("issn").alias("pid"), "day")
+
+
+@query("SELECT 'bot' || (o_orderkey % 1000) AS pattern, max(o_orderdate)::DATE AS last_changed FROM orders GROUP BY 1")
+def robot_merges(spark, d):
+    rows = A.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("bot"), (F.col("o_orderkey") % 1000).cast("string")).alias("pattern"), F.to_date("o_orderdate").alias("last_changed"))
+    return dumps.merge_robots(rows.where("o_orderkey % 2 = 0").select("pattern", "last_changed"), rows.where("o_orderkey % 2 <> 0").drop("o_orderkey"))
+
+
+@query("""
+WITH new AS (SELECT c_custkey // 4 AS k, c_custkey AS n, CASE WHEN c_custkey % 4 = 3 THEN '' ELSE c_mktsegment END AS segment, c_name AS name FROM customer),
+old AS (SELECT DISTINCT k FROM new WHERE k % 3 = 0), g AS (
+  SELECT k, max(n) AS n, arg_max(segment, n) FILTER (segment <> '') AS segment, arg_min(name, n) AS name FROM new GROUP BY k)
+SELECT g.k, g.n, coalesce(g.segment, CASE WHEN old.k IS NULL THEN '' ELSE 'old' END) AS segment, CASE WHEN old.k IS NULL THEN g.name ELSE 'old' END AS name
+FROM g LEFT JOIN old ON old.k = g.k
+""")
+def repeated_upserts(spark, d):
+    """Several rows of one key in a load, taken one after the other."""
+    c = F.col("c_custkey")
+    new = A.table(spark, d, "customer").select(F.floor(c / 4).alias("k"), c.alias("n"), F.when(c % 4 == 3, "").otherwise(F.col("c_mktsegment")).alias("segment"), F.col("c_name").alias("name"))
+    old = new.where("k % 3 = 0").select("k", F.lit(-1).cast("long").alias("n"), F.lit("old").alias("segment"), F.lit("old").alias("name")).distinct()
+    return store.upsert(old, new, ["k"], ["n", "segment"], keep_old_if_blank=("segment",), order=("n",))

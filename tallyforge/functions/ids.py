@@ -1,4 +1,4 @@
-"""Identifiers of sessions, item accesses, usage documents and stores."""
+"""Identifiers of sessions, item accesses, metric documents and stores."""
 
 from __future__ import annotations
 

@@ -58,13 +58,18 @@ def std_year(year: Column) -> Column:
     return F.when(number.between(1500, 2100), number.cast("string")).otherwise("")
 
 
+#: Deprecated two-letter codes and the ones in use (fixed values of the language subtag registry).
+RENEWED = {"in": "id", "iw": "he", "ji": "yi", "jw": "jv", "mo": "ro"}
+
+
 def language_codes(spark: SparkSession) -> dict[str, str]:
     """Two- and three-letter ISO codes (a fixed list of the JVM) to the shortest code."""
     locale = spark.sparkContext._jvm.java.util.Locale
     codes: dict[str, str] = {}
     for code in locale.getISOLanguages():
         codes[code] = code
-        codes[locale.forLanguageTag(code).getISO3Language()] = code
+        codes[locale.forLanguageTag(code).getISO3Language()] = RENEWED.get(code, code)
+    codes |= {old: new for old, new in RENEWED.items() if new in codes}
     return codes | {"esp": "es"}
 
 

@@ -67,6 +67,19 @@ def check_access(df: DataFrame, known: DataFrame | None = None, journals: DataFr
     return df.select(*columns, (code == "valid").alias("is_valid"), code.alias("code"), message.otherwise("Valid.").alias("message"))
 
 
+def check_distinct(df: DataFrame, known: DataFrame | None = None, journals: DataFrame | None = None) -> DataFrame:
+    """``check_access`` made once for each set of codes and formats: rows are moved in one join, whatever is looked up."""
+    codes = ["issn", *PIDS, "media_format", "content_type"]
+    found = check_access(df.select(*codes).distinct(), known, journals)
+    key = F.xxhash64(*[F.coalesce(c, F.lit("\x00")) for c in codes])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in codes]
+    right = found.select(key.alias("__key"), *[F.col(c).alias(f"__{c}") for c in codes], "is_valid", "code", "message")
+    on = F.col("__own") == F.col("__key")
+    for s in same:
+        on = on & s
+    return df.withColumn("__own", key).join(right, on, "left").select(*df.columns, "is_valid", "code", "message")
+
+
 def error_type(code: Column) -> Column:
     """``ART`` for identifiers, ``JOU`` for journals, ``URL`` and ``MET`` for addresses without item or fields; others null."""
     return F.when(code.startswith("invalid_pid"), "ART").when(code == "invalid_issn", "JOU").when(code == "no_item", "URL").when(code == "no_data", "MET")

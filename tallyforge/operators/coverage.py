@@ -48,7 +48,8 @@ def validate_files(lines: DataFrame, fraction: float = 0.1, min_share: float = 0
 
     ``fraction`` is the feature: 1.0 takes every line. A file without a line in the sample is judged by all of its lines.
     """
-    in_sample = F.pmod(F.xxhash64(file_col, seq), F.lit(1_000_000)) < int(fraction * 1_000_000)
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", file_col, F.col(seq).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    in_sample = number % 1_000_000 < int(fraction * 1_000_000)
     names = [file_col, *([named_date] if named_date else [])]
     by = lines.groupBy(*names, F.to_date("local_datetime").alias("d"), in_sample.alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("reject_reason").isNull()).alias("good"))
     top = F.max(F.when(F.col("d").isNotNull(), F.struct("good", (-F.unix_date("d")).alias("m"), "d"))).alias("top")

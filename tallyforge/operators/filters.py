@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,21 +15,30 @@ NOT_FOUND_STATUS = ("CRE", "INV")
 PREFERRED_LANGUAGES = ("pt", "es", "en")
 
 
+#: What may mean something else inside an alternation: references to groups, names of groups, quotes, flags.
+STANDS_ALONE = re.compile(r"\\[0-9kQ]|\(\?[<a-zA-Z-]")
+
+
+def _any(tests: list[Column]) -> Column:
+    """Their disjunction as a balanced tree, so that it stays flat however many they are."""
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+    return tests[0]
+
+
 def without_robots(lines: DataFrame, robots: DataFrame, agent_col: str = "user_agent", pattern_col: str = "pattern", one_pattern_up_to: int = 1000) -> DataFrame:
-    """Lines whose agent matches no pattern (case ignored); a null agent stays.
+    """Lines whose agent matches no pattern (case ignored); a null agent stays. Every pattern is read by itself.
 
-    Up to ``one_pattern_up_to`` patterns become one alternation, checked in place; more are an anti-join.
+    The robot list is a settings table (some thousands of rows) and is read to the driver. Patterns of which several may
+    stand in one alternation do, up to ``one_pattern_up_to`` in each; the others are tested one by one. All are literals, compiled
+    once a task and checked in place.
     """
-    patterns = [r[0] for r in robots.select(pattern_col).where(F.col(pattern_col).isNotNull()).distinct().orderBy(pattern_col).limit(one_pattern_up_to + 1).collect()]
-    if not patterns:
+    patterns = [r[0] for r in robots.select(pattern_col).where(F.col(pattern_col).isNotNull()).distinct().orderBy(pattern_col).collect()]
+    plain = [p for p in patterns if not STANDS_ALONE.search(p)]
+    tests = ["|".join(f"(?:{p})" for p in plain[i : i + one_pattern_up_to]) for i in range(0, len(plain), one_pattern_up_to)] + [p for p in patterns if STANDS_ALONE.search(p)]
+    if not tests:
         return lines
-    agent = F.col(agent_col)
-    if len(patterns) <= one_pattern_up_to:
-        return lines.where(~F.coalesce(agent.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False)))
-    own = robots.select(F.concat(F.lit("(?i)"), pattern_col).alias("__robot")).distinct()
-    agents = lines.select(agent.alias("__agent")).where("__agent is not null").distinct()
-    hit = agents.join(own, F.rlike("__agent", F.col("__robot")), "left_semi")
-    return lines.join(hit, agent == F.col("__agent"), "left_anti")
+    return lines.where(~F.coalesce(_any([F.col(agent_col).rlike(f"(?i){t}") for t in tests]), F.lit(False)))
 
 
 def select_work(files: DataFrame, start: dt.date, end: dt.date, replace: bool = False, errors: bool = True) -> DataFrame:

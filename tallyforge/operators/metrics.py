@@ -1,4 +1,4 @@
-"""Usage metrics: double-click filter, totals and uniques, usage documents.
+"""Access metrics: double-click filter, totals and uniques, metric documents.
 
 A session is a client on a clock hour (or day). Clicks are first merged to one for each second, which bounds the rows of
 a session and item that meet in a window by the seconds of the session, whatever a robot does.
@@ -84,7 +84,7 @@ def click_histogram(hits: DataFrame, rules: Rules = Rules(per="access"), seq: st
     return by_key.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("clicks"), F.min("first").alias("first"))
 
 
-def usage_documents(hits: DataFrame, rules: Rules = Rules(), seq: str = "seq") -> DataFrame:
+def metric_documents(hits: DataFrame, rules: Rules = Rules(), seq: str = "seq") -> DataFrame:
     """Counters per document, language, country and day, with the ids of the documents."""
     accesses = item_accesses(hits, rules, seq).withColumn("date", F.to_date("session_start"))
     attributes = [c for c in ATTRIBUTES if c in hits.columns]

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.standardize import strip
 
 TRUE_FALSE = ("yes", "no", "y", "n", "true", "false", "t", "f", "1", "0")
-#: Date patterns that are tried when none is given.
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyyMMdd", "d MMM yyyy", "MMM d, yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy")
-TIME_FORMATS = ("H:m:s", "H:m", "h:m:s a", "h:m a")
+#: Date patterns that are tried when none is given; a full stop or comma after a month's name or a day has gone before.
+DATE_FORMATS = (
+    "yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "M/d/yy", "d-M-yyyy", "d.M.yyyy", "yyyyMMdd", "yyyy",
+    *(f.replace("MMM", m) for m in ("MMM", "MMMM") for f in ("d MMM yyyy", "MMM d yyyy", "MMM yyyy", "MMM-yyyy")),
+)
+TIME_FORMATS = ("H:m:s", "H:m", "HHmm", "h:m:s a", "h:m a")
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,7 @@ WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 
 
 def _as_time(x: Column, formats: tuple[str, ...]) -> Column:
-    x = F.regexp_replace(x, WEEKDAY, "")
+    x = F.regexp_replace(F.regexp_replace(x, WEEKDAY, ""), r"(?<=[A-Za-z])\.?,?(?=[ -])|(?<=\d),(?= )", "")
     return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats])
 
 
@@ -58,7 +61,7 @@ def problems(rule: Rule) -> list[Column]:
     elif rule.kind == "date":
         found.append(((text != "") & _as_time(text, rule.formats or DATE_FORMATS).isNull(), "not a date"))
     elif rule.kind == "datetime":
-        formats = rule.formats or tuple(f"{d}{s}{t}" for d in DATE_FORMATS for s in (" ", "'T'") for t in TIME_FORMATS) + DATE_FORMATS
+        formats = rule.formats or tuple(f"{d}{s}{t}" for d in DATE_FORMATS if "d" in d for s in (" ", "'T'") for t in TIME_FORMATS) + (*DATE_FORMATS, "MMM d H:m:s yyyy")
         found.append(((text != "") & _as_time(text, formats).isNull(), "not a date and time"))
     else:
         raise ValueError(f"no such kind: {rule.kind}")

@@ -1,19 +1,21 @@
-"""The usage store (Parquet by collection and year), merges, deletes and upserts."""
+"""The metric store (Parquet by collection and year), merges, deletes and upserts."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .usage import COUNTERS
+from .metrics import COUNTERS
 
 PARTITIONS = ("collection", "year")
 
 
-def merge_usage(existing: DataFrame, new: DataFrame, key: str = "id", counters: tuple[str, ...] = COUNTERS) -> DataFrame:
+def merge_metrics(existing: DataFrame, new: DataFrame, key: str = "id", counters: tuple[str, ...] = COUNTERS) -> DataFrame:
     """Counters of equal ids are added, those of one side kept; other columns come from the new row where there is one."""
     a, b = existing.alias("a"), new.alias("b")
     columns = []
@@ -33,10 +35,32 @@ def last_write_wins(existing: DataFrame, new: DataFrame, key: str = "id", order:
     return both.withColumn("__rank", rank).where("__rank = 1").drop("__new", "__rank")
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None, keep_old_if_blank: tuple[str, ...] = (), force: bool = True) -> DataFrame:
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+
+
+def _row_of_key(new: DataFrame, keys: list[str], update: list[str], keep_old_if_blank: tuple[str, ...], force: bool, order: list[str]) -> DataFrame:
+    """One row per key: what its rows, taken one after the other, leave behind. Rows are ordered by ``order``, then by all columns."""
+    comparable = [c for c in [*order, *new.columns] if "map<" not in new.schema[c].dataType.simpleString()]
+    turn = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(comparable)])
+    columns = []
+    for c in new.columns:
+        if c in keys:
+            continue
+        first, last = F.min_by(c, turn), F.max_by(c, turn)
+        if force and c in keep_old_if_blank and c in update:
+            last = F.coalesce(F.max_by(F.when(~_blank(c), F.col(c)), F.when(~_blank(c), turn)), first)
+        columns.append((last if force and c in update else first).alias(c))
+    return new.groupBy(*keys).agg(*columns).select(*new.columns) if columns else new.select(*keys).distinct()
+
+
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], update: list[str] | None = None, keep_old_if_blank: tuple[str, ...] = (), force: bool = True, order: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``new`` with unknown keys are inserted. Known ones get the columns of ``update`` (default: all) if ``force``;
-    columns of ``keep_old_if_blank`` keep their value where the new one is blank. Keys are unique on both sides."""
+    columns of ``keep_old_if_blank`` keep their value where the new one is blank. Keys of ``existing`` are unique. Rows of
+    ``new`` with one key are taken one after the other (by ``order``, then by all columns): the first is inserted, the
+    others update it."""
     update = [c for c in (update if update is not None else new.columns) if c not in keys]
+    new = _row_of_key(new, keys, update, keep_old_if_blank, force, list(order))
     a, b = existing.withColumn("__old", F.lit(True)).alias("a"), new.withColumn("__new", F.lit(True)).alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys])
     columns = []
@@ -102,33 +126,72 @@ def load_conflicts(df: DataFrame, keys: list[str], max_lengths: dict[str, int])
     return with_match_count(df, keys).withColumn("reason", reason).where("reason is not null").drop("n_matches")
 
 
-class UsageStore:
-    """Usage documents under one path. Writes replace whole partitions and never the one that a plan still reads."""
+#: Columns of a metric document; journal columns may be absent.
+DOCUMENT = "id string, pid string, collection string, issn string, pid_v2 string, pid_v3 string, pid_generic string, media_language string, country_code string, date date, year_of_publication string, journal_main_title string, journal_subject_area_capes string, journal_subject_area_wos string, journal_acronym string, journal_publisher_name string, " + ", ".join(f"{c} long" for c in COUNTERS)
+
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+class MetricStore:
+    """Metric documents under one path. Writes replace whole partitions and never the one that a plan still reads.
+
+    With a ``schema`` (such as DOCUMENT) the store has those columns: absent ones are written as nulls, others are refused,
+    and it can be read before the first write.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.schema = spark.createDataFrame([], schema).schema if schema else None
+
+    def _at(self, path: str):
+        found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
 
     def read(self, schema=None) -> DataFrame | None:
-        """None before the first write."""
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            return None
-        return reader.parquet(self.path)
+        """None before the first write, if no schema is given."""
+        schema = schema or self.schema and T.StructType([*self.schema, T.StructField("year", T.IntegerType())])
+        system, path = self._at(self.path)
+        if not system.exists(path):
+            return self.spark.createDataFrame([], schema) if self.schema else None
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self.path)
+
+    def _partition(self, collection: str, year: int) -> str:
+        return f"{self.path}/collection={self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(collection)}/year={year}"
+
+    def create(self, collection: str, year: int) -> bool:
+        """Makes the partition if it is absent; whether it was."""
+        system, path = self._at(self._partition(collection, year))
+        return not system.exists(path) and system.mkdirs(path)
+
+    def partitions(self) -> list[tuple[str, int]]:
+        """(collection, year) of all partitions, empty ones too."""
+        system, path = self._at(f"{self.path}/collection=*/year=*")
+        unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        parts = [x.getPath() for x in system.globStatus(path) or []]
+        return sorted((unescape(p.getParent().getName().removeprefix("collection=")), int(p.getName().removeprefix("year="))) for p in parts)
+
+    def _fitted(self, documents: DataFrame) -> DataFrame:
+        if self.schema is None:
+            return documents
+        if other := {*documents.columns} - {*self.schema.names}:
+            raise ValueError(f"not columns of the store: {sorted(other)}")
+        return documents.select(*[(F.col(f.name) if f.name in documents.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
 
     def write(self, documents: DataFrame) -> None:
-        """Replaces the partitions that ``documents`` has rows of; others stay."""
-        rows = documents.withColumn("year", F.year("date"))
-        rows.repartition(*PARTITIONS, "date").sortWithinPartitions("date", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path)
-
-    def _staged(self, documents: DataFrame) -> DataFrame:
-        path = f"{self.path.rstrip('/')}-staged"
-        documents.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(documents.schema).parquet(path)
+        """Replaces the partitions that ``documents`` has rows of; others stay. A day with very many rows is several tasks."""
+        rows = self._fitted(documents).withColumn("year", F.year("date")).hint("rebalance", *PARTITIONS, "date")
+        rows.sortWithinPartitions("date", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path)
+
+    def _replace(self, documents: DataFrame) -> None:
+        """Writes what was made from the store itself, by way of a fresh folder beside it."""
+        staged = f"{self.path}-staged-{uuid.uuid4().hex}"
+        documents.write.parquet(staged)
+        self.write(self.spark.read.schema(documents.schema).parquet(staged))
+        system, path = self._at(staged)
+        system.delete(path, True)
 
     def _touched(self, documents: DataFrame, keys: DataFrame) -> DataFrame | None:
         old = self.read()
-        return None if old is None else old.join(keys, keys.columns, "left_semi").select(*documents.columns)
+        names = self.schema.names if self.schema else documents.columns
+        return None if old is None else old.join(keys, keys.columns, "left_semi").select(*names)
 
     def put(self, documents: DataFrame) -> None:
         """By id, last write wins."""
@@ -136,24 +199,38 @@ class UsageStore:
 
     def accumulate(self, documents: DataFrame) -> None:
         """Adds counters to stored ids. Running twice counts twice; ``replace_days`` does not."""
-        self._rewrite(documents, merge_usage)
+        self._rewrite(documents, merge_metrics)
 
     def _rewrite(self, documents: DataFrame, combine) -> None:
         keys = documents.select("collection", F.year("date").alias("year")).distinct()
         old = self._touched(documents, keys)
-        self.write(documents if old is None else self._staged(combine(old, documents)))
+        if old is None:
+            self.write(documents)
+        else:
+            self._replace(combine(old, self._fitted(documents)))
 
     def replace_days(self, documents: DataFrame, days: DataFrame | None = None) -> None:
-        """Stored rows of the (collection, date) in ``days`` (default: those of ``documents``) give way to ``documents``."""
+        """Stored rows of the (collection, date) in ``days`` (default: those of ``documents``) give way to ``documents``.
+
+        Partitions that are left without a row are dropped. The partitions that the days touch (some hundreds) are listed.
+        """
         days = (documents if days is None else days).select("collection", "date").distinct()
         years = days.select("collection", F.year("date").alias("year")).distinct()
         old = self._touched(documents, years)
-        rest = documents if old is None else old.join(days, ["collection", "date"], "left_anti").unionByName(documents)
-        self.write(self._staged(rest))
+        if old is None:
+            self.write(documents)
+            return
+        emptied = {tuple(r) for r in years.collect()}
+        rest = old.join(days, ["collection", "date"], "left_anti").unionByName(self._fitted(documents))
+        emptied -= {tuple(r) for r in rest.select("collection", F.year("date")).distinct().collect()}
+        self._replace(rest)
+        for collection, year in emptied:
+            if collection is not None and year is not None:
+                self.drop(collection, year)
 
     def drop(self, collection: str, year: int) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/collection={collection}/year={year}")
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        system, path = self._at(self._partition(collection, year))
+        system.delete(path, True)
 
 
 def archive(df: DataFrame, expired: Column, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Raw log lines to usage documents and dead letters: one lazy plan with two outputs."""
+"""Raw log lines to metric documents and dead letters: one lazy plan with two outputs."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import loglines
 from ..operators import checks, coverage, filters, joins
-from ..operators.store import UsageStore
-from ..operators.usage import ATTRIBUTES, Rules, usage_documents
+from ..operators.store import MetricStore
+from ..operators.metrics import ATTRIBUTES, Rules, metric_documents
 
 
 @dataclass
@@ -35,35 +35,38 @@ def parsed_lines(lines: DataFrame, files: DataFrame, catalogue: Catalogue) -> Da
     return good.withColumn("seq", F.xxhash64("url", "value"))
 
 
-def item_accesses(lines: DataFrame, files: DataFrame, catalogue: Catalogue, codes: dict[str, str], check_catalogue: bool = True) -> DataFrame:
-    """Every parsed line with its item data, is_valid, code and message."""
-    parsed = parsed_lines(lines, files, catalogue)
-    items = joins.url_item(parsed, catalogue.rules)
-    hit = F.struct(*joins.FIELDS).alias("item")
-    found = parsed.join(items.select("translator", "url", hit), ["translator", "url"], "left")
-    data = checks.item_access_data(found, F.col("collection"), codes, record="item")
+def checked_items(urls: DataFrame, catalogue: Catalogue, codes: dict[str, str], check_catalogue: bool = True) -> DataFrame:
+    """Distinct (translator, url) with standardized data, journal titles, is_valid, code and message. Catalogue lookups are
+    made here, once for each item, so that lines are moved by their address alone."""
+    data = checks.item_access_data(joins.url_item(urls, catalogue.rules), F.lit(None).cast("string"), codes).drop("collection")
     titles = [c for c in ATTRIBUTES if c in catalogue.journals.columns]
     data = data.drop(*titles).join(catalogue.journals.select("issn", *titles).dropDuplicates(["issn"]), "issn", "left")
     known = checks.known_pids(catalogue.articles) if check_catalogue else None
     issns = checks.known_issns(catalogue.journals) if check_catalogue else None
-    checked = checks.check_access(data, known, issns)
-    no_item = F.col("item").isNull()
+    return checks.check_access(data, known, issns)
+
+
+def item_accesses(lines: DataFrame, files: DataFrame, catalogue: Catalogue, codes: dict[str, str], check_catalogue: bool = True) -> DataFrame:
+    """Every parsed line with its item data, is_valid, code and message."""
+    parsed = parsed_lines(lines, files, catalogue)
+    checked = parsed.join(checked_items(parsed, catalogue, codes, check_catalogue), ["translator", "url"], "left")
+    no_item = F.col("code").isNull()
     return checked.withColumns({
-        "is_valid": F.col("is_valid") & ~no_item,
+        "is_valid": F.coalesce("is_valid", F.lit(False)),
         "code": F.when(no_item, "no_item").when(F.col("code") == "missing_fields", "no_data").otherwise(F.col("code")),
         "message": F.when(no_item, "The address names no item.").otherwise(F.col("message")),
     })
 
 
 def run(lines: DataFrame, files: DataFrame, catalogue: Catalogue, codes: dict[str, str], rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
-    """(usage documents, dead letters)."""
+    """(metric documents, dead letters)."""
     checked = item_accesses(lines, files, catalogue, codes)
-    documents = usage_documents(checked.where("is_valid"), rules)
+    documents = metric_documents(checked.where("is_valid"), rules)
     letters = checks.dead_letters(checked, ["file", "url", "local_datetime", "ip_address"], ["collection", "issn", "pid_v2", "pid_v3", "pid_generic", "media_language", "media_format", "content_type"])
     return documents, letters
 
 
-def recompute_days(store: UsageStore, documents: DataFrame, days: DataFrame) -> None:
+def recompute_days(store: MetricStore, documents: DataFrame, days: DataFrame) -> None:
     """Replaces whole days by what all of their files give: running again changes nothing."""
     store.replace_days(documents.join(days.select("collection", "date").distinct(), ["collection", "date"], "left_semi"), days)
 

@@ -6,13 +6,14 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import adapters as A
 from . import file_queries
 from .functions import dates, ids
 from .functions import standardize as S
-from .operators import checks, coverage, filters, joins, quality, store, usage
+from .operators import checks, coverage, filters, joins, quality, store, metrics
 from .sources import dumps
 from .streaming import ingest as streams
 
@@ -41,7 +42,7 @@ def standardized(spark: SparkSession, d: str) -> DataFrame:
 def checked(spark: SparkSession, d: str) -> DataFrame:
     hits = standardized(spark, d)
     articles, journals = A.catalogue(hits)
-    return checks.check_access(hits, checks.known_pids(articles), checks.known_issns(journals))
+    return checks.check_distinct(hits, checks.known_pids(articles), checks.known_issns(journals))
 
 
 CHECKED_SQL = f"""{A.RAW_HITS_SQL}, {A.STANDARD_SQL},
@@ -51,7 +52,7 @@ checked AS (
 KEYS = "client_name, client_version, ip_address, session_start, collection, issn, pid_v2, country_code, media_language"
 
 
-def _usage_sql(gap: int, unit: str, more: str = "") -> str:
+def _metrics_sql(gap: int, unit: str, more: str = "") -> str:
     keys = KEYS + more
     return f"""
 WITH {CHECKED_SQL},
@@ -75,27 +76,27 @@ FROM accesses GROUP BY collection, issn, pid_v2, media_language, country_code, s
 """
 
 
-def _documents(spark: SparkSession, d: str, rules: usage.Rules = usage.Rules()) -> DataFrame:
+def _documents(spark: SparkSession, d: str, rules: metrics.Rules = metrics.Rules()) -> DataFrame:
     hits = checked(spark, d).where("is_valid")
-    return usage.usage_documents(hits, rules).drop(*[c for c in usage.ATTRIBUTES if c != "year_of_publication"])
+    return metrics.metric_documents(hits, rules).drop(*[c for c in metrics.ATTRIBUTES if c != "year_of_publication"])
 
 
-@query(_usage_sql(30, "hour"))
-def usage_documents(spark, d):
+@query(_metrics_sql(30, "hour"))
+def metric_documents(spark, d):
     return _documents(spark, d)
 
 
-@query(_usage_sql(600, "day"))
-def usage_documents_long_gap(spark, d):
-    return _documents(spark, d, usage.Rules(gap_seconds=600, session_unit="day"))
+@query(_metrics_sql(600, "day"))
+def metric_documents_long_gap(spark, d):
+    return _documents(spark, d, metrics.Rules(gap_seconds=600, session_unit="day"))
 
 
-@query(_usage_sql(600, "day", ", media_format, content_type"))
-def usage_documents_per_access(spark, d):
-    return _documents(spark, d, usage.Rules(gap_seconds=600, session_unit="day", per="access"))
+@query(_metrics_sql(600, "day", ", media_format, content_type"))
+def metric_documents_per_access(spark, d):
+    return _documents(spark, d, metrics.Rules(gap_seconds=600, session_unit="day", per="access"))
 
 
-DOCUMENTS_SQL = _usage_sql(30, "hour").strip()
+DOCUMENTS_SQL = _metrics_sql(30, "hour").strip()
 DOCUMENTS_CTE = f"WITH docs AS ({DOCUMENTS_SQL})"
 
 
@@ -105,8 +106,8 @@ SELECT {KEYS}, media_format, content_type, strftime(local_datetime, '%M:%S') AS
 FROM (SELECT *, date_trunc('day', local_datetime) AS session_start FROM checked WHERE code = 'valid') GROUP BY ALL
 """)
 def click_histogram(spark, d):
-    rules = usage.Rules(session_unit="day", per="access")
-    out = usage.click_histogram(checked(spark, d).where("is_valid"), rules)
+    rules = metrics.Rules(session_unit="day", per="access")
+    out = metrics.click_histogram(checked(spark, d).where("is_valid"), rules)
     return out.select(*KEYS.split(", "), "media_format", "content_type", F.explode("clicks").alias("minute_second", "n"))
 
 
@@ -153,7 +154,7 @@ WITH {A.RAW_HITS_SQL}
 SELECT event_id,
   concat_ws('|', client_name, client_version, ip_address, strftime(local_datetime, '%Y-%m-%d'), strftime(local_datetime, '%H')) AS session_id,
   concat_ws('|', collection, issn, pid_v2, '', '', client_name, client_version, ip_address, strftime(local_datetime, '%Y-%m-%d'), strftime(local_datetime, '%H'), country_code, media_language, media_format, content_type) AS access_id,
-  'usage_' || collection || '_' || year(local_datetime) AS store, collection || ' - ' || issn || ' - ' || pid_v2 AS label,
+  'metrics_' || collection || '_' || year(local_datetime) AS store, collection || ' - ' || issn || ' - ' || pid_v2 AS label,
   pid_v2 AS pid
 FROM raw_hits
 """)
@@ -164,7 +165,7 @@ def identifiers(spark, d):
         "event_id",
         session.alias("session_id"),
         ids.item_access_id("collection", "issn", "pid_v2", none, none, session, "country_code", "media_language", "media_format", "content_type").alias("access_id"),
-        ids.store_name(F.lit("usage"), "collection", F.to_date("local_datetime")).alias("store"),
+        ids.store_name(F.lit("metrics"), "collection", F.to_date("local_datetime")).alias("store"),
         ids.display_label("collection", "issn", "pid_v2").alias("label"),
         ids.canonical_pid(none, "pid_v2", F.lit("x")).alias("pid"),
     )
@@ -219,6 +220,13 @@ def languages(spark, d):
     return A.table(spark, d, "documents").select("doc_id", S.std_language(raw, codes).alias("language"), S.language_iso(raw, codes).alias("iso"))
 
 
+@query("SELECT doc_id, ['he', 'id', 'yi', 'ro', 'jv', 'he'][doc_id % 6 + 1] AS language FROM documents")
+def renewed_languages(spark, d):
+    """Codes that are no longer in use."""
+    raw = F.element_at(F.array(*map(F.lit, ("iw", "in-ID", "JI", "mo_MD", "jw", "heb"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return A.table(spark, d, "documents").select("doc_id", S.std_language(raw, S.language_codes(spark)).alias("language"))
+
+
 @query("""
 SELECT p_partkey, trim(regexp_replace('  ' || p_name || '   ' || p_type, '\\s+', ' ', 'g')) AS squeezed,
        list_filter(list_transform(string_split(replace(p_name || ' , ' || p_brand || '|' || p_type, '|', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS names,
@@ -260,9 +268,10 @@ def content_hashes(spark, d):
 # Filters
 
 
-@query("SELECT page_id FROM pages WHERE url IS NULL OR NOT regexp_matches(url, '(?i)blog\\.|spam|/en/2.*$')")
+@query("SELECT page_id FROM pages WHERE url IS NULL OR NOT regexp_matches(url, '(?i)blog\\.|spam|/en/2.*$|nn') AND NOT contains(url, 'EN')")
 def without_robots(spark, d):
-    robots = spark.createDataFrame([("Blog\\.",), ("spam",), ("/en/2.*$",)], "pattern string")
+    """Patterns with groups, a reference to a group and a flag are each read by themselves."""
+    robots = spark.createDataFrame([("(B)log\\.",), ("spam",), ("/en/2.*$",), (r"(n)\1",), ("(?-i)EN",)], "pattern string")
     return filters.without_robots(A.table(spark, d, "pages"), robots, "url").select("page_id")
 
 
@@ -306,6 +315,26 @@ def paging(spark, d):
     return filters.page(rows, [F.desc("c_acctbal"), F.desc("c_custkey")], 2, 10).select("c_custkey", "c_name")
 
 
+@query("""
+SELECT 'newest' AS kind, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place, o_orderkey::VARCHAR AS id FROM orders
+UNION ALL SELECT 'name', row_number() OVER (ORDER BY c_mktsegment, c_custkey), c_custkey::VARCHAR FROM customer
+""")
+def orderings(spark, d):
+    """Places of all rows in both orders."""
+
+    def placed(df: DataFrame, kind: str, key: str) -> DataFrame:
+        # the parts of a sorted table follow each other: a row's place is its number in its part after the rows of the parts before
+        parts = df.select(F.lit(kind).alias("kind"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("id"))
+        parts = parts.withColumn("at", F.col("row").bitwiseAND((1 << 33) - 1))
+        sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+        before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+        return parts.join(F.broadcast(before), "part").select("kind", (F.col("before") + F.col("at") + 1).alias("place"), "id")
+
+    newest = filters.newest_first(A.table(spark, d, "orders"), "o_orderdate", "o_orderkey")
+    named = filters.by_name(A.table(spark, d, "customer"), "c_mktsegment", "c_custkey")
+    return placed(newest, "newest", "o_orderkey").union(placed(named, "name", "c_custkey"))
+
+
 @query("SELECT source, arg_min(lang, CASE lang WHEN 'de' THEN 0 WHEN 'es' THEN 2 WHEN 'en' THEN 3 ELSE 4 END) AS lang FROM documents GROUP BY source")
 def preferred_languages(spark, d):
     return filters.preferred_language(A.table(spark, d, "documents"), ["source"], "lang", "de").select("source", "lang")
@@ -314,6 +343,33 @@ def preferred_languages(spark, d):
 # Joins
 
 
+@query(r"""
+WITH u AS (SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN 'Classic' WHEN 1 THEN 'OPAC' ELSE 'unknown' END AS translator, url FROM pages),
+p AS (SELECT *, regexp_extract(url, '^https?://[^/]+/([a-z]{2})/([0-9]+).*$', ['l', 'n']) AS c FROM u WHERE translator = 'OPAC')
+SELECT translator, url, c.n AS pid_generic, c.l AS media_language FROM p WHERE c.n <> ''
+""")
+def registered_url_items(spark, d):
+    """Names in a registry stand for rule sets; an unknown name gives none."""
+    k = F.col("page_id") % 3
+    urls = A.table(spark, d, "pages").select(F.when(k == 0, "Classic").when(k == 1, "OPAC").otherwise("unknown").alias("translator"), "url")
+    return joins.url_item(urls, A.url_rules(spark), {"opac": "modern", "preprints": "classic"}).select("translator", "url", "pid_generic", "media_language")
+
+
+@query("""
+SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'ZA' WHEN user_id % 5 = 1 AND user_id % 256 < 128 THEN 'BR' WHEN user_id % 5 = 1 THEN 'LA' WHEN user_id % 5 = 2 THEN 'XX' END AS country
+FROM events
+""")
+def ipv6_countries(spark, d):
+    """IPv6 addresses in all ways of writing, in nested ranges of very different width, beside IPv4 ones."""
+    u, k = F.col("user_id"), F.col("user_id") % 5
+    low = F.lower(F.hex(u % 256))
+    ip = F.when(k == 0, F.concat(F.lit("2C0F:0:"), low, F.lit("::1"))).when(k == 1, F.concat(F.lit("2804:14c:0:0:0:0:0:"), low)).when(k == 2, F.format_string("10.1.%d.%d", F.floor(u / 256), u % 256)).when(k == 3, F.concat(F.lit("3fff::"), low)).otherwise("no:address")
+    v6 = [("2c00::", "2c0f:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "ZA"), ("2800::", "28ff:ffff::ffff", "LA"), ("2804:14c::", "2804:14c::7f", "BR"), ("::1", "::ff", "YY")]
+    v4 = spark.createDataFrame([((10 << 24) + (1 << 16), (10 << 24) + (2 << 16) - 1, "XX")], "start long, end long, country string")
+    out = joins.ip_country(A.table(spark, d, "events").withColumn("ip_address", ip), v4, ranges_v6=spark.createDataFrame(v6, "start string, end string, country string"))
+    return out.select("event_id", F.col("country_code").alias("country"))
+
+
 def _journals(spark: SparkSession, d: str) -> DataFrame:
     return A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("journal_id"), F.array((F.col("s_suppkey") * 3).cast("string"), (F.col("s_suppkey") * 5).cast("string"), F.lit("")).alias("issns"))
 
@@ -358,7 +414,7 @@ SELECT hash, CASE WHEN collection = 'aaa' THEN CASE WHEN path LIKE '%/node3/%' T
                   WHEN collection = 'bbb' AND path LIKE '%/node1/%' THEN 'preprints' END AS translator FROM log_files
 """)
 def file_translators(spark, d):
-    rows = [("aaa", "/node3/", 1, "modern"), ("aaa", "/logs/", 2, "classic"), ("bbb", "/node1/", 1, "preprints"), ("bbb", "/node1", 2, "other"), ("ccc", "/nowhere/", 1, "classic")]
+    rows = [("aaa", "/logs/", 0, None), ("bbb", "/node", 0, ""), ("aaa", "/node3/", 1, "modern"), ("aaa", "/logs/", 2, "classic"), ("bbb", "/node1/", 1, "preprints"), ("bbb", "/node1", 2, "other"), ("ccc", "/nowhere/", 1, "classic")]
     directories = spark.createDataFrame(rows, "collection string, directory string, position int, translator string")
     return joins.file_translator(A.log_files(spark, d), directories).select("hash", "translator")
 
@@ -458,16 +514,29 @@ def file_validation(spark, d):
     return coverage.validate_files(_lines(spark, d), fraction=1.0)
 
 
+@query(f"""
+WITH {LINES_SQL}, numbered AS (
+  SELECT *, ('0x' || substr(md5(file || '|' || seq), 1, 8))::BIGINT % 1000000 < 300000 AS s FROM lines),
+judged AS (SELECT * FROM numbered n WHERE s OR NOT EXISTS (SELECT 1 FROM numbered m WHERE m.file = n.file AND m.s))
+SELECT file, count(*) AS sampled, (count(*) FILTER (reason IS NULL))::DOUBLE / count(*) AS share, max(local_datetime::DATE) AS probable_date,
+       CASE WHEN 2 * count(*) FILTER (reason IS NULL) >= count(*) THEN 'QUE' ELSE 'INV' END AS status
+FROM judged GROUP BY file
+""")
+def sampled_validation(spark, d):
+    """Three in ten lines; files without a line among them are judged by all."""
+    return coverage.validate_files(_lines(spark, d), fraction=0.3)
+
+
 # Store and merges
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     hits = checked(spark, d).where("is_valid")
-    return tuple(usage.usage_documents(hits.where(F.col("event_id") % 2 == i)).drop(*usage.ATTRIBUTES) for i in (0, 1))
+    return tuple(metrics.metric_documents(hits.where(F.col("event_id") % 2 == i)).drop(*metrics.ATTRIBUTES) for i in (0, 1))
 
 
 def _half_sql(i: int) -> str:
-    return _usage_sql(30, "hour").replace("FROM checked WHERE code = 'valid'", f"FROM checked WHERE code = 'valid' AND event_id % 2 = {i}").strip()
+    return _metrics_sql(30, "hour").replace("FROM checked WHERE code = 'valid'", f"FROM checked WHERE code = 'valid' AND event_id % 2 = {i}").strip()
 
 
 @query(f"""
@@ -476,7 +545,7 @@ SELECT id, sum(total_requests)::BIGINT AS total_requests, sum(total_investigatio
        sum(unique_requests)::BIGINT AS unique_requests, sum(unique_investigations)::BIGINT AS unique_investigations FROM u GROUP BY id
 """)
 def accumulate_merge(spark, d):
-    return store.merge_usage(*_halves(spark, d)).select("id", *usage.COUNTERS)
+    return store.merge_metrics(*_halves(spark, d)).select("id", *metrics.COUNTERS)
 
 
 @query(f"""
@@ -571,8 +640,8 @@ SELECT collection, issn, country_code, grouping_id(collection, issn, country_cod
        sum(total_investigations)::BIGINT AS total_investigations, sum(unique_requests)::BIGINT AS unique_requests, sum(unique_investigations)::BIGINT AS unique_investigations
 FROM docs GROUP BY CUBE (collection, issn, country_code)
 """)
-def usage_cube(spark, d):
-    return usage.rollup(_documents(spark, d), ["collection", "issn", "country_code"], "cube")
+def metrics_cube(spark, d):
+    return metrics.rollup(_documents(spark, d), ["collection", "issn", "country_code"], "cube")
 
 
 @query(f"""{DOCUMENTS_CTE}
@@ -580,9 +649,9 @@ SELECT area, collection, sum(total_requests)::BIGINT AS total_requests, sum(tota
        sum(unique_requests)::BIGINT AS unique_requests, sum(unique_investigations)::BIGINT AS unique_investigations
 FROM (SELECT *, unnest(['area' || issn[9:9], 'all']) AS area FROM docs) GROUP BY area, collection
 """)
-def usage_by_subject(spark, d):
+def metrics_by_subject(spark, d):
     documents = _documents(spark, d).withColumn("area", F.concat(F.lit("area"), F.substring("issn", 9, 1), F.lit(" , all")))
-    return usage.rollup_by_member(documents, "area", ["collection"])
+    return metrics.rollup_by_member(documents, "area", ["collection"])
 
 
 @query(f"""{DOCUMENTS_CTE}, s AS (SELECT collection, date, pid, sum(total_requests)::BIGINT AS total_requests FROM docs GROUP BY ALL)
@@ -590,7 +659,7 @@ SELECT collection, date, pid, total_requests, rank::INTEGER AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY collection, date ORDER BY total_requests DESC, pid) AS rank FROM s) WHERE rank <= 2
 """)
 def top_documents(spark, d):
-    return usage.top_items(_documents(spark, d), ["collection", "date"], ["pid"], n=2)
+    return metrics.top_items(_documents(spark, d), ["collection", "date"], ["pid"], n=2)
 
 
 # Table checks
@@ -614,6 +683,47 @@ def table_checks(spark, d):
     return quality.check_table(A.table(spark, d, "documents"), rules, "doc_id")
 
 
+DATE_FORMS = (
+    "MM/dd/yyyy", "M/d/yy", "yyyy-MM-dd", "yyyy/MM/dd", "MMM d, yyyy", "MMM. d yyyy", "d MMM., yyyy", "d MMMM yyyy", "yyyy", "MMM, yyyy", "MMM.-yyyy", "MMMM yyyy", "EEE MMM d, yyyy",
+    "'2020-13-'dd", "d'/'d'/x'", "'Febuary 'd yyyy",
+)
+TIME_FORMS = ("MM/dd/yy HHmm", "yyyy/MM/dd hh:mm a", "MMM. d, yyyy HH:mm:ss", "d MMMM yyyy HHmm", "yyyy", "EEE MMM d HH:mm:ss yyyy", "MM/dd/yyyy 'at' HHmm", "yyyy-MM-dd HH'h'")
+
+
+@query(f"""
+SELECT 'not a date' AS message, o_orderkey::VARCHAR AS row_id, 'day' AS "column" FROM orders WHERE o_orderkey % {len(DATE_FORMS)} >= 13
+UNION ALL SELECT 'not a date and time', o_orderkey::VARCHAR, 'time' FROM orders WHERE o_orderkey % {len(TIME_FORMS)} >= 6
+""")
+def date_forms(spark, d):
+    """Dates and times written in many ways, some of which are none."""
+    k = F.col("o_orderkey")
+
+    def written(forms: tuple[str, ...]):
+        return F.coalesce(*[F.when(k % len(forms) == i, F.date_format("o_orderdate", f)) for i, f in enumerate(forms)])
+
+    rows = A.table(spark, d, "orders").select("o_orderkey", written(DATE_FORMS).alias("day"), written(TIME_FORMS).alias("time"))
+    return quality.check_table(rows, [quality.Rule("day", kind="date"), quality.Rule("time", kind="datetime")], "o_orderkey")
+
+
+@query("""
+SELECT 'extra column' AS message, NULL::VARCHAR AS row_id, x AS "column" FROM (VALUES ('LANG'), ('n_chars')) t(x)
+UNION ALL SELECT 'missing value', doc_id::VARCHAR, 'source' FROM documents WHERE coalesce(source, '') = ''
+UNION ALL SELECT 'too short', doc_id::VARCHAR, 'text' FROM documents WHERE text <> '' AND length(text) < 40
+""")
+def extra_columns(spark, d):
+    rules = [quality.Rule("doc_id"), quality.Rule("text", min_length=40), quality.Rule("source", value_required=True)]
+    return quality.check_table(A.table(spark, d, "documents").withColumnRenamed("lang", "LANG"), rules, "doc_id", extra_allowed=False)
+
+
+@query("""
+SELECT "column", message, count(*) AS n FROM (
+  SELECT 'text' AS "column", 'too short' AS message FROM documents WHERE text <> '' AND length(text) < 100
+  UNION ALL SELECT 'lang', 'not an integer' FROM documents WHERE lang <> '') GROUP BY ALL
+""")
+def error_counts(spark, d):
+    return quality.count_errors(quality.check_table(A.table(spark, d, "documents"), [quality.Rule("text", min_length=100), quality.Rule("lang", kind="integer")], "doc_id"))
+
+
 # Streams
 
 
@@ -633,7 +743,7 @@ FROM raw_hits GROUP BY date_trunc('hour', local_datetime), client_name, ip_addre
 def stream_sessions(spark, d):
     out = file_queries.scratch(spark, "sessions")
     hits = A.raw_hits(spark, d).withColumns({"pid_v3": F.lit(""), "pid_generic": F.lit("")})
-    hits.select("local_datetime", *usage.SESSION, *usage.ITEM).write.parquet(f"{out}/hits")
+    hits.select("local_datetime", *metrics.SESSION, *metrics.ITEM).write.parquet(f"{out}/hits")
     sessions = streams.hourly_sessions(streams.stream_table(spark, f"{out}/hits"), "3650 days")
     running = sessions.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint")
     running = running.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/rows")).trigger(availableNow=True).start()
@@ -641,13 +751,48 @@ def stream_sessions(spark, d):
     return spark.read.schema(sessions.schema).parquet(f"{out}/rows").select("hour", "ip_address", "issn", "n_clicks", "first", "last")
 
 
-@query(_usage_sql(30, "hour"))
+@query(f"""
+WITH {A.RAW_HITS_SQL}, marks AS (SELECT max(local_datetime) FILTER (event_id % 2 = 0) - INTERVAL 6 HOUR AS first, max(local_datetime) - INTERVAL 6 HOUR AS last FROM raw_hits),
+timed AS (SELECT *, date_trunc('hour', local_datetime) + INTERVAL 1 HOUR AS closes FROM raw_hits)
+SELECT (closes - INTERVAL 1 HOUR)::TIMESTAMP AS hour, ip_address, issn, count(*) AS n_clicks, min(local_datetime) AS first, max(local_datetime) AS last
+FROM timed, marks WHERE closes <= marks.last AND (event_id % 2 = 0 OR closes > marks.first)
+GROUP BY closes, client_name, ip_address, collection, issn, pid_v2
+""")
+def stream_late_sessions(spark, d):
+    """Closed hours only; half of the hits come after the hours that they belong to were closed and are left out."""
+    out = file_queries.scratch(spark, "late")
+    hits = A.raw_hits(spark, d).withColumns({"pid_v3": F.lit(""), "pid_generic": F.lit("")})
+    for part in (0, 1):
+        hits.where(F.col("event_id") % 2 == part).select("local_datetime", *metrics.SESSION, *metrics.ITEM).write.mode("append").parquet(f"{out}/hits")
+        sessions = streams.hourly_sessions(streams.stream_table(spark, f"{out}/hits"), "6 hours")
+        streams.ingest(sessions, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(sessions.schema).parquet(f"{out}/rows").select("hour", "ip_address", "issn", "n_clicks", "first", "last")
+
+
+@query(f"""
+WITH {CHECKED_SQL}, clicks AS (SELECT *, date_trunc('hour', local_datetime) AS session_start FROM checked WHERE code = 'valid'),
+ordered AS (SELECT *, lead(local_datetime) OVER (PARTITION BY {KEYS} ORDER BY local_datetime, seq) AS later FROM clicks)
+SELECT ip_address, collection, issn, local_datetime AS second, count(*) AS n_clicks, bool_or(later IS NULL OR date_diff('second', local_datetime, later) > 30) AS kept
+FROM ordered GROUP BY {KEYS}, local_datetime
+""")
+def stream_closed_hours(spark, d):
+    """The double-click filter over hits that arrive by closed hours, some hours in each batch."""
+    out = file_queries.scratch(spark, "hours")
+    hits = checked(spark, d).where("is_valid")
+    for part in (0, 1):
+        hits.where(F.hour("local_datetime") % 2 == part).write.mode("append").parquet(f"{out}/hits")
+        stream = streams.stream_table(spark, f"{out}/hits")
+        streams.for_each_batch(stream, lambda df, n, part=part: streams.closed_hour_clicks(df).write.mode("overwrite").parquet(f"{out}/kept/part={part}/batch={n}"), f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/kept/part=*/batch=*").select("ip_address", "collection", "issn", "second", "n_clicks", "kept")
+
+
+@query(_metrics_sql(30, "hour"))
 def stream_merge(spark, d):
     out = file_queries.scratch(spark, "merge")
-    target = store.UsageStore(spark, f"{out}/store")
+    target = store.MetricStore(spark, f"{out}/store")
     hits = checked(spark, d).where("is_valid")
     for part in (0, 1):  # two batches of one stream, each with rows of the same days
         hits.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{out}/hits")
         stream = streams.stream_table(spark, f"{out}/hits")
-        streams.merge_into_store(stream, f"{out}/raw", target, f"{out}/checkpoint", usage.usage_documents).awaitTermination()
+        streams.merge_into_store(stream, f"{out}/raw", target, f"{out}/checkpoint", metrics.metric_documents).awaitTermination()
     return target.read().select(*_documents(spark, d).columns)

@@ -14,7 +14,8 @@ EXTENSIONS = (".log", ".gz")
 
 
 def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``value, file``: one row per line of plain or gzip text. A gzip file is one task, so rows are dealt out afterwards."""
+    """``value, file``: one row per line of plain or gzip text. A gzip file cannot be split and is one task; deal its rows out
+    (``repartition``) before heavy work if files are few and large."""
     return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
 
 

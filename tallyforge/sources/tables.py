@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import tarfile
 
 import pyarrow as pa
@@ -25,6 +26,12 @@ def read_tsv_archive(spark: SparkSession, path: str, columns: list[str], sep: st
 
     Other files among ``path`` are read as plain TSV by their extension.
     """
+    return unpack_archives(spark.read.format("binaryFile").load(path), columns, sep)
+
+
+def unpack_archives(files: DataFrame, columns: list[str], sep: str = "\t", rows_each: int = 10_000) -> DataFrame:
+    """As ``read_tsv_archive`` of files given as ``path, content``. An archive is one row and is unpacked member by member;
+    its lines leave the task in runs of ``rows_each``."""
     names = [*columns, "member"]
 
     def run(batches):
@@ -32,16 +39,18 @@ def read_tsv_archive(spark: SparkSession, path: str, columns: list[str], sep: st
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 if file.endswith((".tar.gz", ".tgz")):
                     with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as archive:
-                        parts = [(m.name, archive.extractfile(m).read()) for m in archive if m.isfile() and m.name.endswith(".csv")]
+                        for m in archive:
+                            if m.isfile() and m.name.endswith(".csv"):
+                                yield from lines(m.name, archive.extractfile(m))
                 else:
-                    parts = [(file.rsplit("/", 1)[-1], content)]
-                for member, raw in parts:
-                    rows = list(csv.DictReader(io.StringIO(raw.decode("utf-8")), delimiter=sep))
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([*(pa.array([r.get(c) for r in rows], pa.string()) for c in columns), pa.array([member] * len(rows))], names=names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+                    yield from lines(file.rsplit("/", 1)[-1], io.BytesIO(content))
+
+    def lines(member, raw):
+        reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8", newline=""), delimiter=sep)
+        while rows := list(itertools.islice(reader, rows_each)):
+            yield pa.RecordBatch.from_arrays([*(pa.array([r.get(c) for r in rows], pa.string()) for c in columns), pa.array([member] * len(rows))], names=names)
+
+    return files.select("path", "content").mapInArrow(run, T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
 
 def read_robots(spark: SparkSession, path: str) -> DataFrame:

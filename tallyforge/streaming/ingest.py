@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import UsageStore
-from ..operators.usage import ITEM, SESSION, Rules, kept_clicks
+from ..operators.store import MetricStore
+from ..operators.metrics import ITEM, SESSION, Rules, kept_clicks
 
 
 def stream_logs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -49,18 +49,21 @@ def for_each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], ch
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merge_into_store(hits: DataFrame, raw_path: str, store: UsageStore, checkpoint: str, documents_of: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Keeps each batch's hits under its number and recomputes the days that it touches from all hits kept, so that a batch
-    that runs twice changes nothing."""
+def merge_into_store(hits: DataFrame, raw_path: str, store: MetricStore, checkpoint: str, documents_of: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Keeps each batch's hits by collection, day and batch number and recomputes the days that it touches from all hits
+    kept of those days, so that a batch that runs twice changes nothing. No other days are read. Hits without a collection
+    or time are left out."""
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("date", F.to_date("local_datetime")).write.mode("overwrite").partitionBy("date").parquet(f"{raw_path}/batch={number}")
-        kept = spark.read.option("basePath", raw_path).parquet(f"{raw_path}/batch={number}")
-        days = kept.select("collection", "date").distinct()
-        every = spark.read.option("basePath", raw_path).parquet(f"{raw_path}/batch=*")
-        touched = every.join(days, ["collection", "date"], "left_semi")
-        store.replace_days(documents_of(touched.drop("batch", "date")), days)
+        rows = batch.withColumns({"date": F.to_date("local_datetime"), "batch": F.lit(number)}).where("collection is not null and date is not null")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "date", "batch").parquet(raw_path)
+        days = rows.select("collection", "date").distinct().collect()  # of one batch
+        if not days:
+            return
+        escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        kept = spark.read.schema(rows.schema).option("basePath", raw_path).parquet(*[f"{raw_path}/collection={escape(c)}/date={d}" for c, d in days])
+        store.replace_days(documents_of(kept.drop("batch", "date")), spark.createDataFrame(days, "collection string, date date"))
 
     return for_each_batch(hits, work, checkpoint)
 

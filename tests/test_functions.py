@@ -98,9 +98,9 @@ def test_ids(spark):
     df = spark.createDataFrame([("c|x", None, "1.2.3.4", dt.datetime(2024, 1, 2, 3, 4, 5))], "n string, v string, ip string, t timestamp_ntz")
     assert df.select(ids.session_id("n", "v", "ip", F.col("t"))).first()[0] == "c|x|None|1.2.3.4|2024-01-02|03"
     assert df.select(ids.session_id("n", "v", "ip", F.col("t"), "day")).first()[0] == "c|x|None|1.2.3.4|2024-01-02"
-    assert df.select(ids.store_name(F.lit("usage"), F.lit("aaa"), F.to_date("t"))).first()[0] == "usage_aaa_2024"
+    assert df.select(ids.store_name(F.lit("metrics"), F.lit("aaa"), F.to_date("t"))).first()[0] == "metrics_aaa_2024"
     with pytest.raises(Exception, match="a store name needs"):
-        df.select(ids.store_name(F.lit("usage"), F.lit(""), F.to_date("t"))).collect()
+        df.select(ids.store_name(F.lit("metrics"), F.lit(""), F.to_date("t"))).collect()
     assert df.select(ids.canonical_pid(F.lit(""), F.lit(None).cast("string"), F.lit(""))).first()[0] == ""
 
 

@@ -3,8 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import checks, usage
-from tallyforge.operators.usage import Rules
+from tallyforge.operators import checks, metrics
+from tallyforge.operators.metrics import Rules
 
 BASE = dict(client_name="c", client_version="1", ip_address="10.0.0.1", collection="aaa", issn="1234-5678", pid_v2="p", pid_v3="", pid_generic="", media_language="en", media_format="html", content_type="full_text", country_code="BR")
 KIND = ", ".join(f"{c} string" for c in BASE) + ", local_datetime timestamp_ntz, seq long"
@@ -17,13 +17,13 @@ def hits(spark, *rows):
 
 
 def counters(df, rules=Rules()):
-    rows = usage.usage_documents(df, rules).agg(*[F.sum(c).alias(c) for c in usage.COUNTERS]).first()
+    rows = metrics.metric_documents(df, rules).agg(*[F.sum(c).alias(c) for c in metrics.COUNTERS]).first()
     return tuple(rows)
 
 
 def test_double_click_chain(spark):
     df = hits(spark, (0, {}), (20, {}), (40, {}), (100, {}))
-    kept = usage.kept_clicks(df).where("kept").orderBy("second").collect()
+    kept = metrics.kept_clicks(df).where("kept").orderBy("second").collect()
     assert [r.second.second + 60 * r.second.minute for r in kept] == [40, 100]
     assert counters(df) == (2, 2, 1, 1)
 
@@ -42,7 +42,7 @@ def test_hour_edge(spark):
 def test_same_second(spark):
     df = hits(spark, (0, {"content_type": "abstract"}), (0, {}))
     assert counters(df) == (1, 1, 1, 1)  # the later one by seq counts
-    assert usage.kept_clicks(df).first().n_clicks == 2
+    assert metrics.kept_clicks(df).first().n_clicks == 2
 
 
 def test_formats(spark):
@@ -56,7 +56,7 @@ def test_abstract_and_full_text(spark):
 
 def test_separator_in_a_value_and_null_country(spark):
     df = hits(spark, (0, {"client_name": "a|b"}), (60, {"country_code": None}))
-    out = usage.usage_documents(df).collect()
+    out = metrics.metric_documents(df).collect()
     assert {r.country_code for r in out} == {"BR", ""} and all(r.total_investigations == 1 for r in out)
 
 
@@ -67,8 +67,8 @@ def test_splitting_the_input_changes_nothing(spark):
 
 def test_first_attributes(spark):
     df = hits(spark, (50, {}), (0, {}), (100, {})).withColumn("journal_acronym", F.concat(F.lit("j"), F.col("seq")))
-    assert usage.usage_documents(df).first().journal_acronym == "j1"
-    assert usage.click_histogram(df).first().clicks == {"00:00": 1, "00:50": 1, "01:40": 1}
+    assert metrics.metric_documents(df).first().journal_acronym == "j1"
+    assert metrics.click_histogram(df).first().clicks == {"00:00": 1, "00:50": 1, "01:40": 1}
 
 
 CASES = [
@@ -90,6 +90,9 @@ def test_catalogue_codes(spark):
     journals = spark.createDataFrame([(["1234-5678", ""],)], "issns array<string>")
     got = checks.check_access(df, checks.known_pids(known), checks.known_issns(journals)).orderBy("seq").collect()
     assert [r.code for r in got] == ["valid", "invalid_issn", "invalid_pid_v3", "valid"]
+    assert checks.check_distinct(df, checks.known_pids(known), checks.known_issns(journals)).orderBy("seq").collect() == got
+    nulls = df.withColumns({"issn": F.lit(None).cast("string"), "pid_v3": F.lit(None).cast("string")})
+    assert [r.code for r in checks.check_distinct(nulls, checks.known_pids(known)).collect()] == ["missing_fields"] * 4
     letters = checks.dead_letters(spark.createDataFrame(got, checks.check_access(df).schema), ["seq"], ["issn"]).collect()
     assert sorted(r.error_type for r in letters) == ["ART", "JOU"]
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tallyforge.functions import standardize as S
 from tallyforge.operators import quality, store
 from tallyforge.operators.quality import Rule
-from tallyforge.operators.usage import COUNTERS, Rules, usage_documents
-from tallyforge.plans import usage as plan
+from tallyforge.operators.metrics import COUNTERS, Rules, metric_documents
+from tallyforge.plans import metrics as plan
 from tallyforge.sources import dumps, logs, tables
 from tallyforge.streaming import ingest
 
@@ -96,7 +96,7 @@ def test_raw_logs_to_the_store_twice(spark, root, catalogue, tmp_path):
     }
     assert {r.journal_main_title for r in documents.collect()} == {"J One"}
     assert sorted((r.error_type, json.loads(r.line)["url"]) for r in letters.collect()) == [("ART", f"/article/en/{PID[3]}"), ("URL", "/about")]
-    target = store.UsageStore(spark, str(tmp_path / "s"))
+    target = store.MetricStore(spark, str(tmp_path / "s"))
     for _ in range(2):
         plan.recompute_days(target, documents, documents)
         assert target.read().count() == 3 and target.read().agg(F.sum("total_investigations")).first()[0] == 4
@@ -212,7 +212,7 @@ def test_closed_hours_equal_the_batch(spark):
     kind = ", ".join(f"{c} string" for c in "client_name client_version ip_address collection issn pid_v2 pid_v3 pid_generic media_language media_format content_type country_code".split()) + ", local_datetime timestamp_ntz, seq long"
     hits = spark.createDataFrame(rows, kind)
     hours = [ingest.closed_hour_clicks(hits.where(F.hour("local_datetime") == h)) for h in (0, 1)]
-    assert hours[0].union(hours[1]).where("kept").count() == usage_documents(hits, Rules()).agg(F.sum("total_investigations")).first()[0]
+    assert hours[0].union(hours[1]).where("kept").count() == metric_documents(hits, Rules()).agg(F.sum("total_investigations")).first()[0]
 
 
 def test_widths_of_later_lines_and_of_quoted_separators(spark, tmp_path):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import coverage, filters, joins, store
-from tallyforge.operators.usage import COUNTERS
+from tallyforge.operators.metrics import COUNTERS
 
 KIND = "id string, collection string, date date, total_requests long, total_investigations long, unique_requests long, unique_investigations long"
 DAY = dt.date(2024, 1, 1)
@@ -12,7 +12,7 @@ DAY = dt.date(2024, 1, 1)
 
 @pytest.fixture
 def target(spark, tmp_path):
-    return store.UsageStore(spark, str(tmp_path / "usage"))
+    return store.MetricStore(spark, str(tmp_path / "metrics"))
 
 
 def docs(spark, *rows):
@@ -44,10 +44,28 @@ def test_replacing_days_is_idempotent(spark, target):
     assert content(target) == [("b", 2)]
 
 
+def test_a_day_without_rows_is_emptied(spark, target):
+    target.put(docs(spark, ("a", "x/y", DAY, 1), ("b", "z", DAY, 2)))
+    target.replace_days(docs(spark).limit(0), docs(spark, ("?", "x/y", DAY, 0)))
+    assert content(target) == [("b", 2)] and target.partitions() == [("z", 2024)]
+
+
+def test_store_of_fixed_columns(spark, tmp_path):
+    target = store.MetricStore(spark, str(tmp_path / "s"), store.DOCUMENT)
+    assert target.read().count() == 0 and target.create("x", 2024) and not target.create("x", 2024)
+    assert target.read().count() == 0 and target.partitions() == [("x", 2024)]
+    target.put(docs(spark, ("a", "x", DAY, 1)))
+    target.accumulate(docs(spark, ("a", "x", DAY, 1)))
+    row = target.read().first()
+    assert (row.id, row.total_requests, row.journal_acronym, row.year) == ("a", 2, None, 2024)
+    with pytest.raises(ValueError):
+        target.write(docs(spark, ("a", "x", DAY, 1)).withColumn("other", F.lit(1)))
+
+
 def test_merge_keeps_one_sided_counters(spark):
     a = docs(spark, ("a", "x", DAY, 1), ("b", "x", DAY, 2))
     b = docs(spark, ("a", "x", DAY, 10)).withColumn("unique_requests", F.lit(None).cast("long"))
-    got = {r.id: tuple(r[c] for c in COUNTERS) for r in store.merge_usage(a, b).collect()}
+    got = {r.id: tuple(r[c] for c in COUNTERS) for r in store.merge_metrics(a, b).collect()}
     assert got == {"a": (11, 11, 1, 11), "b": (2, 2, 2, 2)}
 
 
@@ -59,6 +77,29 @@ def test_upsert_rules(spark):
     assert sorted(map(tuple, store.insert_only(old, new.union(new), ["k"]).collect()), key=str) == [(1, "a", "x"), (2, "b", "y"), (3, "c", None)]
 
 
+def test_repeated_keys_of_a_load(spark):
+    old = spark.createDataFrame([(1, "a", 0)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "x", 1), (1, "", 2), (2, "p", 1), (2, "q", 2)], "k int, v string, n int")
+    for _ in range(2):
+        got = store.upsert(old, new, ["k"], ["v"], keep_old_if_blank=("v",), order=("n",))
+        assert sorted(map(tuple, got.collect())) == [(1, "x", 0), (2, "q", 1)]
+        old = got
+    assert sorted(map(tuple, store.upsert(old.limit(0), new, ["k"], force=False, order=("n",)).collect())) == [(1, "x", 1), (2, "p", 1)]
+
+
+def test_robot_patterns_are_read_one_by_one(spark):
+    lines = spark.createDataFrame([("zz bot",), ("ab",), ("q EN",), ("q en",), ("a#b",), (None,)], "user_agent string")
+    robots = spark.createDataFrame([("(a)b",), (r"(z)\1",), ("(?-i)EN",), (r"\Qa#b",)], "pattern string")
+    for together in (1, 1000):
+        assert {r[0] for r in filters.without_robots(lines, robots, one_pattern_up_to=together).collect()} == {"q en", None}
+
+
+def test_directories_without_translator_are_skipped(spark):
+    files = spark.createDataFrame([("c", "/a/b/f"), ("c", "/z")], "collection string, path string")
+    directories = spark.createDataFrame([("c", "/a/", 1, None), ("c", "/a/b/", 2, "modern"), ("c", "/", 3, "")], "collection string, directory string, position int, translator string")
+    assert {(r.path, r.translator) for r in joins.file_translator(files, directories).collect()} == {("/a/b/f", "modern"), ("/z", None)}
+
+
 def test_deletes_with_nulls(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, t string")
     assert [r.id for r in store.delete_where(df, {"t": ["a", "c"]}).orderBy("id").collect()] == [2, 3]
