@@ -66,14 +66,14 @@ def raw_log_lines(spark, d):
 
 
 @query("""
-WITH l AS (SELECT (user_id % 9)::INTEGER AS part, event_id || '|' || user_id || chr(10) AS s, row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id) AS a,
-                  row_number() OVER (PARTITION BY user_id % 9 ORDER BY event_id DESC) AS b FROM events)
+WITH l AS (SELECT (event_id // 1000)::INTEGER AS part, event_id || '|' || user_id || chr(10) AS s, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS a,
+                  row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id DESC) AS b FROM events)
 SELECT part, sum(strlen(s))::BIGINT AS length,
        md5(string_agg(s, '' ORDER BY a) FILTER (a <= 25) || sum(strlen(s))::BIGINT || string_agg(s, '' ORDER BY a) FILTER (b <= 25)) AS hash
 FROM l GROUP BY part
 """)
 def file_fingerprints(spark, d):
-    rows = A.table(spark, d, "events").select((F.col("user_id") % 9).cast("int").alias("part"), "event_id", F.concat_ws("|", "event_id", "user_id").alias("value"))
+    rows = A.table(spark, d, "events").select(F.floor(F.col("event_id") / 1000).cast("int").alias("part"), "event_id", F.concat_ws("|", "event_id", "user_id").alias("value"))
     path = scratch(spark, "files")
     rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
     known = logs.list_files(spark, path, (".txt",)).select("path")
@@ -106,7 +106,7 @@ def article_pages(spark, d):
 @query("SELECT 'k' || c_custkey AS key, 'v' || c_custkey AS pid_v3, '2021' AS publication_year FROM customer")
 def document_pages(spark, d):
     value = F.struct(F.concat(F.lit("v"), "c_custkey").alias("pid_v3"), F.lit("2021-02-03").alias("publication_date"))
-    entries = A.table(spark, d, "customer").select((F.col("c_custkey") % 7).alias("page"), F.struct(F.concat(F.lit("k"), "c_custkey").alias("k"), value.alias("v")).alias("e"))
+    entries = A.table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 500).alias("page"), F.struct(F.concat(F.lit("k"), "c_custkey").alias("k"), value.alias("v")).alias("e"))
     pages = entries.groupBy("page").agg(F.map_from_entries(F.collect_list("e")).alias("documents"))
     path = scratch(spark, "documents")
     pages.select("page", F.to_json(F.struct("documents")).alias("value")).repartition("page").write.partitionBy("page").text(path)  # a page a file
@@ -117,7 +117,7 @@ def document_pages(spark, d):
 def oai_records(spark, d):
     k = F.col("s_suppkey")
     record = F.format_string("<record><identifier>%s%d</identifier><language>pt</language><language>en</language><date>2020-05-06</date></record>", F.when(k % 2 == 0, "oai:x:preprint/").otherwise("oai:none:"), k)
-    rows = A.table(spark, d, "supplier").select((k % 5).alias("page"), record.alias("r")).groupBy("page").agg(F.concat(F.lit("<records>"), F.array_join(F.collect_list("r"), ""), F.lit("</records>")).alias("value"))
+    rows = A.table(spark, d, "supplier").select(F.floor(k / 500).alias("page"), record.alias("r")).groupBy("page").agg(F.concat(F.lit("<records>"), F.array_join(F.collect_list("r"), ""), F.lit("</records>")).alias("value"))
     path = scratch(spark, "oai")
     rows.repartition("page").write.partitionBy("page").text(path)
     return dumps.read_oai_records(spark, f"{path}/*/*.txt").select("pid_generic", "default_language", "publication_year")

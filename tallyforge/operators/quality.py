@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -35,9 +36,40 @@ class Rule:
 WEEKDAY = r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+"
 
 
-def _as_time(x: Column, formats: tuple[str, ...]) -> Column:
-    x = F.regexp_replace(F.regexp_replace(x, WEEKDAY, ""), r"(?<=[A-Za-z])\.?,?(?=[ -])|(?<=\d),(?= )", "")
-    return F.coalesce(*[F.try_to_timestamp(x, F.lit(f)) for f in formats])
+#: What the letters of a date pattern stand for in a text.
+SHAPES = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "a": "[AaPp][Mm]"}
+
+
+def _shape(pattern: str) -> str:
+    """A regular expression that every text of the date pattern meets, and few others."""
+    parts = re.findall(r"([A-Za-z])(\1*)|([^A-Za-z]+)", pattern)
+    tokens = [(a + more, other) for a, more, other in parts]
+    return "^" + "".join(re.escape(other) if other else SHAPES.get(t) or (r"\d{2}" if len(t) == 2 else r"\d{1,2}") for t, other in tokens) + "$"
+
+
+def _cleaned(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(x, WEEKDAY, ""), r"(?<=[A-Za-z])\.?,?(?=[ -])|(?<=\d),(?= )", "")
+
+
+def _parsed(x: Column, formats: tuple[str, ...]) -> Column:
+    """The time of the first of our own patterns that reads the text. A pattern is tried only where the text has its shape."""
+    return F.coalesce(*[F.when(x.rlike(_shape(f)), F.try_to_timestamp(x, F.lit(f))) for f in formats])
+
+
+def _is_date(x: Column, formats: tuple[str, ...]) -> Column:
+    if formats:
+        return F.coalesce(*[F.try_to_timestamp(_cleaned(x), F.lit(f)) for f in formats]).isNotNull()
+    return _parsed(_cleaned(x), DATE_FORMATS).isNotNull()
+
+
+def _is_datetime(x: Column, formats: tuple[str, ...]) -> Column:
+    """A date, or a day and a time after a space or a T."""
+    if formats:
+        return _is_date(x, formats)
+    x = _cleaned(x)
+    day, time = (F.regexp_extract(x, r"^(.*\S)[ T](\d\S*(?: [AaPp][Mm])?)$", i) for i in (1, 2))
+    both = _parsed(day, tuple(f for f in DATE_FORMATS if "d" in f)).isNotNull() & _parsed(time, TIME_FORMATS).isNotNull()
+    return _parsed(x, (*DATE_FORMATS, "MMM d H:m:s yyyy")).isNotNull() | both
 
 
 def problems(rule: Rule) -> list[Column]:
@@ -59,10 +91,9 @@ def problems(rule: Rule) -> list[Column]:
     elif rule.kind == "bool":
         found.append(((text != "") & ~F.lower(text).isin(*TRUE_FALSE), "not a boolean"))
     elif rule.kind == "date":
-        found.append(((text != "") & _as_time(text, rule.formats or DATE_FORMATS).isNull(), "not a date"))
+        found.append(((text != "") & ~_is_date(text, rule.formats), "not a date"))
     elif rule.kind == "datetime":
-        formats = rule.formats or tuple(f"{d}{s}{t}" for d in DATE_FORMATS if "d" in d for s in (" ", "'T'") for t in TIME_FORMATS) + (*DATE_FORMATS, "MMM d H:m:s yyyy")
-        found.append(((text != "") & _as_time(text, formats).isNull(), "not a date and time"))
+        found.append(((text != "") & ~_is_datetime(text, rule.formats), "not a date and time"))
     else:
         raise ValueError(f"no such kind: {rule.kind}")
     return [F.when(bad, F.lit(message)) for bad, message in found]
