@@ -24,6 +24,8 @@ from .bpe import CACHE, Encoder, byte_symbols, encoder, read_vocabulary
 from .common import record_batch, slices, spool
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+#: And a number that tells repeated rows apart, so that they are dealt out as others are.
+NUMBERED = PIECES.append(pa.field("number", pa.int64()))
 
 
 class LibraryEncoder(Encoder):
@@ -46,24 +48,26 @@ class LibraryEncoder(Encoder):
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", cache: tuple[int, int] = CACHE) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit integers)."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit
+    integers), and its number among those of the task."""
     source, end = read_vocabulary(docs, vocabulary), end_id.to_bytes(4, "little")
 
     def run(batches):
-        coder = encoder(source.value, LibraryEncoder, cache)
+        coder, number = encoder(source.value, LibraryEncoder, cache), 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                out = {f.name: [] for f in PIECES}
+                out = {f.name: [] for f in NUMBERED}
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")).to_pylist()):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * length)):
                         some = ids[at : at + 4 * length]
-                        for name, value in zip(PIECES.names, (doc, piece, at // 4, len(some) // 4, zlib.crc32(some))):
+                        for name, value in zip(NUMBERED.names, (doc, piece, at // 4, len(some) // 4, zlib.crc32(some), number)):
                             out[name].append(value)
-                yield record_batch(PIECES, out)
+                        number += 1
+                yield record_batch(NUMBERED, out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
 
 
 class OpenSequences:
@@ -100,7 +104,7 @@ def pack(pieces: DataFrame, length: int = 2048, open_sequences: int = 4096, run_
     """``pieces`` (with ``length`` of 1 to ``length``) with sequence_id and offset.
 
     ``pieces`` is read twice, once for its count: pass a written table. Sequences are numbered by task and order; tasks
-    get rows by hash and sort them, so that a task that runs again does the same.
+    get rows by hash (of ``number``, too, if there is one) and sort them, so that a task that runs again does the same.
     """
     tasks = max(1, -(-pieces.filter(F.col("length") < length).count() // pieces_per_task))
 
@@ -126,8 +130,9 @@ def pack(pieces: DataFrame, length: int = 2048, open_sequences: int = 4096, run_
         if waiting:
             yield from place(pa.Table.from_batches(waiting))
 
-    order = [F.xxhash64("doc_id", "piece", "start"), F.col("doc_id"), F.col("piece"), F.col("length"), F.col("ids_crc32")]
-    dealt = pieces.select(*PIECES.names).repartition(tasks, *order).sortWithinPartitions(*order)
+    number = F.col("number") if "number" in pieces.columns else F.lit(0)
+    order = [F.xxhash64("doc_id", "piece", "start", number), F.col("doc_id"), F.col("piece"), F.col("length"), F.col("ids_crc32")]
+    dealt = pieces.repartition(tasks, order[0]).sortWithinPartitions(*order).select(*PIECES.names)
     return dealt.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
