@@ -40,7 +40,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES, "source")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,6 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 ORACLE_SQL = {
     "op1_chat_formatting": chat.SQL,
     "op3_exact_dedup": EXACT_SQL,
-    "op6_sharding": sharding.sql(SHARD_BYTES),
+    "op6_sharding": sharding.sql(SHARD_BYTES, "source"),
     "op7_line_dedup": lines.SQL,
 }

@@ -93,15 +93,19 @@ def write_shards(df: DataFrame, path: str) -> None:
     df.repartition(parts, "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
 
 
-def shard_documents(docs: DataFrame, limit: int) -> DataFrame:
-    found = shard(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")), limit, F.col("doc_id"), F.col("doc_id"), F.col("n_bytes"))
-    return found.select("doc_id", "shard", "shard_rows", "shard_bytes", "oversize")
+def shard_documents(docs: DataFrame, limit: int, key_col: str = "doc_id") -> DataFrame:
+    """Documents by ``key_col``; those of one key that do not fit together are split by identifier and text, so that only
+    equal rows and single large ones are above the limit."""
+    row_id = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    rows = docs.select("doc_id", F.col(key_col).alias("key"), row_id.alias("row_id"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return shard(rows, limit, F.col("key"), F.col("row_id"), F.col("n_bytes")).select("doc_id", "shard", "shard_rows", "shard_bytes", "oversize")
 
 
-def sql(limit: int) -> str:
-    h = "(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::UBIGINT >> 2)::BIGINT"
+def sql(limit: int, key_col: str) -> str:
+    """For a table without repeated rows."""
+    key, row_id = (f"(('0x' || substr(md5({x}), 1, 8))::UBIGINT >> 2)::BIGINT" for x in (f"coalesce({key_col}::VARCHAR, 'null')", "coalesce(doc_id::VARCHAR, 'null') || '|' || md5(coalesce(text, ''))"))
     return f"""
-WITH rows AS (SELECT doc_id, coalesce(strlen(text), 0) AS b, ({h} << {ID_BITS}) | {h} AS h FROM documents),
+WITH rows AS (SELECT doc_id, coalesce(strlen(text), 0) AS b, ({key} << {ID_BITS}) | {row_id} AS h FROM documents),
 up AS (SELECT doc_id, b, h, d, h >> ({BITS} - d) AS p FROM rows, range(0, {BITS} + 1) r(d)),
 sums AS (SELECT d, p, sum(b) AS s, count(*) AS n, min(h) = max(h) AS one FROM up GROUP BY d, p),
 ends AS (SELECT u.doc_id, min(u.d) AS d FROM up u JOIN sums s ON u.d = s.d AND u.p = s.p WHERE s.s <= {limit} OR s.one GROUP BY u.doc_id)

@@ -264,6 +264,15 @@ def test_shards_fit(spark, docs, odd, none):
     assert sharding.shard_documents(none, limit).count() == 0
 
 
+def test_repeated_identifiers_are_split_by_text(spark):
+    rows = [(1, f"text {i} " * 20, "hot") for i in range(300)] + [(None, f"other {i}", "hot") for i in range(300)] + [(2, "same " * 100, "x")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for key in ("source", "doc_id"):
+        out = sharding.shard_documents(df, 2000, key).collect()
+        assert len(out) == len(rows)
+        assert {r.doc_id for r in out if r.oversize} == {2}  # nine equal rows cannot be split
+
+
 def test_a_hot_key_is_split_on_the_identifier(spark):
     from pyspark.sql import functions as F
 
