@@ -78,7 +78,7 @@ def _primary(code: Column) -> Column:
 
 
 def _mapped(code: Column, codes: dict[str, str]) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in sorted(codes.items()) for x in pair])
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in sorted(codes.items()))), F.lit(","), F.lit(":"))  # one literal, not one for each code
     return F.try_element_at(table, _primary(code))
 
 
