@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact, html_text, langid, lines, neighbours, packing, sharding, simhash
+from . import bpe, centroids, chat, exact, html_text, langid, lines, neighbours, packing, repair, sharding, simhash, winnowing
 
 SHARD_BYTES = 1 << 20
 
@@ -59,11 +59,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_simhash_near_dedup, op3_exact_dedup, op4_html_extraction, op5_best_fit_packing,
         op6_sharding, op7_line_dedup, op8_nearest_neighbours, op9_language_id, op10_bpe,
+        op11_centroid_clustering, op12_structure_repair, op13_winnowing,
     )
 }
 
@@ -78,4 +91,6 @@ ORACLE_SQL = {
     "op3_exact_dedup": EXACT_SQL,
     "op6_sharding": sharding.sql(SHARD_BYTES, "source"),
     "op7_line_dedup": lines.SQL,
+    "op11_centroid_clustering": centroids.sql(),
+    "op12_structure_repair": repair.SQL,
 }
