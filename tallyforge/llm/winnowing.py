@@ -6,32 +6,36 @@ passage of K + WINDOW - 1 code points share a chosen hash whose places lie in th
 matches but by chance of 64-bit hashes. Texts are read whole, a chunk of code points at a time.
 
 ``with_neighbours`` compares each document with an edited form of it and with the next document in descending order of
-identifiers: a range partitioning sorts them, each partition passes as a stream that holds one document, and only the
-last document of each partition meets the first of the next one in a join of that many rows.
+identifiers. The order is cut into buckets by a sample of its keys; a bucket's first document also goes to the bucket
+before, as the next one of its last, so texts are moved once. Each bucket is sorted and passes a task as a stream of which
+one document is held.
 
 Defined results: texts are taken as they are; null counts as empty, which has no hashes; a text of fewer than K code
 points is one run, one of fewer than WINDOW runs one window; likeness is the share of common among all distinct chosen
 hashes, 1 between two texts without any; rows are ordered by identifier (descending, null last), then by the text's
-SHA-256, so repeated rows are neighbours; a single row is its own next one; an empty table gives an empty one; other
+SHA-256, so repeated rows are neighbours (those equal in both pass one task, hashed once); a single row is its own next one; an empty table gives an empty one; other
 columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, slices, spool
+from .common import hold, slices
 
 #: Code points of a run and runs of a window: any common passage of 100 code points is found.
 K, WINDOW = 24, 77
 #: Runs that are hashed at a time.
 CHUNK = 1 << 20
+#: Sampled keys for each bucket.
+SAMPLE = 64
 BASE, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -133,53 +137,69 @@ class _Document:
         return self.doc_id, len(self.points), digest, written(*self.found), written(*found), likeness(self.set, np.unique(found[0])), likeness(self.set, following.set)
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    fields = [x.split() for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    columns = list(zip(*rows)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [x.split() for x in RESULT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
-def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _order(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text`` and what they are ordered by: ``none, down, sha``."""
+    out = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return out.withColumns({"none": F.col("doc_id").isNull(), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0).cast("long")), "sha": F.sha2("text", 256)})
+
+
+def _buckets(bounds: list[tuple], guests: dict[tuple, int]):
+    """The bucket of a key, and the one before it in which the key is a guest, if it is the first of its bucket."""
+
+    @F.pandas_udf("array<int>")
+    def of(none: pd.Series, down: pd.Series, sha: pd.Series) -> pd.Series:
+        keys = list(zip(none.tolist(), down.tolist(), sha.tolist()))
+        return pd.Series([[bisect_right(bounds, k), *([guests[k]] if k in guests else [])] for k in keys])
+
+    return of("none", "down", "sha")
+
+
+def _ranges(rows: DataFrame, buckets: int) -> tuple[list[tuple], dict[tuple, int]]:
+    """Bounds that cut the order in about equal parts, from a sample of SAMPLE keys a part; and of each part's first key,
+    the part before (the last one's before the first). One key for each part reaches the driver."""
+    every = rows.count()
+    if not every:
+        return [], {}
+    keys = rows.select("none", "down", "sha")
+    some = sorted(map(tuple, keys.sample(min(1.0, SAMPLE * buckets / every), seed=1).collect()))
+    bounds = sorted({some[len(some) * i // buckets] for i in range(1, buckets)} if some else ())
+    first = keys.groupBy(_buckets(bounds, {})[0].alias("bucket")).agg(F.min(F.struct("none", "down", "sha")).alias("key")).orderBy("bucket").collect()
+    return bounds, {tuple(r.key): before.bucket for r, before in zip(first, first[-1:] + first[:-1])}
+
+
+def with_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text (its later half replaced by the beginning of the next document), and
-    their likeness."""
-    ends = "part int, is_first int, end_text string"  # of the first and last documents of partitions
+    their likeness. ``buckets``: parts of the order, by default as many as shuffle partitions."""
 
     def run(batches):
         hold()
-        part, before = TaskContext.get().partitionId(), None
-        none = (None,) * 3
+        before = bucket = None
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 done = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    now = _Document(doc_id, text)
-                    if before is None:
-                        done.append((doc_id, *(None,) * 6, part, 1, text))
-                    else:
-                        done.append((*before.row(now), *none))
-                    before = now
-                yield _batch(done, f"{RESULT}, {ends}")
-        if before is not None:
-            yield _batch([(before.doc_id, *(None,) * 6, part, 0, before.text)], f"{RESULT}, {ends}")
-
-    def finish(batches):
-        for batch in batches:
-            for one in slices(batch, "text", 4 << 20):
-                rows = zip(*(one.column(c).to_pylist() for c in ("doc_id", "text", "next_text")))
-                yield _batch([_Document(i, text).row(_Document(None, following)) for i, text, following in rows], RESULT)
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"sha": F.sha2("text", 256), "n": F.monotonically_increasing_id()})
-    order = [F.desc_nulls_last("doc_id"), F.col("sha"), F.col("n")]  # n deals out rows that are repeated very often
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    made = spool(rows.mapInArrow(run, f"{RESULT}, {ends}"), "fingerprints")
-    kept = made.where("part is not null")
-    parts = sorted(r.part for r in kept.where("is_first = 1").select("part").collect())  # one number for each partition
-    following = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next int")
-    first = kept.where("is_first = 1").select(F.col("part").alias("next"), F.col("end_text").alias("next_text"))
-    last = kept.where("is_first = 0").select("part", "doc_id", F.col("end_text").alias("text")).join(following, "part").join(first, "next")
-    return made.where("part is null").select(*[x.split()[0] for x in RESULT.split(", ")]).union(last.select("doc_id", "text", "next_text").mapInArrow(finish, RESULT))
+                for at, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))):
+                    if at != bucket:
+                        before, bucket = None, at
+                    if guest and before is None:
+                        continue
+                    now = before if before is not None and before.text == text and before.doc_id == doc_id else _Document(doc_id, text)
+                    if before is not None:
+                        done.append(before.row(now))
+                    before = None if guest else now
+                if done:
+                    yield _batch(done)
+
+    rows = _order(docs, id_col, text_col)
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("*", F.posexplode(_buckets(*_ranges(rows, buckets))).alias("guest", "bucket"))
+    dealt = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "guest", "none", "down", "sha")
+    return dealt.select("bucket", "guest", "doc_id", "text").mapInArrow(run, RESULT)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def slow_rows(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("parts", [1, 7, 200])
 def test_neighbours_match_brute_force(spark, parts):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choices("abcd efgh", k=rng.randrange(400)))) for i in range(40)] + list(enumerate(TEXTS, 100))
