@@ -37,6 +37,44 @@ def near_texts():
     return out
 
 
+def texts_with_a_template(pairs, own):
+    """Pairs of 700-word texts with 600 words common to all; the texts of a pair share ``own`` words of the rest."""
+    rng = np.random.default_rng(7)
+    common = " ".join(f"t{x}" for x in rng.integers(0, 5000, 600))
+    out = []
+    for _ in range(pairs):
+        shared = [f"s{x}" for x in rng.integers(0, 10**6, own)]
+        out += [" ".join([common, *shared, *[f"o{x}" for x in rng.integers(0, 10**6, 100 - own)]]) for _ in range(2)]
+    return out
+
+
+@pytest.mark.parametrize("own", [30, 54])
+def test_pairs_beside_a_template_are_found(spark, own):
+    texts = texts_with_a_template(60, own)
+    want = brute_groups(texts)
+    assert len(set(want)) == 60
+    got = similar.groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.component, []).append(r.row)
+    assert {r: min(some) for some in by.values() for r in some} == dict(enumerate(want))
+
+
+def test_prefixes_of_sets_in_common_meet():
+    rng = np.random.default_rng(1)
+    counts = np.zeros(similar.COUNTERS, np.int64)
+    for n in (1, 2, 5, 9, 40, 333):
+        for _ in range(30):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate((a[rng.integers(0, max(1, n // 9 + 1)) :], rng.integers(0, 1 << 63, rng.integers(0, n // 8 + 1), dtype=np.uint64)))
+            if 9 * len(set(a) & set(b)) < 4 * (len(a) + len(b)):
+                continue
+            short, long = sorted((a, b), key=len)
+            mine = [(k, h) for probe, keys, _, high in similar.prefixes(np.unique(short), counts) if not probe for k, h in zip(keys, high)]
+            theirs = {k: (low, h) for probe, keys, lows, high in similar.prefixes(np.unique(long), counts) if probe for k, low, h in zip(keys, lows, high)}
+            assert any(k in theirs and len(long) <= h and theirs[k][0] <= len(short) <= theirs[k][1] for k, h in mine)
+
+
 @pytest.mark.parametrize("pairs_up_to", [1, 24])
 def test_groups_match_brute_force(spark, pairs_up_to):
     texts = [*[r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()], *near_texts(), "", None, "x y"]
