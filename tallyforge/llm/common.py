@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import re
 import tempfile
 import uuid
@@ -32,6 +34,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Gives the C library's free memory back to the machine; none where it has no such function.
+_TRIM = getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None)
+
+
+def release() -> None:
+    """Free memory of this Python worker goes back to the machine, which the JVM of the executor shares."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 #: What the operator that runs in this Python worker keeps between tasks.
 _held: dict = {}
 
@@ -40,6 +53,7 @@ def hold(key=None, make=None):
     """``make()``, kept for later tasks of this worker under ``key``; what another operator has kept is let go."""
     if key not in _held:
         _held.clear()
+        release()
         if make:
             _held[key] = make()
     return _held.get(key)
@@ -98,13 +112,16 @@ def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 16 << 20):
-    """``batch`` in runs of rows whose ``column`` holds about ``max_bytes`` at most (a single larger row stands alone)."""
+    """``batch`` in runs of rows whose ``column`` holds about ``max_bytes`` at most (a single larger row stands alone). What
+    their processing leaves free is released after each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     first, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > max_bytes:
             yield batch.slice(first, i - first)
+            release()
             first, held = i, 0
         held += n
     if first < len(sizes):
         yield batch.slice(first)
+    release()

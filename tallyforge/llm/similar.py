@@ -222,8 +222,10 @@ def _postings(sets: DataFrame, counts: np.ndarray, wanted: tuple[np.ndarray, np.
         hold()
         counts, wanted = shared.value
         for batch in batches:
-            for node, component, found in zip(*(batch.column(c).to_pylist() for c in ("node", "component", "found"))):
-                own = prefixes(np.array(found, np.int64).view(np.uint64), counts)
+            nodes, components, found = (batch.column(c) for c in ("node", "component", "found"))
+            for node, component, one in zip(nodes.to_pylist(), components.to_pylist(), found):
+                values = one.values.to_numpy().view(np.uint64)
+                own = prefixes(values, counts)
                 probe = np.concatenate([np.full(len(k), p) for p, k, _, _ in own])
                 key, low, high = (np.concatenate([x[i] for x in own]) for i in (1, 2, 3))
                 if wanted:
@@ -231,7 +233,7 @@ def _postings(sets: DataFrame, counts: np.ndarray, wanted: tuple[np.ndarray, np.
                     ok = np.where(probe, wanted[0][place >> 3], wanted[1][place >> 3]) >> (place & 7) & 1 == 1
                     probe, key, low, high = probe[ok], key[ok], low[ok], high[ok]
                 m = len(key)
-                columns = [probe, key.view(np.int64), np.full(m, node), np.full(m, component), np.full(m, len(found)), low, high]
+                columns = [probe, key.view(np.int64), np.full(m, node), np.full(m, component), np.full(m, len(values)), low, high]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["probe", "key", "node", "component", "n", "low", "high"])
 
     return sets.select("node", "component", "found").mapInArrow(run, "probe boolean, key long, node long, component long, n long, low long, high long")
