@@ -18,7 +18,7 @@ from . import adapters as A
 from .functions import loglines
 from .functions import standardize as S
 from .operators import quality, store
-from .sources import dumps, logs, tables
+from .sources import dumps, logs, tables, tail
 from .streaming import ingest as streams
 
 QUERIES: dict = {}
@@ -443,3 +443,53 @@ def repeated_upserts(spark, d):
     new = A.table(spark, d, "customer").select(F.floor(c / 4).alias("k"), c.alias("n"), F.when(c % 4 == 3, "").otherwise(F.col("c_mktsegment")).alias("segment"), F.col("c_name").alias("name"))
     old = new.where("k % 3 = 0").select("k", F.lit(-1).cast("long").alias("n"), F.lit("old").alias("segment"), F.lit("old").alias("name")).distinct()
     return store.upsert(old, new, ["k"], ["n", "segment"], keep_old_if_blank=("segment",), order=("n",))
+
+
+@query("""
+WITH days AS (SELECT user_id, ts::DATE AS date, count(*) AS n FROM events GROUP BY ALL)
+SELECT 'u' || (user_id % 50) || '-' || date AS id, nullif('c' || (user_id % 4), 'c3') AS collection, sum(n * CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS total_requests
+FROM days GROUP BY user_id % 50, user_id % 4, date
+""")
+def retried_loads(spark, d):
+    """Loads with several rows of an id and without a collection: all rows, then half of them again as another load, and both
+    sent again under their identifiers, which counts nothing."""
+    u, day = F.col("user_id"), F.to_date("ts")
+    rows = A.table(spark, d, "events").groupBy("user_id", day.alias("date")).agg(F.count("*").alias("total_requests"))
+    collection = F.when(u % 4 < 3, F.format_string("c%d", u % 4))
+    loads = rows.select("user_id", F.format_string("u%d-%s", u % 50, F.col("date").cast("string")).alias("id"), collection.alias("collection"), "date", "total_requests")
+    # an id belongs to one collection
+    loads = loads.withColumn("id", F.concat_ws("/", "id", F.coalesce("collection", F.lit("none"))))
+    target = store.MetricStore(spark, scratch(spark, "store"), "id string, collection string, date date, total_requests long")
+    for _ in range(2):
+        target.accumulate(loads.drop("user_id"), "all")
+        target.accumulate(loads.where("user_id % 2 = 0").drop("user_id"), "even")
+    return target.read().select(F.substring_index("id", "/", 1).alias("id"), "collection", "total_requests")
+
+
+@query("SELECT event_id, user_id FROM events")
+def appended_logs(spark, d):
+    """Files that grow between runs of one stream, each time in the middle of a line; a last line without its end waits."""
+    from pyarrow import fs
+
+    root = scratch(spark, "growing")
+    lines = A.table(spark, d, "events").select(F.floor(F.col("event_id") / 1000).cast("long").alias("part"), "event_id", F.concat_ws("|", "event_id", "user_id").alias("line"))
+
+    def put(share: float):
+        def write(table: pa.Table) -> pa.Table:
+            table = table.sort_by("event_id")
+            whole = ("\n".join(table.column("line").to_pylist()) + "\nincomplete").encode()
+            system, path = fs.FileSystem.from_uri(re.sub(r"^(file:)?/(?!/)", "file:///", root))
+            system.create_dir(path)
+            with system.open_output_stream(f"{path}/{table.column('part')[0]}.log") as out:
+                out.write(whole[: int(share * len(whole))])
+            return table.select(["part"]).slice(0, 1)
+
+        return write
+
+    out = scratch(spark, "lines")
+    for share in (0.37, 0.37, 0.81, 1.0):
+        lines.groupBy("part").applyInArrow(put(share), "part long").write.format("noop").mode("overwrite").save()
+        stream = tail.stream_tail(spark, root, bytes_each=5000)
+        streams.ingest(stream, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    rows = F.split("value", r"\|").cast("array<long>")
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(rows[0].alias("event_id"), rows[1].alias("user_id"))

@@ -6,39 +6,62 @@ import datetime as dt
 import re
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .literals import containing, required_literal
+
 NOT_FOUND_STATUS = ("CRE", "INV")
 PREFERRED_LANGUAGES = ("pt", "es", "en")
 
 
-#: What may mean something else inside an alternation: references to groups, names of groups, quotes, flags.
-STANDS_ALONE = re.compile(r"\\[0-9kQ]|\(\?[<a-zA-Z-]")
-
+#: Spellings of named groups in other dialects, and what they are in Java.
+DIALECT = ((re.compile(r"\(\?P<"), "(?<"), (re.compile(r"\(\?P=(\w+)\)"), r"\\k<\1>"))
 
-def _any(tests: list[Column]) -> Column:
-    """Their disjunction as a balanced tree, so that it stays flat however many they are."""
-    while len(tests) > 1:
-        tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
-    return tests[0]
 
+def robot_patterns(robots: DataFrame, pattern_col: str = "pattern") -> tuple[list[str], dict[str, str]]:
+    """The list's distinct patterns, as Java reads them; and those that it cannot compile, with the reason.
 
-def without_robots(lines: DataFrame, robots: DataFrame, agent_col: str = "user_agent", pattern_col: str = "pattern", one_pattern_up_to: int = 1000) -> DataFrame:
-    """Lines whose agent matches no pattern (case ignored); a null agent stays. Every pattern is read by itself.
-
-    The robot list is a settings table (some thousands of rows) and is read to the driver. Patterns of which several may
-    stand in one alternation do, up to ``one_pattern_up_to`` in each; the others are tested one by one. All are literals, compiled
-    once a task and checked in place.
+    The robot list is a settings table (some thousands of rows) and is read to the driver.
+    """
+    compiler = robots.sparkSession.sparkContext._jvm.java.util.regex.Pattern
+    good, bad = [], {}
+    for (given,) in robots.select(pattern_col).where(F.col(pattern_col).isNotNull()).distinct().orderBy(pattern_col).collect():
+        pattern = given
+        for other, own in DIALECT:
+            pattern = other.sub(own, pattern)
+        try:
+            compiler.compile(f"(?i){pattern}")
+            good.append(pattern)
+        except IllegalArgumentException as error:
+            bad[given] = str(error).split("\n")[0]
+    return good, bad
+
+
+def robot_agents(agents: DataFrame, patterns: list[str]) -> DataFrame:
+    """Those of ``agents`` (one string column) that a pattern matches, each once.
+
+    Every pattern is tried only on agents that contain the literal that its matches must contain; those without such a
+    literal are tried on all. An agent that occurs in many lines is tried once.
     """
-    patterns = [r[0] for r in robots.select(pattern_col).where(F.col(pattern_col).isNotNull()).distinct().orderBy(pattern_col).collect()]
-    plain = [p for p in patterns if not STANDS_ALONE.search(p)]
-    tests = ["|".join(f"(?:{p})" for p in plain[i : i + one_pattern_up_to]) for i in range(0, len(plain), one_pattern_up_to)] + [p for p in patterns if STANDS_ALONE.search(p)]
-    if not tests:
+    name = agents.columns[0]
+    distinct = agents.distinct()
+    tries = containing(distinct, [(required_literal(p), i) for i, p in enumerate(patterns)], fold=True)
+    rows = agents.sparkSession.createDataFrame(list(enumerate(patterns)), "id long, pattern string")
+    hits = tries.join(F.broadcast(rows), "id").where(F.rlike("text", F.concat(F.lit("(?i)"), "pattern")))
+    return hits.select(F.col("text").alias(name)).distinct()
+
+
+def without_robots(lines: DataFrame, robots: DataFrame, agent_col: str = "user_agent", pattern_col: str = "pattern") -> DataFrame:
+    """Lines whose agent matches no pattern (case ignored); a null agent stays. Patterns that cannot be compiled are left out:
+    ``robot_patterns`` gives them."""
+    patterns, _ = robot_patterns(robots, pattern_col)
+    if not patterns:
         return lines
-    return lines.where(~F.coalesce(_any([F.col(agent_col).rlike(f"(?i){t}") for t in tests]), F.lit(False)))
+    return lines.join(robot_agents(lines.select(agent_col), patterns), agent_col, "left_anti").select(*lines.columns)
 
 
 def select_work(files: DataFrame, start: dt.date, end: dt.date, replace: bool = False, errors: bool = True) -> DataFrame:

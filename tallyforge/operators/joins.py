@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.standardize import ip_to_number, ipv6_to_hex
+from .literals import containing
 from .store import first_per_key
 
 
@@ -36,9 +37,17 @@ def document_journal(documents: DataFrame, journals: DataFrame) -> DataFrame:
 
 def file_translator(files: DataFrame, directories: DataFrame) -> DataFrame:
     """``files`` with ``translator``: of the directories of the collection that the path contains, the first configured that
-    has a translator. A file without one gets null."""
+    has a translator. A file without one gets null.
+
+    The directories are a settings table and are read to the driver; each distinct path is tried once against all of them
+    by one automaton, and meets the rows of the directories that it contains.
+    """
     d = directories.where("coalesce(translator, '') <> ''").select("collection", F.col("directory").alias("__dir"), F.col("position").alias("__position"), "translator")
-    hits = files.select("collection", "path").distinct().join(d, "collection").where(F.col("path").contains(F.col("__dir")))
+    names = {r[0] for r in d.select("__dir").where("__dir is not null").distinct().collect()}
+    found = containing(files.select("path").distinct(), [(x, i) for i, x in enumerate(sorted(names))])
+    numbered = files.sparkSession.createDataFrame(list(enumerate(sorted(names))), "id long, __dir string")
+    rows = d.join(F.broadcast(numbered), "__dir")
+    hits = files.select("collection", "path").distinct().join(found.withColumnRenamed("text", "path"), "path").join(rows, ["collection", "id"])
     first = first_per_key(hits, ["collection", "path"], ["__position", "__dir"]).select("collection", "path", "translator")
     return files.join(first, ["collection", "path"], "left")
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,31 +135,75 @@ def load_conflicts(df: DataFrame, keys: list[str], max_lengths: dict[str, int])
 DOCUMENT = "id string, pid string, collection string, issn string, pid_v2 string, pid_v3 string, pid_generic string, media_language string, country_code string, date date, year_of_publication string, journal_main_title string, journal_subject_area_capes string, journal_subject_area_wos string, journal_acronym string, journal_publisher_name string, " + ", ".join(f"{c} long" for c in COUNTERS)
 
 
+def one_row_an_id(new: DataFrame, key: str = "id", add: tuple[str, ...] = ()) -> DataFrame:
+    """``new`` with one row for each ``key``, merged before it is moved: the counters ``add`` are sums, the others those of the
+    last row, by all columns in order."""
+    comparable = [c for c in new.columns if "map<" not in new.schema[c].dataType.simpleString()]
+    turn = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(comparable)])
+    last = F.max_by(F.struct(*[c for c in new.columns if c != key and c not in add]), turn)
+    sums = [F.sum(c).cast(new.schema[c].dataType).alias(c) for c in new.columns if c in add]
+    return new.groupBy(key).agg(last.alias("__last"), *sums).select(*[F.col(c) if c == key or c in add else F.col(f"__last.`{c}`").alias(c) for c in new.columns])
+
+
 class MetricStore:
     """Metric documents under one path. Writes replace whole partitions and never the one that a plan still reads.
 
     With a ``schema`` (such as DOCUMENT) the store has those columns: absent ones are written as nulls, others are refused,
-    and it can be read before the first write.
+    and it can be read before the first write. A null or empty collection, and a null date, are partitions of their own.
+
+    ``put``, ``accumulate`` and ``replace_days`` are loads. A load stages the whole new content of the partitions that it touches
+    in a folder beside the store and becomes the next version by one rename, which only one of several writers achieves; the
+    others see that, drop what they staged and merge again on top. A version is then copied over its partitions. What a
+    crash leaves is finished (a version) or ignored (anything not renamed yet) by the next load. A load with an identifier
+    that has been loaded before does nothing, so a retry counts once. A version that another writer is still applying is
+    waited for, ``patience`` seconds at most; then that writer counts as crashed. Partitions change one after the other, so a
+    reader may see some of a load's before the others. Renames must not replace folders, as on file systems (not on plain
+    object stores).
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | None = None):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: str | None = None, patience: float = 600):
+        self.spark, self.path, self.patience = spark, path.rstrip("/"), patience
+        self.loads = f"{self.path}-loads"
         self.schema = spark.createDataFrame([], schema).schema if schema else None
 
     def _at(self, path: str):
         found = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), found
 
+    def _exists(self, path: str) -> bool:
+        system, at = self._at(path)
+        return system.exists(at)
+
+    def _delete(self, path: str) -> None:
+        system, at = self._at(path)
+        system.delete(at, True)
+
+    def _write_text(self, path: str, text: str) -> None:
+        system, at = self._at(path)
+        out = system.create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _read_text(self, path: str) -> str:
+        system, at = self._at(path)
+        file = system.open(at)
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
+
     def read(self, schema=None) -> DataFrame | None:
         """None before the first write, if no schema is given."""
         schema = schema or self.schema and T.StructType([*self.schema, T.StructField("year", T.IntegerType())])
-        system, path = self._at(self.path)
-        if not system.exists(path):
+        system, parts = self._at(f"{self.path}/collection=*/year=*/*.parquet")
+        if not system.globStatus(parts):
             return self.spark.createDataFrame([], schema) if self.schema else None
         return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(self.path)
 
-    def _partition(self, collection: str, year: int) -> str:
-        return f"{self.path}/collection={self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(collection)}/year={year}"
+    def _partition(self, collection: str | None, year: int | None) -> str:
+        names = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        none = "__HIVE_DEFAULT_PARTITION__"
+        return f"{self.path}/collection={names.escapePathName(collection) if collection else none}/year={none if year is None else year}"
 
     def create(self, collection: str, year: int) -> bool:
         """Makes the partition if it is absent; whether it was."""
@@ -162,13 +211,15 @@ class MetricStore:
         return not system.exists(path) and system.mkdirs(path)
 
     def partitions(self) -> list[tuple[str, int]]:
-        """(collection, year) of all partitions, empty ones too."""
+        """(collection, year) of all partitions with both, empty ones too."""
         system, path = self._at(f"{self.path}/collection=*/year=*")
         unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         parts = [x.getPath() for x in system.globStatus(path) or []]
-        return sorted((unescape(p.getParent().getName().removeprefix("collection=")), int(p.getName().removeprefix("year="))) for p in parts)
+        named = [(p.getParent().getName().removeprefix("collection="), p.getName().removeprefix("year=")) for p in parts]
+        return sorted((unescape(c), int(y)) for c, y in named if "__HIVE_DEFAULT_PARTITION__" not in (c, y))
 
     def _fitted(self, documents: DataFrame) -> DataFrame:
+        documents = documents.withColumn("collection", F.nullif("collection", F.lit("")))
         if self.schema is None:
             return documents
         if other := {*documents.columns} - {*self.schema.names}:
@@ -180,57 +231,126 @@ class MetricStore:
         rows = self._fitted(documents).withColumn("year", F.year("date")).hint("rebalance", *PARTITIONS, "date")
         rows.sortWithinPartitions("date", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path)
 
-    def _replace(self, documents: DataFrame) -> None:
-        """Writes what was made from the store itself, by way of a fresh folder beside it."""
-        staged = f"{self.path}-staged-{uuid.uuid4().hex}"
-        documents.write.parquet(staged)
-        self.write(self.spark.read.schema(documents.schema).parquet(staged))
-        system, path = self._at(staged)
-        system.delete(path, True)
-
-    def _touched(self, documents: DataFrame, keys: DataFrame) -> DataFrame | None:
-        old = self.read()
-        names = self.schema.names if self.schema else documents.columns
-        return None if old is None else old.join(keys, keys.columns, "left_semi").select(*names)
-
-    def put(self, documents: DataFrame) -> None:
-        """By id, last write wins."""
-        self._rewrite(documents, last_write_wins)
-
-    def accumulate(self, documents: DataFrame) -> None:
-        """Adds counters to stored ids. Running twice counts twice; ``replace_days`` does not."""
-        self._rewrite(documents, merge_metrics)
-
-    def _rewrite(self, documents: DataFrame, combine) -> None:
-        keys = documents.select("collection", F.year("date").alias("year")).distinct()
-        old = self._touched(documents, keys)
-        if old is None:
-            self.write(documents)
-        else:
-            self._replace(combine(old, self._fitted(documents)))
-
-    def replace_days(self, documents: DataFrame, days: DataFrame | None = None) -> None:
+    # loads
+
+    def versions(self) -> list[int]:
+        """Numbers of the versions that the ledger holds: the last one, and any that is not applied yet."""
+        system, path = self._at(f"{self.loads}/v*")
+        return sorted(int(x.getPath().getName().removeprefix("v")) for x in system.globStatus(path) or [])
+
+    def _version(self, number: int) -> str:
+        return f"{self.loads}/v{number:09d}"
+
+    def loaded(self, load_id: str) -> bool:
+        return self._exists(f"{self.loads}/ids/{_file_name(load_id)}")
+
+    def _commit(self, staged: str, number: int) -> bool:
+        """``staged`` becomes version ``number``, unless another writer's has."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        system, path = self._at(self.loads)
+        system.mkdirs(path)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri() if path.toUri().getScheme() else system.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        target = self._version(number)
+        if self._exists(target):
+            return False
+        try:
+            context.rename(self._at(staged)[1], self._at(target)[1], gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError:
+            if not self._exists(target):
+                raise
+            return False
+        return True
+
+    def _apply(self, number: int) -> None:
+        """Copies a version over its partitions; doing so again changes nothing."""
+        at = self._version(number)
+        note = json.loads(self._read_text(f"{at}/note"))
+        schema = T.StructType.fromJson(note["schema"])
+        self.write(self.spark.read.schema(schema).parquet(f"{at}/data"))
+        for collection, year in note["emptied"]:
+            self.drop(collection, year)
+        self._write_text(f"{self.loads}/ids/{_file_name(note['load'])}", str(number))
+        self._write_text(f"{at}/applied", "")
+        self._delete(f"{at}/data")
+
+    def recover(self) -> int:
+        """Applies versions that are not applied yet; the number of the last one."""
+        for number in self.versions():
+            at, waited = self._version(number), 0.0
+            while not self._exists(f"{at}/applied"):
+                system, path = self._at(at)
+                if not system.exists(path):
+                    break
+                if time.time() - system.getFileStatus(path).getModificationTime() / 1000 >= self.patience or waited >= self.patience:
+                    self._apply(number)
+                else:
+                    time.sleep(0.2)
+                    waited += 0.2
+        last = self.versions()
+        for number in last[:-1]:
+            self._delete(self._version(number))
+        return last[-1] if last else 0
+
+    def _load(self, new: DataFrame, years: DataFrame, combine: Callable[[DataFrame | None], DataFrame], load_id: str | None) -> bool:
+        """Merges until the merge is the next version. ``combine`` gets the stored rows of ``years`` (collection, year)."""
+        load_id = load_id or uuid.uuid4().hex
+        while True:
+            number = self.recover()
+            if self.loaded(load_id):
+                return False
+            old = self.read()
+            if old is not None:
+                same = old.collection.eqNullSafe(years.collection) & old.year.eqNullSafe(years.year)
+                old = old.join(years, same, "left_semi").select(*(self.schema.names if self.schema else [c for c in new.columns if c in old.columns]))
+            staged = f"{self.loads}/staged-{uuid.uuid4().hex}"
+            made = combine(old)
+            made.write.parquet(f"{staged}/data")
+            made = self.spark.read.schema(made.schema).parquet(f"{staged}/data")
+            left = made.select("collection", F.year("date").alias("year")).distinct()
+            emptied = sorted({tuple(r) for r in years.collect()} - {tuple(r) for r in left.collect()}, key=repr)  # some hundreds
+            self._write_text(f"{staged}/note", json.dumps({"load": load_id, "schema": made.schema.jsonValue(), "emptied": emptied}))
+            if self._commit(staged, number + 1):
+                self._apply(number + 1)
+                return True
+            self._delete(staged)
+
+    @staticmethod
+    def _years(documents: DataFrame) -> DataFrame:
+        return documents.select("collection", F.year("date").alias("year")).distinct()
+
+    def put(self, documents: DataFrame, load_id: str | None = None) -> bool:
+        """By id, last write wins; of the load's own rows of an id the last by all columns. False: the load is known."""
+        new = one_row_an_id(self._fitted(documents))
+        return self._load(new, self._years(new), lambda old: new if old is None else last_write_wins(old, new), load_id)
+
+    def accumulate(self, documents: DataFrame, load_id: str | None = None) -> bool:
+        """Adds counters to stored ids, once for each ``load_id``. False: the load is known."""
+        fitted = self._fitted(documents)
+        new = one_row_an_id(fitted, add=tuple(c for c in COUNTERS if c in fitted.columns))
+        return self._load(new, self._years(new), lambda old: new if old is None else merge_metrics(old, new), load_id)
+
+    def replace_days(self, documents: DataFrame, days: DataFrame | None = None, load_id: str | None = None) -> bool:
         """Stored rows of the (collection, date) in ``days`` (default: those of ``documents``) give way to ``documents``.
 
         Partitions that are left without a row are dropped. The partitions that the days touch (some hundreds) are listed.
         """
-        days = (documents if days is None else days).select("collection", "date").distinct()
-        years = days.select("collection", F.year("date").alias("year")).distinct()
-        old = self._touched(documents, years)
-        if old is None:
-            self.write(documents)
-            return
-        emptied = {tuple(r) for r in years.collect()}
-        rest = old.join(days, ["collection", "date"], "left_anti").unionByName(self._fitted(documents))
-        emptied -= {tuple(r) for r in rest.select("collection", F.year("date")).distinct().collect()}
-        self._replace(rest)
-        for collection, year in emptied:
-            if collection is not None and year is not None:
-                self.drop(collection, year)
-
-    def drop(self, collection: str, year: int) -> None:
-        system, path = self._at(self._partition(collection, year))
-        system.delete(path, True)
+        new = self._fitted(documents)
+        days = (new if days is None else days.withColumn("collection", F.nullif("collection", F.lit("")))).select("collection", "date").distinct()
+
+        def combine(old: DataFrame | None) -> DataFrame:
+            if old is None:
+                return new
+            same = old.collection.eqNullSafe(days.collection) & old.date.eqNullSafe(days.date)
+            return old.join(days, same, "left_anti").unionByName(new)
+
+        return self._load(new, self._years(days), combine, load_id)
+
+    def drop(self, collection: str | None, year: int | None) -> None:
+        self._delete(self._partition(collection, year))
+
+
+def _file_name(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def archive(df: DataFrame, expired: Column, path: str) -> DataFrame:

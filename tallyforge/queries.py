@@ -782,7 +782,7 @@ def stream_closed_hours(spark, d):
     for part in (0, 1):
         hits.where(F.hour("local_datetime") % 2 == part).write.mode("append").parquet(f"{out}/hits")
         stream = streams.stream_table(spark, f"{out}/hits")
-        streams.for_each_batch(stream, lambda df, n, part=part: streams.closed_hour_clicks(df).write.mode("overwrite").parquet(f"{out}/kept/part={part}/batch={n}"), f"{out}/checkpoint").awaitTermination()
+        streams.for_each_batch(stream, lambda df, n, part=part: metrics.kept_clicks(df).write.mode("overwrite").parquet(f"{out}/kept/part={part}/batch={n}"), f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/kept/part=*/batch=*").select("ip_address", "collection", "issn", "second", "n_clicks", "kept")
 
 
@@ -796,3 +796,61 @@ def stream_merge(spark, d):
         stream = streams.stream_table(spark, f"{out}/hits")
         streams.merge_into_store(stream, f"{out}/raw", target, f"{out}/checkpoint", metrics.metric_documents).awaitTermination()
     return target.read().select(*_documents(spark, d).columns)
+
+
+@query(f"""
+WITH {CHECKED_SQL}, clicks AS (SELECT *, date_trunc('hour', local_datetime) AS session_start FROM checked WHERE code = 'valid'),
+ordered AS (SELECT *, lead(local_datetime) OVER w AS later FROM clicks WINDOW w AS (PARTITION BY {KEYS} ORDER BY local_datetime, seq)),
+runs AS (
+  SELECT *, sum((later IS NULL OR date_diff('second', local_datetime, later) > 30)::INTEGER) OVER (PARTITION BY {KEYS} ORDER BY local_datetime, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run
+  FROM ordered)
+SELECT ip_address, collection, issn, max(local_datetime) AS second, count(*) AS n_clicks, arg_max(content_type = 'full_text', {{'a': local_datetime, 'b': seq}}) AS is_request
+FROM runs GROUP BY {KEYS}, coalesce(run, 0)
+""")
+def stream_double_clicks(spark, d):
+    """Hits up to ten days out of order in five batches, so that most runs come in several; then late ones, which are dropped,
+    and one far ahead, which closes all runs."""
+    out = file_queries.scratch(spark, "clicks")
+    hits = checked(spark, d).where("is_valid")
+    arrival = F.date_add(F.to_date("local_datetime"), (F.col("event_id") * 7919 % 10).cast("int"))
+    batch = F.least(F.floor(F.datediff(arrival, F.lit(A.START)) / 8), F.lit(4))
+    columns = [*metrics.SESSION, *metrics.ITEM, "country_code", "media_language", "local_datetime", "content_type", "seq"]
+    for n in range(6):
+        some = hits.where(batch == n) if n < 5 else hits.where(batch == 0).limit(100)
+        if n == 4:
+            some = some.union(hits.limit(1).withColumns({"ip_address": F.lit("end"), "local_datetime": F.lit("2099-01-01 00:00:00").cast("timestamp_ntz")}))
+        some.select(*columns).write.mode("append").parquet(f"{out}/hits")
+        clicks = streams.stream_kept_clicks(streams.stream_table(spark, f"{out}/hits"), delay="11 days")
+        streams.ingest(clicks, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(clicks.schema).parquet(f"{out}/rows").select("ip_address", "collection", "issn", "second", "n_clicks", "is_request")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey % 7000 NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)")
+def many_robot_patterns(spark, d):
+    """Thousands of patterns, of another dialect or without a literal among them, and some that cannot be compiled."""
+    k = F.col("p_partkey").cast("string")
+    parts = A.table(spark, d, "part").where("p_partkey % 3 = 0")
+    plain = parts.select(F.concat(F.lit("CLIENT"), k, F.lit(";")).alias("pattern"))
+    odd = parts.select(F.explode(F.array(F.concat(F.lit("(?P<name>none)"), k, F.lit("(?P=name)")), F.concat(F.lit("*nothing"), k), F.concat(F.lit(r"^x\d+ client"), k))).alias("pattern"))
+    robots = plain.union(odd).union(spark.createDataFrame([("[",), ("(never|ever) here",), (None,)], "pattern string"))
+    lines = A.table(spark, d, "orders").select("o_orderkey", F.format_string("Mozilla/5.0 client%d; U", F.col("o_custkey") % 7000).alias("user_agent"))
+    return filters.without_robots(lines, robots).select("o_orderkey")
+
+
+@query("""
+WITH files AS (SELECT o_orderkey, 'c' || (o_orderkey % 3) AS collection, '/data/logs' || (o_orderkey % 97) || '/srv' || (o_custkey % 89) || '/' || o_orderkey || '.log' AS path FROM orders),
+directories AS (
+  SELECT 'c' || (s_suppkey % 2) AS collection, CASE s_suppkey % 3 WHEN 0 THEN 'ogs' || (s_suppkey % 97) WHEN 1 THEN '/srv' || (s_suppkey % 89) || '/' ELSE '' END AS directory,
+         CASE WHEN s_suppkey % 3 = 2 THEN 1000000 ELSE s_suppkey END AS position, CASE WHEN s_suppkey % 7 > 0 THEN 't' || s_suppkey % 11 END AS translator
+  FROM supplier WHERE s_suppkey % 3 < 2 OR s_suppkey = 2)
+SELECT o_orderkey, arg_min(translator, {'a': position, 'b': directory}) AS translator
+FROM files f LEFT JOIN directories d ON f.collection = d.collection AND contains(f.path, d.directory) AND coalesce(d.translator, '') <> '' GROUP BY o_orderkey
+""")
+def overlapping_directories(spark, d):
+    """Directories that begin inside a folder name, lie in each other, or are empty."""
+    k, s = F.col("o_orderkey"), F.col("s_suppkey")
+    files = A.table(spark, d, "orders").select(k, F.format_string("c%d", k % 3).alias("collection"), F.format_string("/data/logs%d/srv%d/%d.log", k % 97, F.col("o_custkey") % 89, k).alias("path"))
+    name = F.when(s % 3 == 0, F.format_string("ogs%d", s % 97)).when(s % 3 == 1, F.format_string("/srv%d/", s % 89)).otherwise("")
+    rows = A.table(spark, d, "supplier").where("s_suppkey % 3 < 2 OR s_suppkey = 2")
+    directories = rows.select(F.format_string("c%d", s % 2).alias("collection"), name.alias("directory"), F.when(s % 3 == 2, 1000000).otherwise(s).alias("position"), F.when(s % 7 > 0, F.format_string("t%d", s % 11)).alias("translator"))
+    return joins.file_translator(files, directories).select("o_orderkey", "translator")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import io
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,22 @@ def read_logs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
-    """``path, modified, length`` of all files below ``root`` with an extension (case ignored) changed in the days given.
+def every_file(spark: SparkSession, root: str) -> DataFrame:
+    """``path, modified, length`` of all files below ``root``, empty ones too, as the file system lists them. Paths are listed by
+    the driver, contents are not read."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    listed, rows = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            rows.append((f.getPath().toString(), dt.datetime.fromtimestamp(f.getModificationTime() / 1000), f.getLen()))
+    return spark.createDataFrame(rows, "path string, modified timestamp, length long")
+
 
-    Spark skips empty files.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"), "length")
+def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """``path, modified, length`` of all files below ``root`` with an extension (case ignored) changed in the days given."""
+    files = every_file(spark, root)
     files = files.where(F.lower(F.regexp_extract("path", r"\.[^./]*$", 0)).isin([e.lower() for e in extensions]))
     if start:
         files = files.where(F.to_date("modified") >= F.lit(start))
@@ -33,6 +44,31 @@ def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXT
     return files
 
 
+#: Bytes of the first block of a head or tail; doubled until it holds the lines.
+BLOCK = 1 << 14
+
+
+def head_and_tail(file, length: int, n: int = 25) -> tuple[bytes, bytes, int]:
+    """The first and the last ``n`` lines of an open file that can seek, and the bytes read for them."""
+    read, size = 0, min(BLOCK, length)
+    while True:
+        file.seek(0)
+        head = file.read(size)
+        read += len(head)
+        if size == length or head.count(b"\n") >= n:
+            break
+        size = min(2 * size, length)
+    size = min(BLOCK, length)
+    while True:
+        file.seek(length - size)
+        tail = file.read(size)
+        read += len(tail)
+        if size == length or tail.count(b"\n") > n:  # one more, as the block begins inside a line
+            break
+        size = min(2 * size, length)
+    return b"".join(io.BytesIO(head).readlines()[:n]), b"".join(io.BytesIO(tail).readlines()[-n:]), read
+
+
 def fingerprint_of(content: bytes, n: int = 25) -> str:
     """MD5 of the first ``n`` lines, the size as text and the last ``n`` lines."""
     lines = io.BytesIO(content).readlines()
@@ -40,7 +76,30 @@ def fingerprint_of(content: bytes, n: int = 25) -> str:
 
 
 def fingerprint(spark: SparkSession, path: str, n: int = 25) -> DataFrame:
-    """``path, length, hash`` of every file; only the digest leaves the task. A file of over 2 GB cannot be read whole."""
+    """``path, length, hash, bytes_read`` of every file below ``path``, empty ones too: MD5 of the first ``n`` lines, the size and
+    the last ``n`` lines, read by position, whatever the size of the file. For stores that pyarrow opens (local and mounted
+    folders, hdfs, s3, gs); ``fingerprint_whole`` reads from any other."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            hashes, read = [], []
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                system, name = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+                with system.open_input_file(name) as file:
+                    head, tail, n_read = head_and_tail(file, length, n)
+                hashes.append(hashlib.md5(head + str(length).encode() + tail).hexdigest())
+                read.append(n_read)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(hashes, pa.string()), pa.array(read, pa.int64())], names=["path", "length", "hash", "bytes_read"])
+
+    files = every_file(spark, path).select("path", "length")
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files.count() // 64)))
+    return files.repartition(tasks).mapInArrow(run, "path string, length long, hash string, bytes_read long")
+
+
+def fingerprint_whole(spark: SparkSession, path: str, n: int = 25) -> DataFrame:
+    """As ``fingerprint``, through Spark's reader: any store, but whole files of at most 2 GB, and empty ones are not listed."""
 
     def run(batches):
         for batch in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import MetricStore
-from ..operators.metrics import ITEM, SESSION, Rules, kept_clicks
+from ..operators.metrics import ITEM, SESSION, Rules, click_keys
 
 
 def stream_logs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -68,6 +68,18 @@ def merge_into_store(hits: DataFrame, raw_path: str, store: MetricStore, checkpo
     return for_each_batch(hits, work, checkpoint)
 
 
-def closed_hour_clicks(sessions_hits: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The double-click filter over hits of closed hours, the batch operator itself: for use within a batch."""
-    return kept_clicks(sessions_hits, rules)
+def stream_kept_clicks(hits: DataFrame, rules: Rules = Rules(), delay: str = "1 hour", seq: str = "seq") -> DataFrame:
+    """The double-click filter in stream state: one row for each run of clicks of a session and item of which each follows the
+    one before within the gap, with ``second`` (of the last click, the one that counts), ``n_clicks`` and ``is_request``.
+
+    A run is a session window of the clicks' seconds; its state is an aggregate, whatever a robot does, and is given out when
+    the watermark has passed it. Hits of a run may come in any order and batch within ``delay``; later ones are dropped.
+    """
+    hits, keys = click_keys(hits, rules)
+    timed = hits.withColumn("time", F.col("second").cast("timestamp")).withWatermark("time", delay)
+    runs = timed.groupBy(F.session_window("time", f"{1000 * rules.gap_seconds + 500} milliseconds"), *keys).agg(
+        F.count("*").alias("n_clicks"),
+        F.max("second").alias("second"),
+        F.max_by(F.col("content_type").isin(*rules.request_types), F.struct("second", seq)).alias("is_request"),
+    )
+    return runs.select(*keys, "second", "n_clicks", "is_request")

@@ -14,7 +14,7 @@ from tallyforge.operators import quality, store
 from tallyforge.operators.quality import Rule
 from tallyforge.operators.metrics import COUNTERS, Rules, metric_documents
 from tallyforge.plans import metrics as plan
-from tallyforge.sources import dumps, logs, tables
+from tallyforge.sources import dumps, logs, tables, tail
 from tallyforge.streaming import ingest
 
 
@@ -56,10 +56,61 @@ def test_files_and_fingerprints(spark, root, tmp_path):
     assert logs.list_files(spark, root, start=dt.date(2100, 1, 1)).count() == 0
     for n in (0, 10, 30, 60):
         (tmp_path / f"f{n}.log").write_text("".join(f"line {i}\n" for i in range(n)))
-    for r in logs.fingerprint(spark, str(tmp_path)).collect():
-        text = open(r.path.removeprefix("file:"), "rb").read()
+    (tmp_path / "open.log").write_text("x\n" * 70 + "no end")
+    (tmp_path / "wide.log").write_text(("y" * 5000 + "\n") * 100)
+    got = {r.path: r for r in logs.fingerprint(spark, str(tmp_path)).collect()}
+    assert len(got) == 6
+    for path, r in got.items():
+        text = open(path.removeprefix("file:"), "rb").read()
         some = text.splitlines(keepends=True)
-        assert r.hash == hashlib.md5(b"".join(some[:25]) + str(len(text)).encode() + b"".join(some[-25:])).hexdigest()
+        assert r.hash == hashlib.md5(b"".join(some[:25]) + str(len(text)).encode() + b"".join(some[-25:])).hexdigest() and r.length == len(text)
+    whole = {r.path: r.hash for r in logs.fingerprint_whole(spark, str(tmp_path)).collect()}
+    assert len(whole) == 5 and all(got[p].hash == h for p, h in whole.items())
+
+
+def test_a_large_file_is_read_at_its_ends_only(spark, tmp_path):
+    line = b"line of a large file, one hundred bytes " + b"." * 59 + b"\n"
+    with open(tmp_path / "large.log", "wb") as f:
+        f.write(line * 30)
+        f.truncate(3 << 30)  # a hole of 3 GB
+        f.seek(0, 2)
+        f.write(b"\n" + line * 30)
+    (row,) = logs.fingerprint(spark, str(tmp_path)).collect()
+    assert row.length == (3 << 30) + 3001 and row.bytes_read <= 4 * logs.BLOCK
+    assert row.hash == hashlib.md5(line * 25 + str(row.length).encode() + line * 25).hexdigest()
+
+
+@pytest.mark.parametrize("each", [1, 7, 64 << 20])
+def test_ranges_of_a_file_give_each_line_once(tmp_path, each):
+    text = b"one\n\ntwo\r\n" + b"long " * 30 + b"\nlast\nno end"
+    (tmp_path / "f").write_bytes(text)
+    with open(tmp_path / "f", "rb") as f:
+        end = tail.line_end(f, 0, len(text))
+        assert text[:end].endswith(b"last\n") and tail.line_end(f, end, len(text)) == end
+        for start in (0, 4):
+            found = [x for part in tail.ranges_of("f", start, end, each) for x in tail.lines_of(f, part)]
+            assert [x for _, x in found] == [x.removesuffix(b"\r") for x in text[start:end].split(b"\n")[:-1]]
+            assert all(text[p:].startswith(x) for p, x in found)
+
+
+def test_lines_added_to_known_files_come_once(spark, tmp_path):
+    src, out, check = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "check")
+    src.mkdir()
+
+    def read():
+        ingest.ingest(tail.stream_tail(spark, str(src), bytes_each=10), out, check).awaitTermination()
+        return sorted((r.file.rsplit("/", 1)[-1], r.value) for r in spark.read.parquet(out).collect())
+
+    (src / "a.log").write_text("one\ntw")
+    (src / "other.txt").write_text("no\n")
+    assert read() == [("a.log", "one")] and read() == [("a.log", "one")]
+    with open(src / "a.log", "a") as f:
+        f.write("o\nthree\nfo")
+    (src / "b.log").write_text("")
+    assert read() == [("a.log", "one"), ("a.log", "three"), ("a.log", "two")]
+    (src / "b.log").write_text("later\n")
+    (src / "a.log").write_text("new\n")  # shorter: another file under the old name
+    assert read() == [("a.log", "new"), ("a.log", "one"), ("a.log", "three"), ("a.log", "two"), ("b.log", "later")]
 
 
 @pytest.fixture(scope="module")
@@ -206,13 +257,20 @@ def test_streams(spark, root, catalogue, tmp_path):
     assert spark.read.parquet(str(tmp_path / "u")).count() == 2
 
 
-def test_closed_hours_equal_the_batch(spark):
+def test_streamed_double_clicks(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
-    rows = [("c", "1", "ip", "aaa", "i", "p", "", "", "en", "html", "full_text", "BR", start + dt.timedelta(seconds=s), s) for s in range(0, 7200, 11)]
+    seconds = [0, 30, 60, 91, 3590, 3610, 3641, 5000, 5000, 5001]
+    rows = [("c", "1", "ip", "aaa", "i", "p", "", "", "en", "html", "full_text" if n % 2 else "abstract", "BR", start + dt.timedelta(seconds=s, milliseconds=500 * (n % 2)), n) for n, s in enumerate(seconds)]
     kind = ", ".join(f"{c} string" for c in "client_name client_version ip_address collection issn pid_v2 pid_v3 pid_generic media_language media_format content_type country_code".split()) + ", local_datetime timestamp_ntz, seq long"
-    hits = spark.createDataFrame(rows, kind)
-    hours = [ingest.closed_hour_clicks(hits.where(F.hour("local_datetime") == h)) for h in (0, 1)]
-    assert hours[0].union(hours[1]).where("kept").count() == metric_documents(hits, Rules()).agg(F.sum("total_investigations")).first()[0]
+    end = [(*r[:2], "end", *r[3:12], start + dt.timedelta(days=1), 99) for r in rows[:1]]
+    for some in (rows[1::2], rows[0::2], end, rows[:1]):  # the last one is late
+        spark.createDataFrame(some, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "hits"))
+        stream = ingest.stream_kept_clicks(ingest.stream_table(spark, str(tmp_path / "hits")), delay="2 hours")
+        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {((r.second - start).total_seconds(), r.n_clicks, r.is_request) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(60, 3, False), (91, 1, True), (3590, 1, False), (3610, 1, True), (3641, 1, False), (5001, 3, True)}
+    documents = metric_documents(spark.createDataFrame(rows, kind), Rules()).agg(F.sum("total_investigations"), F.sum("total_requests")).first()
+    assert tuple(documents) == (6, 3)
 
 
 def test_widths_of_later_lines_and_of_quoted_separators(spark, tmp_path):

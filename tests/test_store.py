@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import coverage, filters, joins, store
+from tallyforge.operators import coverage, filters, joins, literals, store
 from tallyforge.operators.metrics import COUNTERS
 
 KIND = "id string, collection string, date date, total_requests long, total_investigations long, unique_requests long, unique_investigations long"
@@ -90,8 +90,7 @@ def test_repeated_keys_of_a_load(spark):
 def test_robot_patterns_are_read_one_by_one(spark):
     lines = spark.createDataFrame([("zz bot",), ("ab",), ("q EN",), ("q en",), ("a#b",), (None,)], "user_agent string")
     robots = spark.createDataFrame([("(a)b",), (r"(z)\1",), ("(?-i)EN",), (r"\Qa#b",)], "pattern string")
-    for together in (1, 1000):
-        assert {r[0] for r in filters.without_robots(lines, robots, one_pattern_up_to=together).collect()} == {"q en", None}
+    assert {r[0] for r in filters.without_robots(lines, robots).collect()} == {"q en", None}
 
 
 def test_directories_without_translator_are_skipped(spark):
@@ -118,8 +117,7 @@ def test_archive_and_export(spark, tmp_path):
 def test_many_robot_patterns(spark):
     lines = spark.createDataFrame([("GoogleBot/1",), ("Firefox",), (None,)], "user_agent string")
     robots = spark.createDataFrame([("bot",), ("spider",)], "pattern string")
-    for most in (1, 1000):
-        assert sorted(map(str, (r[0] for r in filters.without_robots(lines, robots, one_pattern_up_to=most).collect()))) == ["Firefox", "None"]
+    assert sorted(map(str, (r[0] for r in filters.without_robots(lines, robots).collect()))) == ["Firefox", "None"]
     assert filters.without_robots(lines, robots.limit(0)).count() == 3
 
 
@@ -158,3 +156,99 @@ def test_validation_uses_the_name(spark):
     lines = spark.createDataFrame([("f", i, dt.datetime(2024, 1, 1, i % 24), None if i % 3 else "LIN", dt.date(2024, 1, d)) for d in (1, 20) for i in range(30)], "file string, seq long, local_datetime timestamp_ntz, reject_reason string, named date")
     got = {r.named.day: r.status for r in coverage.validate_files(lines, 1.0, named_date="named").collect()}
     assert got == {1: "QUE", 20: "INV"}
+
+
+def test_patterns_that_cannot_be_compiled_are_named(spark):
+    robots = spark.createDataFrame([("(?P<x>spi)der(?P=x)",), ("*crawler",), ("[",), ("bot",), (None,)], "pattern string")
+    good, bad = filters.robot_patterns(robots)
+    assert good == [r"(?<x>spi)der\k<x>", "bot"] and set(bad) == {"*crawler", "["}
+    lines = spark.createDataFrame([("a Bot",), ("spiderSPI",), ("spider",), ("*crawler [",), (None,)], "user_agent string")
+    assert {r[0] for r in filters.without_robots(lines, robots).collect()} == {"spider", "*crawler [", None}
+
+
+@pytest.mark.parametrize(
+    "pattern, literal",
+    [("Goo[bB]ot/2\\.1", "ot/2.1"), ("a?bc+d", "bc"), ("x{12}yy", "yy"), ("(ab)?cd", "cd"), ("a|b", ""), (r"\x41bcd", ""), (r"\bfoo\d", "foo"), ("[^]a]spider", "spider"), ("[a[b]]cd", ""), ("(?x)a b", ""), ("abc*", "ab"), ("", "")],
+)
+def test_the_literal_of_a_pattern(pattern, literal):
+    assert literals.required_literal(pattern) == literal
+
+
+def test_every_contained_literal_is_found(spark):
+    rows = spark.createDataFrame([("abcabd",), ("",), ("\u00c4BC",), (None,)], "t string")
+    wanted = [("ab", 1), ("bc", 2), ("abc", 3), ("", 4), ("ab", 5), ("\u00e4", 6)]
+    found = {(r.text, r.id) for r in literals.containing(rows, wanted).collect()}
+    assert found == {(t, i) for t in ("abcabd", "", "\u00c4BC") for x, i in wanted if x in t}
+    assert {r.id for r in literals.containing(rows, wanted, fold=True).where("text = '\u00c4BC'").collect()} == {2, 4}
+    assert literals.containing(rows, []).count() == 0
+
+
+def test_rows_without_a_collection_or_date_are_kept(spark, target):
+    target.put(docs(spark, ("n", None, DAY, 1), ("e", "", DAY, 2), ("d", "x", None, 3)))
+    target.put(docs(spark, ("n2", None, DAY, 4), ("d", "x", None, 5)))
+    assert content(target) == [("d", 5), ("e", 2), ("n", 1), ("n2", 4)]
+    target.accumulate(docs(spark, ("n", None, DAY, 10)))
+    assert content(target) == [("d", 5), ("e", 2), ("n", 11), ("n2", 4)]
+    target.replace_days(docs(spark).limit(0), docs(spark, ("?", "", DAY, 0)))
+    assert content(target) == [("d", 5)]
+
+
+def test_repeated_ids_in_a_load(spark, target):
+    for expected in ([("a", 2)], [("a", 7)]):
+        target.put(docs(spark, ("a", "x", DAY, 1), ("a", "x", DAY, expected[0][1])))
+        assert content(target) == expected
+    target.accumulate(docs(spark, ("a", "x", DAY, 1), ("a", "x", DAY, 2), ("b", "x", DAY, 3), ("b", "x", DAY, 3)))
+    assert content(target) == [("a", 10), ("b", 6)]
+
+
+def test_a_load_counts_once(spark, target):
+    load = docs(spark, ("a", "x", DAY, 1))
+    assert target.accumulate(load, "one") and not target.accumulate(load, "one") and target.accumulate(load, "two")
+    assert content(target) == [("a", 2)] and target.loaded("one") and not target.loaded("three")
+
+
+@pytest.mark.parametrize("step", ["_commit", "_apply", "write", "drop"])
+def test_a_crash_is_finished_or_undone(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "metrics")
+    target = store.MetricStore(spark, path)
+    target.put(docs(spark, ("a", "x", DAY, 1), ("b", "y", DAY, 1)))
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    day_y = docs(spark, ("?", "x", DAY, 0), ("?", "y", DAY, 0))
+    with monkeypatch.context() as m:
+        m.setattr(store.MetricStore, step, crash)
+        with pytest.raises(RuntimeError):
+            target.replace_days(docs(spark, ("c", "x", DAY, 5)), day_y, "load")
+    again = store.MetricStore(spark, path, patience=0)
+    again.recover()
+    done = step != "_commit"
+    assert again.loaded("load") == done and content(again) == ([("c", 5)] if done else [("a", 1), ("b", 1)])
+    assert again.replace_days(docs(spark, ("c", "x", DAY, 5)), day_y, "load") != done
+    assert content(again) == [("c", 5)]
+
+
+def test_of_two_writers_one_merges_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "metrics")
+    first, second = store.MetricStore(spark, path), store.MetricStore(spark, path)
+    first.put(docs(spark, ("a", "x", DAY, 1)))
+    commit, tries = store.MetricStore._commit, []
+
+    def slow(self, staged, number):
+        tries.append(number)
+        if len(tries) == 1:
+            second.accumulate(docs(spark, ("a", "x", DAY, 10)), "theirs")
+        return commit(self, staged, number)
+
+    monkeypatch.setattr(store.MetricStore, "_commit", slow)
+    first.accumulate(docs(spark, ("a", "x", DAY, 100)), "mine")
+    assert content(first) == [("a", 111)] and tries == [2, 2, 3]
+
+
+def test_an_empty_load(spark, target):
+    target.put(docs(spark).limit(0))
+    assert target.read() is None
+    target.put(docs(spark, ("a", "x", DAY, 1)))
+    target.accumulate(docs(spark).limit(0))
+    assert content(target) == [("a", 1)]
