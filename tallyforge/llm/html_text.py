@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with its path of tags from the root. Elements that by the meaning of their tag hold no
-article text (scripts, forms, nav, aside, footer, a page's header) or are hidden are left out. For each path the text
-length and the punctuation of its nodes are set against the number of its nodes; along the page these ratios are smoothed
-and fused by multiplication, paths through an article or main element weigh more and paths through a link less, and the
-paths that reach a share of the page's mean are content. Output are the nodes of content paths, wherever they stand; what
-stands in an article or main element together with some (an article inside it apart, which is a reader's comment); and,
-of the containers around them, the text that stands in no other container and is not links alone.
+A page is cut into runs of text, one for each block, each with its path of block elements (tags and classes) from the root.
+Elements that by the meaning of their tag hold no article text (scripts, forms, nav, aside, footer, a page's header) or are
+hidden are left out. For each path the text length and the punctuation of its runs are set against their number; text in
+links and short runs lower the length. Both ratios are smoothed along the runs of one container and fused by
+multiplication, and so are the text and the punctuation of the container as a whole. A run counts by the mean of its path's
+and its container's value, and is content if that reaches a share of the page's mean: a short run among content passes by
+its container, an advert, notice or comment in a container of its own does not. A heading counts as what it heads. Paths through an article
+or main element weigh a little more. No list of class or id names is used, and an article outputs nothing that its ratios
+reject. Content of an article inside an article is a reader's comment if the outer one has content of its own.
 
 Defined results: a null or empty page, or one without text, gives an empty text; unclosed and misnested tags are
 tolerated; a page whose text stands in forms alone is read as if they were plain containers; pages are read whole and
@@ -40,11 +42,20 @@ BLOCK = frozenset(
     "address article aside blockquote body br center caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINER = frozenset("article main section div td body form".split())
-#: Weights of paths through an article or main element (text outside counts as content if it is denser by far), and through a link.
-IN_ARTICLE, IN_LINK = 100.0, 0.1
-#: Share of the mean of the page's text that a content path reaches.
-SHARE = 0.15
+#: Elements whose text is judged as a whole beside its paths.
+CONTAINER = frozenset("article main section div body form blockquote details fieldset".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Weight of the text length of paths through an article or main element, and of short runs (under SHORT characters).
+IN_ARTICLE, IN_SHORT, SHORT = 2.0, 0.5, 15
+#: Power of the ratios, which keeps one very long paragraph from outweighing the others.
+POWER = 0.7
+#: Weights of a run's path and of its container; what a container with text of its own counts for the ones inside it.
+OWN, INSIDE = (0.5, 0.5), 0.8
+#: Share of the mean of the page's text that a content run reaches.
+SHARE = 0.55
+#: Gaussian weights of a run itself, the next and the second next ones.
+KERNEL = np.exp(-0.5 * np.arange(3) ** 2)
+CLASS = re.compile(r"""\bclass\s*=\s*["']?([^"'>]*)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Which open elements a start tag closes: the innermost of the first names, unless one of the second stands inside it.
 CLOSED_BY = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -63,13 +74,15 @@ def hidden(rest: str) -> bool:
 
 
 class Element(NamedTuple):
-    """An open element: its path, whether its text is left out, the container it is in, and the outermost article."""
+    """An open element: its path, whether its text is left out, the container it is in, the outermost article, whether it is in
+    a link or in an article inside an article."""
 
     name: str = ""
     path: int = 0
     out: bool = False
     container: int = 0
     article: int = 0
+    link: bool = False
     comment: bool = False
 
 
@@ -82,18 +95,24 @@ class Node(NamedTuple):
 
 
 class Page:
-    """Text nodes of a page in order. Paths and containers are numbered, each with the number of the one around it."""
+    """Text nodes of a page in order. Paths and containers are numbered."""
 
     def __init__(self, page: str, forms: bool = False):
         self.nodes: list[Node] = []
-        self.paths: dict[tuple[int, str], int] = {}
-        self.path_articles, self.path_links = [False], [False]  # whether the path goes through such an element
-        self.container_in = [0]
+        self.paths: dict[tuple[int, str, str], int] = {}
+        self.path_articles = [False]  # whether the path goes through an article or main element
+        self.container_in = [0]  # the container around each
+        self.bodies, self.articles = {0}, set()  # those that are the page itself, and that are said to be its content
         self.forms = forms
         self.stack, self.open = [Element()], defaultdict(list)  # open: places in the stack by name
         self.blocks: list[int] = []  # places of block elements
         self._read(page)
 
+    def inside(self, container: int, other: int) -> bool:
+        while container > other:
+            container = self.container_in[container]
+        return container == other
+
     def _read(self, page: str) -> None:
         at, end, block = 0, len(page), 0
         while at < end:
@@ -131,77 +150,94 @@ class Page:
             place, limit = (max((self.open[n][-1] for n in names if self.open[n]), default=-1) for names in (ends, limits))
             if place > limit:
                 self._close(place)
-        _, path, out, container, article, comment = self.stack[-1]
-        key, around = (path, name), path
-        path = self.paths.get(key)
-        if path is None:
-            path = self.paths[key] = len(self.path_links)
-            self.path_articles.append(self.path_articles[around] or name in ("article", "main"))
-            self.path_links.append(self.path_links[around] or name == "a")
+        _, path, out, container, article, link, comment = self.stack[-1]
+        if name in BLOCK:
+            around, kind = path, CLASS.search(rest)
+            path = self.paths.setdefault((around, name, kind[1] if kind else ""), len(self.path_articles))
+            if path == len(self.path_articles):
+                self.path_articles.append(self.path_articles[around] or name in ("article", "main"))
         out = out or name in OUT or name == "form" and not self.forms or name == "header" and not article or hidden(rest)
         if name in CONTAINER:
             self.container_in.append(container)
             container = len(self.container_in) - 1
-        if name == "article" and self.open["article"]:
-            comment = True
+            if name == "body":
+                self.bodies.add(container)
+            elif name in ("article", "main"):
+                self.articles.add(container)
+        comment = comment or name == "article" and bool(self.open["article"])
         if name in ("article", "main") and not article:
             article = container
         self.open[name].append(len(self.stack))
         if name in BLOCK:
             self.blocks.append(len(self.stack))
-        self.stack.append(Element(name, path, out, container, article, comment))
+        self.stack.append(Element(name, path, out, container, article, link or name == "a", comment))
+
+
+def _fused(n: np.ndarray, length: np.ndarray, marks: np.ndarray, links: np.ndarray, short: np.ndarray, per_run: bool) -> np.ndarray:
+    """(text length, punctuation) of groups of ``n`` runs, to the power POWER: punctuation for each run, and the length ``per_run``
+    or as a whole."""
+    n = np.maximum(n, 1)
+    plain = 1 - links / np.maximum(length, 1)
+    size = (length / n if per_run else length) * plain * plain * (1 - (1 - IN_SHORT) * short / n)
+    return np.stack((size, 1 + marks / n)) ** POWER
 
 
-def content_paths(paths: np.ndarray, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray, share: float = SHARE) -> np.ndarray:
-    """Paths whose fused ratios of text and punctuation, smoothed along the page and their own, reach ``share`` of the mean.
+def content_values(paths: np.ndarray, containers: np.ndarray, lengths: np.ndarray, marks: np.ndarray, links: np.ndarray, weights: np.ndarray, around: list[int], pages: set[int]) -> np.ndarray:
+    """The value of each run: the mean of its path's fused ratios, smoothed along the runs of its container and of those inside, and
+    those of the container, both relative to the mean of the page's text (by length, so that many short runs do not lower it).
 
-    ``paths``: of each node; ``weights``: of each path. The mean is over the page's text by weight, so that many short
-    nodes do not lower it.
+    ``weights``: of each run's path; ``around``: the container around each; ``pages``: containers that are the page itself or wrap
+    parts of it, and so say nothing of those inside.
     """
-    found, of = np.unique(paths, return_inverse=True)
-    n = np.bincount(of)
-    ratios = np.bincount(of, lengths) / n, np.bincount(of, marks) / n + 1
-    kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    kernel /= kernel.sum()
-    fused = np.prod([np.convolve(np.pad(r[of], 2, mode="edge"), kernel, "valid") for r in ratios], axis=0)
-    # a short path beside a long one has a large smoothed ratio only
-    both = np.minimum(np.bincount(of, fused) / n, ratios[0] * ratios[1]) * weights[found]
-    return found[both >= min(share * np.average(both[of], weights=lengths * weights[paths]), both.max())]
+    of = np.unique(paths, return_inverse=True)[1]
+    ratios = _fused(*[np.bincount(of, x) for x in (np.ones(len(of)), lengths, marks, links, lengths < SHORT)], per_run=True)[:, of]
+    ratios[0] *= weights**POWER
+    total, weight = KERNEL[0] * ratios, np.full(len(of), KERNEL[0])
+    last = np.arange(len(around))  # the last container inside each; one is numbered after the one around it
+    for c in range(len(around) - 1, 0, -1):
+        last[around[c]] = max(last[around[c]], last[c])
+    for step in (1, 2):
+        for here, there in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+            inside = (containers[there] >= containers[here]) & (containers[there] <= last[containers[here]])
+            total[:, here] += KERNEL[step] * inside * ratios[:, there]
+            weight[here] += KERNEL[step] * inside
+    own = np.prod(total / weight, axis=0)
+
+    sums = np.stack([np.bincount(containers, x, len(around)) for x in (np.ones(len(of)), lengths, marks, links, lengths < SHORT)])
+    for c in range(len(around) - 1, 0, -1):
+        sums[:, around[c]] += sums[:, c]
+    whole = np.prod(_fused(*sums, per_run=False), axis=0)
+    for c in range(1, len(around)):
+        if around[c] not in pages:
+            whole[c] = max(whole[c], INSIDE * whole[around[c]])
+    whole = whole[containers] * weights**POWER
+    return sum(OWN[i] * x / max(np.average(x, weights=lengths), 1e-9) for i, x in enumerate((own, whole)))
 
 
 def main_text(source: str | None, share: float = SHARE) -> str:
     page = Page(source or "")
-    solid = [x for x in page.nodes if x.text and not x.text.isspace()]
-    if not solid:
+    if not any(x.text and not x.text.isspace() for x in page.nodes):
         page = Page(source or "", forms=True)
-        solid = [x for x in page.nodes if x.text and not x.text.isspace()]
-        if not solid:
-            return ""
-    lengths = np.array([len(x.text.strip()) for x in solid], float)
-    marks = np.array([len(PUNCTUATION.findall(x.text)) for x in solid], float)
-    weights = np.where(page.path_articles, IN_ARTICLE, 1) * np.where(page.path_links, IN_LINK, 1)
-    paths = set(content_paths(np.array([x.of.path for x in solid]), lengths, marks, weights, share).tolist())
-    chosen = [x for x in solid if x.of.path in paths]
-    with_text = {x.block for x in chosen}
-    articles = {x.of.article for x in chosen} - {0}
-    own_text = {x.of.article for x in chosen if not x.of.comment}
-    links_only = {x.block for x in solid} - {x.block for x in solid if not page.path_links[x.of.path]}
-    containers = {0}
-    for x in chosen:
-        at = x.of.container
-        while at not in containers:
-            containers.add(at)
-            at = page.container_in[at]
-
-    def kept(x: Node) -> bool:
-        if x.of.comment and x.of.article in own_text:
-            return False
-        return x.block in with_text or x.of.article in articles or x.of.container in containers and x.block not in links_only
-
-    blocks: dict[int, list[str]] = {}
-    for x in filter(kept, page.nodes):
-        blocks.setdefault(x.block, []).append(x.text)
-    return " ".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
+    runs: dict[int, list[Node]] = {}
+    for x in page.nodes:
+        runs.setdefault(x.block, []).append(x)
+    texts = {b: " ".join("".join([x.text for x in some]).split()) for b, some in runs.items()}
+    blocks = [b for b in runs if texts[b]]
+    if not blocks:
+        return ""
+    first = [next(x for x in runs[b] if x.text and not x.text.isspace()).of for b in blocks]
+    lengths = np.array([len(texts[b]) for b in blocks], float)
+    marks = np.array([len(PUNCTUATION.findall(texts[b])) for b in blocks], float)
+    links = np.array([min(len(texts[b]), sum(len(x.text.strip()) for x in runs[b] if x.of.link)) for b in blocks], float)
+    weights = np.where([page.path_articles[e.path] for e in first], IN_ARTICLE, 1)
+    wrappers = page.bodies | (set(range(len(page.container_in))) - {e.container for e in first} - page.articles)  # without text of their own
+    values = content_values(np.array([e.path for e in first]), np.array([e.container for e in first]), lengths, marks, links, weights, page.container_in, wrappers)
+    own_text = {e.article for e, v in zip(first, values) if v >= share and not e.comment}
+    values[[e.comment and e.article in own_text for e in first]] = 0
+    for i in range(len(first) - 2, -1, -1):  # a heading counts as what it heads
+        if first[i].name in HEADING and page.inside(first[i + 1].container, first[i].container):
+            values[i] = values[i + 1]
+    return " ".join(texts[b] for b, v in zip(blocks, values) if v >= min(share, values.max()))
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
