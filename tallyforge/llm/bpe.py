@@ -11,6 +11,7 @@ repeated rows give repeated results and an empty table an empty one; all other c
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import unicodedata
@@ -21,18 +22,41 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hold, slices
 
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The file's words. ``regex`` follows a newer Unicode than the library: NEWER stands for what only it takes for letters or numbers.
+WORD = r"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{L}--[NEWER]]+|[\p{N}--[NEWER]]|[[^\s\p{L}\p{N}]||[NEWER]]+"
 #: Most pieces: letters of Latin-1, which no normal form changes, and ASCII marks that are one word (no apostrophe).
 LETTERS, MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
 #: Entries (odd pieces, words) of each half of a worker's caches, about 400 MB in all, and the longest text that is kept there.
 CACHE, CACHE_LENGTH = (400_000, 500_000), 48
 
 
+@functools.lru_cache(maxsize=2)
+def library_words(source: str) -> tuple[regex.Pattern, Callable[[str], str]]:
+    """The pattern of words in the library's own character classes, and its normaliser.
+
+    Only code points that ``regex`` takes for letters or numbers and Python's tables do not know can differ; for these the
+    library's pre-tokenizer is asked.
+    """
+    library = tokenizers.Tokenizer.from_str(source)
+    parts, newer = library.pre_tokenizer.pre_tokenize_str, []
+    for block in range(0, 0x110000, 1 << 12):
+        points = "".join(map(chr, [x for x in range(block, block + (1 << 12)) if not 0xD800 <= x < 0xE000]))
+        newer += [c for c in regex.findall(r"[\p{L}\p{N}]", points) if unicodedata.category(c) == "Cn" and len(parts(f"!{c}!")) == 1]
+    runs: list[list[int]] = []
+    for c in map(ord, [*newer, "\ufffe"]):  # never empty: a code point that no text holds as a letter
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return regex.compile(WORD.replace("NEWER", "".join([f"\\U{a:08x}-\\U{b:08x}" for a, b in runs]))), library.normalizer.normalize_str
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself if printable Latin-1, else the next one from U+0100."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -117,6 +141,7 @@ class Encoder:
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.strings = pa.array([strings.get(i, "") for i in range(max(strings) + 1)], pa.string())
         self.pieces, self.words = map(Cache, cache)
+        self.word, self.normalize = library_words(source)
 
     def words_of(self, piece: str) -> list[str]:
         """Words of a run of characters without white space, special tokens among them."""
@@ -124,12 +149,9 @@ class Encoder:
             return [w for part in self.cut.split(piece) for w in ([part] if part in self.special else self.normal_words(part))]
         return self.normal_words(piece)
 
-    @staticmethod
-    def normal_words(piece: str) -> list[str]:
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        piece = piece.lower()
-        return [piece] if piece.isalpha() else WORD.findall(piece)
+    def normal_words(self, piece: str) -> list[str]:
+        piece = piece.lower() if piece.isascii() else self.normalize(piece)  # by the library's tables of forms and cases
+        return [piece] if piece.isalpha() else self.word.findall(piece)
 
     def merge_words(self, words: list[str]) -> list[bytes]:
         out = []

@@ -297,6 +297,21 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside>Side</aside></article><div class="comments"><p>A reader's comment, quite long, with many words.</p></div></div><footer>&copy; me</footer>"""
 
 
+def test_every_code_point_is_cut_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    with open(vocabulary(), encoding="utf-8") as f:
+        source = f.read()
+    library, own = Tokenizer.from_str(source), bpe.Encoder(source)
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    for joint in ("", "a", "!"):
+        texts = [joint.join(chars[i : i + 256]) for i in range(0, len(chars), 256)]
+        for at in range(0, len(texts), 500):
+            want = library.encode_batch(texts[at : at + 500], add_special_tokens=False)
+            for got, w in zip(own.encode(pa.array(texts[at : at + 500])).to_pylist(), want):
+                assert np.frombuffer(got, "<u4").tolist() == w.ids
+
+
 def test_html_text(spark):
     more = " With more words, and marks." * 8
     page = PAGE.replace(" With more words, and marks.", more)
