@@ -56,6 +56,7 @@ def hold(key=None, make=None):
         release()
         if make:
             _held[key] = make()
+            release()
     return _held.get(key)
 
 
