@@ -189,18 +189,20 @@ def prefixes(found: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, ..
     """(is_probe, key, low, high) of a set: the shingles by which it can meet the sets of ``low`` to ``high`` shingles, as the
     shorter of two (keys of its own length class) or the longer one (of each class that it can meet)."""
     n, out = len(found), []
-    rare = found[np.lexsort((found, counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))]
+    often = counts[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    order = np.lexsort((found, often))
+    rare, alone = found[order], often[order] == 1  # a counter of one is that of a shingle of this set alone, which meets nothing
     at = np.arange((n - -(-4 * n // 5)) + 1)
     high = (5 * n - 9 * at) // 4  # a partner of more shingles that has enough in common shares a rarer one
 
     def keys(some: np.ndarray, length_class: int) -> np.ndarray:
         return _mix(some * STEP + np.uint64(length_class))
 
-    own = high >= n
+    own = (high >= n) & ~alone[at]
     out.append((False, keys(rare[at[own]], _class(n)), np.full(own.sum(), n), high[own]))
     low, high = -(-4 * n // 5), np.minimum(high, n)
     for c in range(_class(low), _class(n) + 1):
-        some = [i for i in at.tolist() if high[i] >= low and _class(int(high[i])) >= c]
+        some = [i for i in at[~alone[at]].tolist() if high[i] >= low and _class(int(high[i])) >= c]
         out.append((True, keys(rare[some], c), np.full(len(some), low), high[some]))
     return out
 
