@@ -35,14 +35,15 @@ def containing(texts: DataFrame, literals: Iterable[tuple[str, int]], fold: bool
                 automaton.add_word(literal, numbers)
         automaton.make_automaton()
         for batch in batches:
-            row, found = [], []
+            found: dict[int, list[int]] = {}  # rows by id, so that what is done next with an id is done once a batch
             for i, text in enumerate(batch.column(0).to_pylist()):
                 hits = set(always)
                 if len(automaton):
                     hits.update(n for _, numbers in automaton.iter(ascii_lower(text) if fold else text) for n in numbers)
-                row += [i] * len(hits)
-                found += sorted(hits)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(found, pa.int64())], names=["text", "id"])
+                for n in hits:
+                    found.setdefault(n, []).append(i)
+            rows = pa.array([i for some in found.values() for i in some], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([n for n, some in found.items() for _ in some], pa.int64())], names=["text", "id"])
 
     name = texts.columns[0]
     return texts.where(F.col(name).isNotNull()).mapInArrow(run, "text string, id long")

@@ -831,7 +831,7 @@ def many_robot_patterns(spark, d):
     k = F.col("p_partkey").cast("string")
     parts = A.table(spark, d, "part").where("p_partkey % 3 = 0")
     plain = parts.select(F.concat(F.lit("CLIENT"), k, F.lit(";")).alias("pattern"))
-    odd = parts.select(F.explode(F.array(F.concat(F.lit("(?P<name>none)"), k, F.lit("(?P=name)")), F.concat(F.lit("*nothing"), k), F.concat(F.lit(r"^x\d+ client"), k))).alias("pattern"))
+    odd = parts.select(F.explode(F.array(F.concat(F.lit("(?P<name>none)"), k, F.lit("(?P=name)")), F.when(F.col("p_partkey") % 60 == 0, F.concat(F.lit("*nothing"), k)), F.concat(F.lit(r"^x\d+ client"), k))).alias("pattern"))
     robots = plain.union(odd).union(spark.createDataFrame([("[",), ("(never|ever) here",), (None,)], "pattern string"))
     lines = A.table(spark, d, "orders").select("o_orderkey", F.format_string("Mozilla/5.0 client%d; U", F.col("o_custkey") % 7000).alias("user_agent"))
     return filters.without_robots(lines, robots).select("o_orderkey")
