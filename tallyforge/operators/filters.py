@@ -89,14 +89,15 @@ def facet_filter(df: DataFrame, **equal) -> DataFrame:
     return reduce(lambda d, x: d.where(F.col(x[0]).eqNullSafe(F.lit(x[1]))), equal.items(), df)
 
 
-def search(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
-    """Rows of which any field contains the text, case ignored. Arrays, maps and structs are searched as JSON."""
+def text_of(df: DataFrame, c: str) -> Column:
+    """Column ``c`` as it is searched: arrays, maps and structs as JSON."""
+    kind = df.schema[c].dataType
+    return F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")
 
-    def text(c: str) -> Column:
-        kind = df.schema[c].dataType
-        return F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string")
 
-    hit = reduce(lambda a, b: a | b, [F.coalesce(F.lower(text(c)).contains(query.lower()), F.lit(False)) for c in fields])
+def search(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
+    """Rows of which any field contains the text, case ignored. Reads every row; ``grams.GramIndex`` does not."""
+    hit = reduce(lambda a, b: a | b, [F.coalesce(F.lower(text_of(df, c)).contains(query.lower()), F.lit(False)) for c in fields])
     return df.where(hit)
 
 
@@ -128,7 +129,7 @@ def by_name(df: DataFrame, name: str, tie: str) -> DataFrame:
 
 
 def page(df: DataFrame, order: list, number: int, size: int = 1000) -> DataFrame:
-    """Page ``number`` (from 1) of rows in a total order."""
+    """Page ``number`` (from 1) of rows in a total order, for first pages; ``ordered.Pages`` is for any."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.standardize import ip_to_number, ipv6_to_hex
 from .literals import containing
 from .store import first_per_key
 
@@ -83,47 +82,6 @@ def expected_files(days: DataFrame, settings: DataFrame) -> DataFrame:
     return out.withColumn("expected", F.when(F.col("n_settings") == 1, F.col("expected")))
 
 
-#: Leading hex digits by which IPv6 ranges and addresses meet, and the most blocks of that width that a range is cut into.
-V6_LEVELS = ((8, 256), (4, 4096), (1, 16))
-
-
-def _v6_hits(ips: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``__ip`` with the IPv6 ranges that hold it. A range is cut at the finest level where it gives few blocks."""
-    r = ranges.select(ipv6_to_hex(F.col("start")).alias("__from"), ipv6_to_hex(F.col("end")).alias("__until"), "country").where("__from <= __until")
-
-    def head(c: str, digits: int):
-        return F.conv(F.substring(c, 1, digits), 16, 10).cast("long")
-
-    level = F.coalesce(*[F.when(head("__until", n) - head("__from", n) < most, F.lit(n)) for n, most in V6_LEVELS])
-    cuts = F.coalesce(*[F.when(F.col("__level") == n, F.sequence(head("__from", n), head("__until", n))) for n, _ in V6_LEVELS])
-    r = r.withColumn("__level", level).withColumn("__block", F.explode(cuts))
-    keys = F.explode(F.array(*[F.struct(F.lit(n).alias("__level"), head("__n6", n).alias("__block")) for n, _ in V6_LEVELS]))
-    ips = ips.withColumn("__n6", ipv6_to_hex(F.col("__ip"))).where("__n6 is not null").select("__ip", "__n6", keys.alias("__k")).select("__ip", "__n6", "__k.*")
-    hits = ips.join(r, ["__level", "__block"]).where("__n6 between __from and __until")
-    # of ranges that hold one address, a later start or an earlier end is narrower where they are nested
-    return first_per_key(hits, ["__ip"], [F.desc("__from"), "__until", "country"])
-
-
-def ip_country(df: DataFrame, ranges: DataFrame, ip_col: str = "ip_address", bits: int = 16, ranges_v6: DataFrame | None = None) -> DataFrame:
-    """``df`` with ``country_code`` of the IPv4 range that holds the address (the narrowest; null without one).
-
-    Ranges (start, end, country) are cut at /16 borders, so that the join is on equal keys with a test of the bounds; each
-    distinct address is looked up once. ``ranges_v6``: the same for IPv6, with start and end as text; of nested ranges the
-    innermost.
-    """
-    size = 1 << (32 - bits)
-    r = ranges.select(F.col("start").cast("long").alias("__start"), F.col("end").cast("long").alias("__end"), "country")
-    r = r.where("__start <= __end").withColumn("__block", F.explode(F.sequence((F.col("__start") / size).cast("long"), (F.col("__end") / size).cast("long"))))
-    every = df.select(F.col(ip_col).alias("__ip")).distinct()
-    ips = every.withColumn("__n", ip_to_number(F.col("__ip"))).where("__n is not null")
-    ips = ips.withColumn("__block", (F.col("__n") / size).cast("long"))
-    hits = ips.join(r, "__block").where("__n between __start and __end")
-    found = first_per_key(hits, ["__ip"], [F.col("__end") - F.col("__start"), "__start", "country"]).select("__ip", F.col("country").alias("country_code"))
-    if ranges_v6 is not None:
-        found = found.union(_v6_hits(every, ranges_v6).select("__ip", "country"))
-    return df.drop("country_code").join(found, F.col(ip_col) == F.col("__ip"), "left").drop("__ip")
-
-
 def add_collection(df: DataFrame, collections: DataFrame) -> DataFrame:
     """Many-to-one: the acronym of ``collection_id``."""
     return df.join(collections.select("collection_id", F.col("acronym").alias("collection")), "collection_id", "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
 import time
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ids import SEPARATOR
 from .metrics import COUNTERS
 
 PARTITIONS = ("collection", "year")
@@ -161,8 +163,11 @@ class MetricStore:
     object stores).
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | None = None, patience: float = 600):
-        self.spark, self.path, self.patience = spark, path.rstrip("/"), patience
+    #: Ids that ``get`` hands to the scan itself; more are joined.
+    LISTED = 2000
+
+    def __init__(self, spark: SparkSession, path: str, schema: str | None = None, patience: float = 600, row_group_bytes: int = 1 << 27):
+        self.spark, self.path, self.patience, self.row_group_bytes = spark, path.rstrip("/"), patience, row_group_bytes
         self.loads = f"{self.path}-loads"
         self.schema = spark.createDataFrame([], schema).schema if schema else None
 
@@ -229,7 +234,31 @@ class MetricStore:
     def write(self, documents: DataFrame) -> None:
         """Replaces the partitions that ``documents`` has rows of; others stay. A day with very many rows is several tasks."""
         rows = self._fitted(documents).withColumn("year", F.year("date")).hint("rebalance", *PARTITIONS, "date")
-        rows.sortWithinPartitions("date", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(self.path)
+        blooms = {"parquet.bloom.filter.enabled#id": True, "parquet.bloom.filter.adaptive.enabled": True, "parquet.block.size": self.row_group_bytes}
+        rows.sortWithinPartitions("date", "id").write.mode("overwrite").options(partitionOverwriteMode="dynamic", **blooms).partitionBy(*PARTITIONS).parquet(self.path)
+
+    def get(self, ids: DataFrame, named: bool = False) -> DataFrame:
+        """Stored rows with the ids in column ``id``; unknown and null ids give none, repeated ones count once.
+
+        Up to ``LISTED`` distinct ids are listed and reach the scan in tens, so that row groups without them are passed over by
+        Bloom filters and, as files are sorted by date and id, by their bounds; more are joined. With ``named`` the ids are
+        those of ``document_id``, whose collection and date name the partitions and days to read.
+        """
+        asked = ids.select(F.col("id").cast("string")).where("id is not null").distinct()
+        rows = self.read()
+        if rows is None:
+            raise ValueError("nothing has been written yet")
+        listed = sorted(r.id for r in asked.limit(self.LISTED + 1).collect())
+        if not listed:
+            return rows.where(F.lit(False))
+        if len(listed) > self.LISTED:
+            return get_ids(rows, asked)
+        if named:
+            rows = rows.where(_named_parts(listed))
+        tens = [F.col("id").isin(listed[i : i + 10]) for i in range(0, len(listed), 10)]
+        while len(tens) > 1:
+            tens = [reduce(lambda a, b: a | b, tens[i : i + 2]) for i in range(0, len(tens), 2)]
+        return rows.where(tens[0])
 
     # loads
 
@@ -349,6 +378,21 @@ class MetricStore:
         self._delete(self._partition(collection, year))
 
 
+def _named_parts(listed: list[str]) -> Column:
+    """The partitions and days that document ids name. An id of another form names none, and then all are read."""
+    parts = [x.split(SEPARATOR) for x in listed]
+    try:
+        days = {dt.date.fromisoformat(p[-1]) for p in parts}
+    except ValueError:
+        return F.lit(True)
+    if any(len(p) != 8 for p in parts):
+        return F.lit(True)
+    collections = {p[0] for p in parts}
+    held = F.col("collection").isin(sorted(collections)) | (F.col("collection").isNull() if "" in collections else F.lit(False))
+    spans = F.col("year").isin(sorted({d.year for d in days})) & F.col("date").between(F.lit(min(days)), F.lit(max(days)))
+    return held & spans
+
+
 def _file_name(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -1,4 +1,4 @@
-"""Raw log lines to metric documents and dead letters: one lazy plan with two outputs."""
+"""Raw log lines to metric documents and dead letters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import loglines
-from ..operators import checks, coverage, filters, joins
+from ..operators import checks, coverage, filters, joins, ranges
 from ..operators.store import MetricStore
 from ..operators.metrics import ATTRIBUTES, Rules, metric_documents
 
@@ -31,7 +31,7 @@ def parsed_lines(lines: DataFrame, files: DataFrame, catalogue: Catalogue) -> Da
     good = loglines.parse(lines).where("reject_reason is null")
     good = filters.without_robots(good, catalogue.robots)
     good = good.join(placed.withColumnRenamed("path", "file"), "file")
-    good = joins.ip_country(good, catalogue.ranges)
+    good = ranges.ip_country(good, catalogue.ranges)
     return good.withColumn("seq", F.xxhash64("url", "value"))
 
 
@@ -58,9 +58,17 @@ def item_accesses(lines: DataFrame, files: DataFrame, catalogue: Catalogue, code
     })
 
 
-def run(lines: DataFrame, files: DataFrame, catalogue: Catalogue, codes: dict[str, str], rules: Rules = Rules()) -> tuple[DataFrame, DataFrame]:
-    """(metric documents, dead letters)."""
+def run(lines: DataFrame, files: DataFrame, catalogue: Catalogue, codes: dict[str, str], rules: Rules = Rules(), at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(metric documents, dead letters).
+
+    With a path ``at`` (in a folder that the cluster shares) the checked accesses are written there, good and bad ones apart,
+    and both outputs are read from it, so that lines are parsed, filtered and looked up once. Without it both are lazy and
+    each parses the lines.
+    """
     checked = item_accesses(lines, files, catalogue, codes)
+    if at is not None:
+        checked.write.mode("overwrite").partitionBy("is_valid").parquet(at)
+        checked = lines.sparkSession.read.schema(checked.schema).parquet(at)
     documents = metric_documents(checked.where("is_valid"), rules)
     letters = checks.dead_letters(checked, ["file", "url", "local_datetime", "ip_address"], ["collection", "issn", "pid_v2", "pid_v3", "pid_generic", "media_language", "media_format", "content_type"])
     return documents, letters

@@ -13,7 +13,7 @@ from . import adapters as A
 from . import file_queries
 from .functions import dates, ids
 from .functions import standardize as S
-from .operators import checks, coverage, filters, joins, quality, store, metrics
+from .operators import checks, coverage, filters, grams, joins, ordered, quality, ranges, store, metrics
 from .sources import dumps
 from .streaming import ingest as streams
 
@@ -256,7 +256,7 @@ FROM raw_hits
 def ip_countries(spark, d):
     base = 10 << 24
     rows = [(base, base + 127, "AA"), (base, base + 255, "BB"), (base + 512, base + 1023, "CC"), (base + (1 << 20), base + (9 << 20), "DD")]
-    out = joins.ip_country(A.raw_hits(spark, d), spark.createDataFrame(rows, "start long, end long, country string"))
+    out = ranges.ip_country(A.raw_hits(spark, d), spark.createDataFrame(rows, "start long, end long, country string"))
     return out.select("event_id", S.ip_to_number(F.col("ip_address")).alias("number"), F.col("country_code").alias("country"))
 
 
@@ -366,7 +366,7 @@ def ipv6_countries(spark, d):
     ip = F.when(k == 0, F.concat(F.lit("2C0F:0:"), low, F.lit("::1"))).when(k == 1, F.concat(F.lit("2804:14c:0:0:0:0:0:"), low)).when(k == 2, F.format_string("10.1.%d.%d", F.floor(u / 256), u % 256)).when(k == 3, F.concat(F.lit("3fff::"), low)).otherwise("no:address")
     v6 = [("2c00::", "2c0f:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "ZA"), ("2800::", "28ff:ffff::ffff", "LA"), ("2804:14c::", "2804:14c::7f", "BR"), ("::1", "::ff", "YY")]
     v4 = spark.createDataFrame([((10 << 24) + (1 << 16), (10 << 24) + (2 << 16) - 1, "XX")], "start long, end long, country string")
-    out = joins.ip_country(A.table(spark, d, "events").withColumn("ip_address", ip), v4, ranges_v6=spark.createDataFrame(v6, "start string, end string, country string"))
+    out = ranges.ip_country(A.table(spark, d, "events").withColumn("ip_address", ip), v4, ranges_v6=spark.createDataFrame(v6, "start string, end string, country string"))
     return out.select("event_id", F.col("country_code").alias("country"))
 
 
@@ -854,3 +854,80 @@ def overlapping_directories(spark, d):
     rows = A.table(spark, d, "supplier").where("s_suppkey % 3 < 2 OR s_suppkey = 2")
     directories = rows.select(F.format_string("c%d", s % 2).alias("collection"), name.alias("directory"), F.when(s % 3 == 2, 1000000).otherwise(s).alias("position"), F.when(s % 7 > 0, F.format_string("t%d", s % 11)).alias("translator"))
     return joins.file_translator(files, directories).select("o_orderkey", "translator")
+
+
+# Ranges, pages, searches and gets that read their share
+
+
+@query("""
+WITH r(s, e, country) AS (SELECT 167772160 + (o_orderkey * 7919) % 16384, 167772160 + (o_orderkey * 7919) % 16384 + CASE WHEN o_orderkey % 50 = 0 THEN 4000000 ELSE (o_orderkey * 31) % 700 END, substr(o_orderpriority, 1, 1) FROM orders
+          UNION ALL SELECT 0, 4294967295, 'W'),
+hits AS (SELECT ip, country, row_number() OVER (PARTITION BY ip ORDER BY e - s, s, country) AS n FROM (SELECT DISTINCT 167772160 + c_custkey * 3 AS ip FROM customer), r WHERE ip BETWEEN s AND e)
+SELECT c_custkey, country FROM customer JOIN hits ON ip = 167772160 + c_custkey * 3 AND n = 1 UNION ALL SELECT -c_custkey, 'W' FROM customer
+""")
+def overlapping_ranges(spark, d):
+    """Thousands of ranges that nest and overlap, very wide ones among them and one over all addresses; the same over IPv6."""
+    first, key = 10 << 24, F.col("o_orderkey")
+    start = F.lit(first) + key * 7919 % 16384
+    end = start + F.when(key % 50 == 0, 4000000).otherwise(key * 31 % 700)
+    v4 = A.table(spark, d, "orders").select(start.alias("start"), end.alias("end"), F.substring("o_orderpriority", 1, 1).alias("country"))
+    v4 = v4.union(spark.createDataFrame([(0, (1 << 32) - 1, "W")], v4.schema))
+    v6 = spark.createDataFrame([("::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "W"), ("fe80::", "fe80::ffff", "X")], "start string, end string, country string")
+    n = F.lit(first) + F.col("c_custkey") * 3
+    octets = F.concat_ws(".", *[(F.shiftright(n, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+    customers = A.table(spark, d, "customer")
+    rows = customers.select("c_custkey", octets.alias("ip_address")).union(customers.select(-F.col("c_custkey"), F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("c_custkey") % 65536)))))
+    return ranges.ip_country(rows, v4, ranges_v6=v6).select("c_custkey", F.col("country_code").alias("country"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
+SELECT 'first' AS kind, o_orderkey FROM p WHERE place < 100
+UNION ALL SELECT 'middle', o_orderkey FROM p WHERE place // 100 = n // 200
+UNION ALL SELECT 'next', o_orderkey FROM p WHERE place // 100 = n // 200 + 1
+UNION ALL SELECT 'last', o_orderkey FROM p WHERE place // 100 = (n - 1) // 100
+""")
+def deep_pages(spark, d):
+    """Pages of orders by a column of five values, then date and key: by number from range bounds, the one after a page from
+    that page's last row."""
+    order = {"o_orderpriority": "desc", "o_orderdate": "asc", "o_orderkey": "asc"}
+    rows = A.table(spark, d, "orders").select(*order)
+    pages = ordered.Pages(rows, order)
+    middle = pages.page(pages.rows // 200 + 1, 100)
+    found = {"first": pages.page(1, 100), "middle": middle, "last": pages.page(-(-pages.rows // 100), 100), "none": pages.page(pages.rows, 100)}
+    found["next"] = ordered.page_after(rows, order, middle.collect()[-1], 100)
+    parts = [df.select(F.lit(kind).alias("kind"), "o_orderkey") for kind, df in found.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+SEARCHES = ("ThereSh", "you", "ed a", "is", "assistant xyz")
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS query, conv_id, turn FROM conversations WHERE contains(lower(text), lower('{q}')) OR contains(lower(role), lower('{q}'))" for q in SEARCHES))
+def indexed_search(spark, d):
+    """An index of half the turns, the others added later and sent twice; queries of every kind."""
+    rows = A.table(spark, d, "conversations").withColumn("id", F.struct("conv_id", "turn"))
+    index = grams.GramIndex(spark, file_queries.scratch(spark, "grams"), "id", ["text", "role"])
+    for load in (0, 1, 1):
+        index.add(rows.where(F.coalesce(F.col("turn") % 2, F.lit(0)) == load), f"half {load}")
+    parts = [index.search(rows, q).select(F.lit(q).alias("query"), "conv_id", "turn") for q in SEARCHES]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+@query("""
+WITH docs AS (SELECT o_orderkey, o_custkey, 'c' || (o_custkey % 3) || '|||||' || o_orderkey || '||' || o_orderdate::DATE AS id FROM orders)
+SELECT kind, id, o_orderkey AS total_requests FROM docs, (VALUES ('named'), ('joined')) k(kind)
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 3)
+""")
+def stored_documents_by_id(spark, d):
+    """Documents of a store by their ids, with unknown, null and repeated ones: through the scan, and by a join."""
+    orders = A.table(spark, d, "orders").withColumns({"collection": F.concat(F.lit("c"), F.col("o_custkey") % 3), "date": F.to_date("o_orderdate")})
+    name = ids.document_id("collection", F.lit(""), F.lit(""), F.lit(""), F.lit(""), "o_orderkey", F.lit(""), "date")
+    target = store.MetricStore(spark, file_queries.scratch(spark, "store"), "id string, collection string, date date, total_requests long")
+    target.put(orders.select(name.alias("id"), "collection", "date", F.col("o_orderkey").alias("total_requests")))
+    some = A.table(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_nationkey < 3").select(F.col("c_custkey").alias("o_custkey"))
+    asked = orders.join(some, "o_custkey", "left_semi").select(name.alias("id"))
+    asked = asked.union(asked).union(spark.createDataFrame([("c1||||||none|2020-01-01",), (None,)], "id string"))
+    named = target.get(asked, named=True)
+    joined = store.get_ids(target.read(), asked)
+    return named.select(F.lit("named").alias("kind"), "id", "total_requests").union(joined.select(F.lit("joined"), "id", "total_requests"))

@@ -131,10 +131,10 @@ def S_ip(first):
     return first << 24
 
 
-def run_plan(spark, root, catalogue):
+def run_plan(spark, root, catalogue, at=None):
     lines = logs.read_logs(spark, [f"{root}/aaa/one.log", f"{root}/aaa/two.log.gz"])
     files = lines.select("file").distinct().withColumn("collection", F.lit("aaa"))
-    return plan.run(lines, files, catalogue, S.language_codes(spark))
+    return plan.run(lines, files, catalogue, S.language_codes(spark), at=at)
 
 
 def test_raw_logs_to_the_store_twice(spark, root, catalogue, tmp_path):
@@ -147,6 +147,9 @@ def test_raw_logs_to_the_store_twice(spark, root, catalogue, tmp_path):
     }
     assert {r.journal_main_title for r in documents.collect()} == {"J One"}
     assert sorted((r.error_type, json.loads(r.line)["url"]) for r in letters.collect()) == [("ART", f"/article/en/{PID[3]}"), ("URL", "/about")]
+    again = run_plan(spark, root, catalogue, str(tmp_path / "checked"))
+    for lazy, written in zip((documents, letters), again):
+        assert sorted(map(str, lazy.collect())) == sorted(map(str, written.collect())) and "checked" in str(written.inputFiles())
     target = store.MetricStore(spark, str(tmp_path / "s"))
     for _ in range(2):
         plan.recompute_days(target, documents, documents)

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import coverage, filters, joins, literals, store
+from tallyforge.operators import coverage, filters, joins, literals, ranges, store
 from tallyforge.operators.metrics import COUNTERS
 
 KIND = "id string, collection string, date date, total_requests long, total_investigations long, unique_requests long, unique_investigations long"
@@ -141,8 +141,8 @@ def test_expected_files_and_status(spark):
 
 def test_address_ranges(spark):
     df = spark.createDataFrame([("10.0.0.5",), ("10.1.2.3",), ("11.0.0.0",), ("bad",), (None,)], "ip_address string")
-    ranges = spark.createDataFrame([(167772160, 167772415, "AA"), (167772160, 184549375, "BB"), (5, 1, "CC")], "start long, end long, country string")
-    got = {r.ip_address: r.country_code for r in joins.ip_country(df, ranges).collect()}
+    known = spark.createDataFrame([(167772160, 167772415, "AA"), (167772160, 184549375, "BB"), (5, 1, "CC")], "start long, end long, country string")
+    got = {r.ip_address: r.country_code for r in ranges.ip_country(df, known).collect()}
     assert got == {"10.0.0.5": "AA", "10.1.2.3": "BB", "11.0.0.0": None, "bad": None, None: None}
 
 
