@@ -146,6 +146,46 @@ def code_sets(spark, d):
     return checks.known_pids(articles).select(F.col("pid").alias("code")).union(checks.known_issns(journals))
 
 
+@query("""
+WITH hits AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN l_suppkey END AS generic,
+         CASE WHEN l_linenumber = 5 THEN 'undefined' ELSE 'full_text' END AS content_type FROM lineitem),
+known AS (
+  SELECT h.*, EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 40) AS issn_known,
+         EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'F') AS pid_known,
+         EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = generic AND s_nationkey < 20) AS generic_known FROM hits h)
+SELECT l_orderkey, l_linenumber, issn_known, pid_known,
+       CASE WHEN content_type = 'undefined' THEN 'missing_fields' WHEN NOT issn_known THEN 'invalid_issn' WHEN NOT pid_known THEN 'invalid_pid_v2'
+            WHEN generic IS NOT NULL AND NOT generic_known THEN 'invalid_pid_generic' ELSE 'valid' END AS code
+FROM known
+""")
+def catalogue_lookups(spark, d):
+    """Lines looked up in a catalogue of about as many articles as there are orders, and journals as there are parts."""
+
+    def issn(key):
+        return F.format_string("%04d-%04d", F.floor(F.col(key) / 10000), F.col(key) % 10000)
+
+    def pid(key):
+        return F.format_string("S0000-0000%013d", key)
+
+    def generic(key):
+        return F.concat(F.lit("10.1/"), F.col(key).cast("string"))
+
+    hits = A.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", issn("l_partkey").alias("issn"), pid("l_orderkey").alias("pid_v2"), F.lit("").alias("pid_v3"),
+        F.when(F.col("l_linenumber") % 3 == 0, generic("l_suppkey")).alias("pid_generic"), F.lit("html").alias("media_format"),
+        F.when(F.col("l_linenumber") == 5, "undefined").otherwise("full_text").alias("content_type"),
+    )
+    empty = F.lit("")
+    articles = A.table(spark, d, "orders").where("o_orderstatus <> 'F'").select(pid("o_orderkey").alias("pid_v2"), empty.alias("pid_v3"), empty.alias("pid_generic"))
+    articles = articles.union(A.table(spark, d, "supplier").where("s_nationkey < 20").select(empty, empty, generic("s_suppkey")))
+    journals = A.table(spark, d, "part").where("p_size <= 40").select(F.array(issn("p_partkey"), empty).alias("issns"))
+    known, issns = checks.known_pids(articles), checks.known_issns(journals)
+    out = checks.check_distinct(hits, known, issns)
+    out = joins.flag_known(joins.flag_known(out, "pid_v2", known, "pid", "pid_known"), "issn", issns, "issn", "issn_known")
+    return out.select("l_orderkey", "l_linenumber", "issn_known", "pid_known", "code")
+
+
 # Scalar functions
 
 
