@@ -3,64 +3,87 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .literals import containing, required_literal
+from .literals import ascii_lower, pieces_of, required_literal
 
 NOT_FOUND_STATUS = ("CRE", "INV")
 PREFERRED_LANGUAGES = ("pt", "es", "en")
 
 
 #: Spellings of named groups in other dialects, and what they are in Java.
-DIALECT = ((re.compile(r"\(\?P<"), "(?<"), (re.compile(r"\(\?P=(\w+)\)"), r"\\k<\1>"))
+DIALECT = ((r"\(\?P<", r"(?<"), (r"\(\?P=(\w+)\)", r"\\k<$1>"))
+#: Code points of a pattern's literal that agents are met by; and so many patterns are broadcast.
+LITERAL, BROADCAST = 64, 100_000
 
 
-def robot_patterns(robots: DataFrame, pattern_col: str = "pattern") -> tuple[list[str], dict[str, str]]:
-    """The list's distinct patterns, as Java reads them; and those that it cannot compile, with the reason.
+def compiled_patterns(robots: DataFrame, pattern_col: str = "pattern") -> DataFrame:
+    """The list's distinct patterns as ``given``, ``pattern`` (as Java reads them) and ``good``: whether it can compile them."""
+    rows = robots.select(F.col(pattern_col).alias("given")).where("given is not null").distinct()
+    own = reduce(lambda x, d: F.regexp_replace(x, *d), DIALECT, F.col("given"))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("(?i)"), "pattern"))
+    return rows.withColumn("pattern", own).withColumn("good", compiled.isNotNull())
 
-    The robot list is a settings table (some thousands of rows) and is read to the driver.
-    """
+
+def robot_patterns(robots: DataFrame, pattern_col: str = "pattern") -> tuple[list[str], dict[str, str]]:
+    """The list's patterns, as Java reads them; and those that it cannot compile, with the reason. Both are read to the driver,
+    for a report; ``without_robots`` leaves them where they are."""
     compiler = robots.sparkSession.sparkContext._jvm.java.util.regex.Pattern
     good, bad = [], {}
-    for (given,) in robots.select(pattern_col).where(F.col(pattern_col).isNotNull()).distinct().orderBy(pattern_col).collect():
-        pattern = given
-        for other, own in DIALECT:
-            pattern = other.sub(own, pattern)
+    for given, pattern, fits in compiled_patterns(robots, pattern_col).orderBy("given").collect():
+        if fits:
+            good.append(pattern)
+            continue
         try:
             compiler.compile(f"(?i){pattern}")
-            good.append(pattern)
         except IllegalArgumentException as error:
             bad[given] = str(error).split("\n")[0]
     return good, bad
 
 
-def robot_agents(agents: DataFrame, patterns: list[str]) -> DataFrame:
-    """Those of ``agents`` (one string column) that a pattern matches, each once.
+def _with_literals(patterns: DataFrame) -> DataFrame:
+    """``pattern, literal``: what an agent must contain, A-Z folded."""
+
+    def run(batches):
+        for batch in batches:
+            literals = [ascii_lower(required_literal(p))[:LITERAL] for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(literals, pa.string())], names=["pattern", "literal"])
+
+    return patterns.select("pattern").mapInArrow(run, "pattern string, literal string")
+
+
+def robot_agents(agents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Those of ``agents`` (one string column) that a pattern (column ``pattern``) matches, each once.
 
-    Every pattern is tried only on agents that contain the literal that its matches must contain; those without such a
-    literal are tried on all. An agent that occurs in many lines is tried once.
+    Every pattern is tried only on agents that contain the literal that its matches must contain, found by an equi-join of the
+    literals with the agents' pieces of the literals' lengths; those without such a literal are tried on all. An agent that
+    occurs in many lines is tried once. At most 65 numbers reach the driver.
     """
     name = agents.columns[0]
     distinct = agents.distinct()
-    tries = containing(distinct, [(required_literal(p), i) for i, p in enumerate(patterns)], fold=True)
-    rows = agents.sparkSession.createDataFrame(list(enumerate(patterns)), "id long, pattern string")
-    hits = tries.join(F.broadcast(rows), "id").where(F.rlike("text", F.concat(F.lit("(?i)"), "pattern")))
-    return hits.select(F.col("text").alias(name)).distinct()
+    rows = _with_literals(patterns)
+    counts = dict(rows.groupBy(F.char_length("literal")).count().collect())
+    few = F.broadcast if sum(counts.values()) <= BROADCAST else lambda df: df
+    matches = F.rlike("text", F.concat(F.lit("(?i)"), "pattern"))
+    pieces = pieces_of(distinct, sorted(set(counts) - {0}), fold=True)
+    found = pieces.join(few(rows.where("literal <> ''")), F.col("piece") == F.col("literal")).where(matches).select("text")
+    if counts.get(0):
+        every = distinct.select(F.col(name).alias("text")).where("text is not null")
+        found = found.union(every.join(few(rows.where("literal = ''")), matches, "left_semi"))
+    return found.select(F.col("text").alias(name)).distinct()
 
 
 def without_robots(lines: DataFrame, robots: DataFrame, agent_col: str = "user_agent", pattern_col: str = "pattern") -> DataFrame:
     """Lines whose agent matches no pattern (case ignored); a null agent stays. Patterns that cannot be compiled are left out:
     ``robot_patterns`` gives them."""
-    patterns, _ = robot_patterns(robots, pattern_col)
-    if not patterns:
-        return lines
+    patterns = compiled_patterns(robots, pattern_col).where("good").select("pattern").distinct()
     return lines.join(robot_agents(lines.select(agent_col), patterns), agent_col, "left_anti").select(*lines.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -49,23 +50,33 @@ def containing(texts: DataFrame, literals: Iterable[tuple[str, int]], fold: bool
     return texts.where(F.col(name).isNotNull()).mapInArrow(run, "text string, id long")
 
 
-#: What ends a literal run of a pattern.
+#: What ends a literal run of a pattern; and how a group without flags or a look around begins.
 SPECIAL = set("\\^$.|?*+()[]{}")
+GROUP = re.compile(r"\((?:\?:|\?<[A-Za-z][A-Za-z0-9]*>)?(?!\?)")
+BREAK = ["", ""]
+
+
+def _joined(a: list[str], b: list[str]) -> list[str]:
+    return [*a[:-1], a[-1] + b[0], *b[1:]]
 
 
 def required_literal(pattern: str) -> str:
-    """The longest text that every match of ``pattern`` must contain, as far as it can be told without groups; else empty."""
-    if "|" in pattern or "(?" in pattern or "\\Q" in pattern:
+    """The longest text that every match of ``pattern`` must contain, as far as it can be told; else empty. Alternatives count
+    for nothing, and neither does what may be absent."""
+    if "\\Q" in pattern:
         return ""
-    runs, now, depth, i = [], "", 0, 0
+    # literal runs, cut where anything else may stand between; and those of the groups around, with whether they have alternatives
+    runs, choice, around, i = [""], False, [], 0
     while i < len(pattern):
-        c, step, literal = pattern[i], 1, ""
+        c, step, piece = pattern[i], 1, BREAK
         if c == "\\":
             step, literal = 2, pattern[i + 1 : i + 2]
-            if literal.isalnum():  # classes and borders end a run, what is written by number or name gives up
-                if literal not in "dDwWsSbBAzZ":
-                    return ""
-                literal = ""
+            if pattern.startswith("\\k<", i):
+                step = max(3, pattern.find(">", i) - i + 1)
+            elif not literal.isalnum():
+                piece = [literal]
+            elif literal not in "dDwWsSbBAzZ":  # classes and borders end a run, what is written by number or name gives up
+                return ""
         elif c == "[":
             # a closing bracket that comes first is a member; a set is skipped as a whole, nested ones give up
             end = pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] == "^"))
@@ -74,15 +85,41 @@ def required_literal(pattern: str) -> str:
             step = end - i + 1
         elif c == "{":
             step = max(1, pattern.find("}", i) - i + 1)
+        elif c == "(":
+            if not (begin := GROUP.match(pattern, i)):
+                return ""
+            around.append((runs, choice))
+            runs, choice, i = [""], False, begin.end()
+            continue
+        elif c == "|":
+            choice = True
+        elif c == ")":
+            if not around:
+                return ""
+            piece = BREAK if choice else runs
+            runs, choice = around.pop()
         elif c not in SPECIAL:
-            literal = c
-        if c in "()":
-            depth += 1 if c == "(" else -1
+            piece = [c]
         i += step
-        optional = pattern[i : i + 1] in ("?", "*", "{")
-        if literal and not depth and not optional:
-            now += literal
-        else:
-            runs.append(now)
-            now = ""
-    return max([*runs, now], key=len)
+        runs = _joined(runs, BREAK if pattern[i : i + 1] in ("?", "*", "{") else piece)
+    return "" if around or choice else max(runs, key=len)
+
+
+def pieces_of(texts: DataFrame, lengths: list[int], fold: bool = False, rows_each: int = 1 << 16) -> DataFrame:
+    """``text, piece``: the distinct runs of code points of the given lengths in each row of ``texts`` (one string column)."""
+
+    def run(batches):
+        for batch in batches:
+            found, pieces = [], []
+            for text in batch.column(0).to_pylist():
+                folded = ascii_lower(text) if fold else text
+                some = {folded[i : i + n] for n in lengths for i in range(len(folded) - n + 1)}
+                found += [text] * len(some)
+                pieces += some
+                if len(found) >= rows_each:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(pieces, pa.string())], names=["text", "piece"])
+                    found, pieces = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(pieces, pa.string())], names=["text", "piece"])
+
+    name = texts.columns[0]
+    return texts.where(F.col(name).isNotNull()).mapInArrow(run, "text string, piece string")

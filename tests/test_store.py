@@ -174,6 +174,27 @@ def test_the_literal_of_a_pattern(pattern, literal):
     assert literals.required_literal(pattern) == literal
 
 
+@pytest.mark.parametrize(
+    "pattern, literal",
+    [(r"(?<n>none)12\k<n>", "none12"), ("(never|ever) here", " here"), ("(?:ab)+cd", "ab"), ("a(b(c)?d)e", "ab"), ("x(ab|c)?yz", "yz"), ("a)b", ""), ("(?=ab)c", ""), ("(a", "")],
+)
+def test_the_literal_of_a_pattern_with_groups(pattern, literal):
+    assert literals.required_literal(pattern) == literal
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_patterns_stay_on_the_cluster(spark, monkeypatch, most):
+    """No pattern reaches the driver, and patterns of one form each meet the agents of their own literal only."""
+    monkeypatch.setattr(filters, "robot_patterns", None)
+    monkeypatch.setattr(filters, "BROADCAST", most)
+    agents = ["Client7; x", "client8;", "none5none", "none5", "UND\u00c9", "z" * 70 + "y", "", "q1q", None]
+    lines = spark.createDataFrame([(x,) for x in agents], "user_agent string")
+    robots = spark.range(3000).selectExpr("explode(array(concat('client', id * 7, ';'), concat('(?P<n>none)', id, '(?P=n)'), concat('*', id))) pattern")
+    robots = robots.union(spark.createDataFrame([("und\u00e9",), ("Z{70}Y",), ("Z" * 70 + "x",), (r"q\dq|w",), (None,)], "pattern string"))
+    kept = [r[0] for r in filters.without_robots(lines, robots).collect()]
+    assert sorted(kept, key=str) == sorted(["client8;", "none5", "UND\u00c9", "", None], key=str)
+
+
 def test_every_contained_literal_is_found(spark):
     rows = spark.createDataFrame([("abcabd",), ("",), ("\u00c4BC",), (None,)], "t string")
     wanted = [("ab", 1), ("bc", 2), ("abc", 3), ("", 4), ("ab", 5), ("\u00e4", 6)]
