@@ -151,9 +151,11 @@ SELECT s_name AS title, CASE WHEN s_suppkey % 2 = 0 THEN [s_suppkey::VARCHAR] EL
 def journal_dumps(spark, d):
     k = F.col("s_suppkey").cast("string")
     rows = A.table(spark, d, "supplier").select(F.lit("c").alias("collection"), F.col("s_name").alias("title"), k.alias("issn"), k.alias("electronic_issn"), F.when(F.col("s_suppkey") % 2 == 1, F.concat(F.lit("p"), k)).alias("print_issn"))
+    # a file holds a list of journals, so that the number of files is a small share of theirs
+    pages = rows.groupBy(F.floor(F.col("issn").cast("long") / 500).alias("page")).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
     path = scratch(spark, "journals")
-    rows.withColumn("f", F.col("issn")).write.partitionBy("f").json(path)  # a journal a file
-    return dumps.read_journals(spark, f"{path}/*/*.json").select("title", "issns", "subject_areas")
+    pages.repartition("page").select("value").write.option("maxRecordsPerFile", 1).text(path)  # a page a file
+    return dumps.read_journals(spark, f"{path}/*.txt").select("title", "issns", "subject_areas")
 
 
 @query("SELECT n_name AS acron3, 'en' AS language, lower(n_name) AS name FROM nation UNION ALL SELECT n_name, 'pt', n_name || '-pt' FROM nation")
