@@ -403,7 +403,7 @@ def ipv6_countries(spark, d):
     """IPv6 addresses in all ways of writing, in nested ranges of very different width, beside IPv4 ones."""
     u, k = F.col("user_id"), F.col("user_id") % 5
     low = F.lower(F.hex(u % 256))
-    ip = F.when(k == 0, F.concat(F.lit("2C0F:0:"), low, F.lit("::1"))).when(k == 1, F.concat(F.lit("2804:14c:0:0:0:0:0:"), low)).when(k == 2, F.format_string("10.1.%d.%d", F.floor(u / 256), u % 256)).when(k == 3, F.concat(F.lit("3fff::"), low)).otherwise("no:address")
+    ip = F.when(k == 0, F.concat(F.lit("2C0F:0:"), low, F.lit("::1"))).when(k == 1, F.concat(F.lit("2804:14c:0:0:0:0:0:"), low)).when(k == 2, F.format_string("10.1.%d.%d", F.floor(u / 256) % 256, u % 256)).when(k == 3, F.concat(F.lit("3fff::"), low)).otherwise("no:address")
     v6 = [("2c00::", "2c0f:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "ZA"), ("2800::", "28ff:ffff::ffff", "LA"), ("2804:14c::", "2804:14c::7f", "BR"), ("::1", "::ff", "YY")]
     v4 = spark.createDataFrame([((10 << 24) + (1 << 16), (10 << 24) + (2 << 16) - 1, "XX")], "start long, end long, country string")
     out = ranges.ip_country(A.table(spark, d, "events").withColumn("ip_address", ip), v4, ranges_v6=spark.createDataFrame(v6, "start string, end string, country string"))
