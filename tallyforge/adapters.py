@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, END = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def address(number: Column) -> Column:
+    """The IPv4 address of a number."""
+    return F.concat_ws(".", *[(F.shiftright(number, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+
+
 def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as parsed log lines whose codes are not standardized yet."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")

@@ -296,7 +296,8 @@ FROM raw_hits
 def ip_countries(spark, d):
     base = 10 << 24
     rows = [(base, base + 127, "AA"), (base, base + 255, "BB"), (base + 512, base + 1023, "CC"), (base + (1 << 20), base + (9 << 20), "DD")]
-    out = ranges.ip_country(A.raw_hits(spark, d), spark.createDataFrame(rows, "start long, end long, country string"))
+    hits = A.raw_hits(spark, d).withColumn("ip_address", A.address(F.lit(base) + F.col("user_id")))
+    out = ranges.ip_country(hits, spark.createDataFrame(rows, "start long, end long, country string"))
     return out.select("event_id", S.ip_to_number(F.col("ip_address")).alias("number"), F.col("country_code").alias("country"))
 
 
