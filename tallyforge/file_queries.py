@@ -180,7 +180,7 @@ def robot_lists(spark, d):
 
 @query("SELECT 167772160 + user_id AS start, 167772160 + user_id AS \"end\", 'u' || (user_id % 9) AS country FROM (SELECT DISTINCT user_id FROM events)")
 def ip_range_files(spark, d):
-    ip = F.format_string("10.0.%d.%d", F.floor(F.col("user_id") / 256), F.col("user_id") % 256)
+    ip = A.address(F.lit(10 << 24) + F.col("user_id"))
     rows = A.table(spark, d, "events").select("user_id").distinct().select(ip.alias("first"), ip.alias("last"), F.concat(F.lit("u"), (F.col("user_id") % 9).cast("string")).alias("country"))
     path = scratch(spark, "ranges")
     rows.write.option("header", True).csv(path)
