@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import adapters as A
@@ -364,12 +364,17 @@ def orderings(spark, d):
     """Places of all rows in both orders."""
 
     def placed(df: DataFrame, kind: str, key: str) -> DataFrame:
-        # the parts of a sorted table follow each other: a row's place is its number in its part after the rows of the parts before
-        parts = df.select(F.lit(kind).alias("kind"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("id"))
-        parts = parts.withColumn("at", F.col("row").bitwiseAND((1 << 33) - 1))
-        sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-        before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-        return parts.join(F.broadcast(before), "part").select("kind", (F.col("before") + F.col("at") + 1).alias("place"), "id")
+        # the parts of a sorted table follow each other: a row's place is its number in its part after the rows of the parts before.
+        # They are written once, as a sort that runs again samples anew and may cut its parts elsewhere
+        parts = df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), F.col(key).cast("string").alias("id"))
+        path = file_queries.scratch(spark, kind)
+        parts.write.parquet(path)
+        written = spark.read.schema(parts.schema).parquet(path)
+        sizes = dict(written.groupBy("part").count().collect())
+        starts = dict(zip(sorted(sizes), accumulate((sizes[p] for p in sorted(sizes)), initial=0)))
+        before = spark.createDataFrame([*starts.items()], "part int, before long")
+        place = F.col("before") + F.col("row").bitwiseAND((1 << 33) - 1) + 1
+        return written.join(F.broadcast(before), "part").select(F.lit(kind).alias("kind"), place.alias("place"), "id")
 
     newest = filters.newest_first(A.table(spark, d, "orders"), "o_orderdate", "o_orderkey")
     named = filters.by_name(A.table(spark, d, "customer"), "c_mktsegment", "c_custkey")
