@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .literals import containing
+from .literals import first_contained
 from .store import first_per_key
 
 
@@ -38,17 +38,13 @@ def file_translator(files: DataFrame, directories: DataFrame) -> DataFrame:
     """``files`` with ``translator``: of the directories of the collection that the path contains, the first configured that
     has a translator. A file without one gets null.
 
-    The directories are a settings table and are read to the driver; each distinct path is tried once against all of them
-    by one automaton, and meets the rows of the directories that it contains.
+    The first row of each directory of a collection is read to the driver, as they are a settings table; each distinct path is
+    tried once against all of them by one automaton, which keeps the first row that counts.
     """
-    d = directories.where("coalesce(translator, '') <> ''").select("collection", F.col("directory").alias("__dir"), F.col("position").alias("__position"), "translator")
-    names = {r[0] for r in d.select("__dir").where("__dir is not null").distinct().collect()}
-    found = containing(files.select("path").distinct(), [(x, i) for i, x in enumerate(sorted(names))])
-    numbered = files.sparkSession.createDataFrame(list(enumerate(sorted(names))), "id long, __dir string")
-    rows = d.join(F.broadcast(numbered), "__dir")
-    hits = files.select("collection", "path").distinct().join(found.withColumnRenamed("text", "path"), "path").join(rows, ["collection", "id"])
-    first = first_per_key(hits, ["collection", "path"], ["__position", "__dir"]).select("collection", "path", "translator")
-    return files.join(first, ["collection", "path"], "left")
+    d = directories.where("coalesce(translator, '') <> ''").select("collection", "directory", "position", "translator").where("collection is not null and directory is not null")
+    first = first_per_key(d, ["collection", "directory"], ["position"]).orderBy("position", "directory").select("collection", "directory", "translator").collect()
+    found = first_contained(files.select("collection", "path").distinct(), [tuple(r) for r in first]).withColumnRenamed("value", "translator")
+    return files.join(found, ["collection", "path"], "left")
 
 
 def url_item(urls: DataFrame, rules: DataFrame, registry: dict[str, str] | None = None) -> DataFrame:

@@ -50,6 +50,46 @@ def containing(texts: DataFrame, literals: Iterable[tuple[str, int]], fold: bool
     return texts.where(F.col(name).isNotNull()).mapInArrow(run, "text string, id long")
 
 
+def first_contained(texts: DataFrame, literals: list[tuple[str, str, str]]) -> DataFrame:
+    """``texts`` (two string columns: group and text) with ``value`` of the first of ``literals`` of the row's group that the
+    text contains; rows without one are left out.
+
+    ``literals``: (group, literal, value) in their order, a settings table that fits a broadcast. The hits of a text are
+    weighed where they are found, so one row leaves the task however many there are.
+    """
+    by: dict[str, dict[str, int]] = {}
+    for place, (group, literal, _) in enumerate(literals):
+        by.setdefault(literal, {}).setdefault(group, place)
+    shared = texts.sparkSession.sparkContext.broadcast((by, [value for _, _, value in literals]))
+
+    def run(batches):
+        import ahocorasick
+
+        by, values = shared.value
+        always = by.get("", {})
+        automaton = ahocorasick.Automaton()
+        for literal, places in by.items():
+            if literal:
+                automaton.add_word(literal, places)
+        automaton.make_automaton()
+        none = len(values)
+        for batch in batches:
+            rows, found = [], []
+            for i, (group, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                first = always.get(group, none)
+                if len(automaton):
+                    first = min([first, *(places.get(group, none) for _, places in automaton.iter(text))])
+                if first < none:
+                    rows.append(i)
+                    found.append(values[first])
+            some = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some), pa.array(found, pa.string())], names=[*names, "value"])
+
+    names = texts.columns
+    both = F.col(names[0]).isNotNull() & F.col(names[1]).isNotNull()
+    return texts.where(both).mapInArrow(run, f"`{names[0]}` string, `{names[1]}` string, value string")
+
+
 #: What ends a literal run of a pattern; and how a group without flags or a look around begins.
 SPECIAL = set("\\^$.|?*+()[]{}")
 GROUP = re.compile(r"\((?:\?:|\?<[A-Za-z][A-Za-z0-9]*>)?(?!\?)")

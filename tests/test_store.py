@@ -182,6 +182,17 @@ def test_the_literal_of_a_pattern_with_groups(pattern, literal):
     assert literals.required_literal(pattern) == literal
 
 
+def test_a_path_leaves_its_task_once(spark):
+    """However many rows name a directory, the first that has a translator counts, and only one row a directory is read."""
+    found = literals.first_contained(spark.createDataFrame([("x", "/a/b"), ("y", "/a/b"), ("x", "/"), (None, "/a"), ("x", None)], "g string, t string"), [("x", "b", "1"), ("x", "/a", "2"), ("y", "/a", "3"), ("x", "/a", "4"), ("y", "b", "5")])
+    assert sorted(map(tuple, found.collect())) == [("x", "/a/b", "1"), ("y", "/a/b", "3")]
+    assert literals.first_contained(spark.createDataFrame([("x", "t")], "g string, t string"), [("x", "", "1")]).first().value == "1"
+    rows = spark.range(5000).selectExpr("'x' collection", "concat('/d', id % 3) directory", "int(-id) position", "if(id > 4990, '', concat('t', id)) translator")
+    files = spark.createDataFrame([("x", "/d1/f"), ("x", "/d0/d2")], "collection string, path string")
+    out = joins.file_translator(files, rows)
+    assert {r.path: r.translator for r in out.collect()} == {"/d1/f": "t4990", "/d0/d2": "t4989"}
+
+
 @pytest.mark.parametrize("most", [0, 100_000])
 def test_patterns_stay_on_the_cluster(spark, monkeypatch, most):
     """No pattern reaches the driver, and patterns of one form each meet the agents of their own literal only."""
