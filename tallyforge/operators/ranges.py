@@ -1,9 +1,9 @@
-"""Points and the narrowest range that holds each: one sorted run of both, with the open ranges carried along."""
+"""Points and the narrowest range that holds each: ranges are flattened into a line of pieces, and points are swept along it."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,35 +14,92 @@ from .ordered import cell_of, sampled_bounds
 
 #: Parts of the key order, and parts that the points of each are dealt into, so that a part with a third of them is split.
 CELLS, SPREAD = 64, 8
+#: Where a piece begins in relation to its key, and a point between them.
+AT, POINT, BEHIND = 0, 1, 2
+ROWS = 1 << 14
+
+
+def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges by cell and start; gives where, in each cell, another value begins to hold: (cell, key, side, value or null).
+
+    ``open_`` holds (rank, until, value) of the open ranges that may still count, by rank and thereby by end as well: a range
+    that ends no later than one of a better rank never counts. So those that have ended come first, and the first is best.
+    """
+    at, open_, now, held, out = None, [], None, None, []
+
+    def begins(key, side):
+        """The best open range holds from here; of several changes at one place the last counts."""
+        nonlocal held
+        if held and held[:2] != (key, side):
+            close()
+        held = (key, side, open_[0][2] if open_ else None)
+
+    def close():
+        nonlocal now, held
+        if held and held[2] != now:
+            out.append((at, *held))
+            now = held[2]
+        held = None
+
+    def end(before=None):
+        while open_ and (before is None or open_[0][1] < before):
+            key = open_.pop(0)[1]
+            begins(key, BEHIND)
+
+    def batch():
+        rows = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int32(), pa.string()))], names=["cell", "key", "side", "value"])
+        out.clear()
+        return rows
+
+    for some in batches:
+        for cell, key, until, rank, value in zip(*(some.column(c).to_pylist() for c in ("cell", "key", "until", "rank", "value"))):
+            if cell != at:
+                end()
+                close()
+                at, now = cell, None
+            end(key)
+            i = bisect_left(open_, (rank,))
+            if i and open_[i - 1][1] >= until:
+                continue
+            j = i
+            while j < len(open_) and open_[j][1] <= until:
+                j += 1
+            open_[i:j] = [(rank, until, value)]
+            if i == 0:
+                begins(key, AT)
+            if len(out) >= ROWS:
+                yield batch()
+    end()
+    close()
+    if out:
+        yield batch()
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by cell, part, key, ranges first. Ranges wait in a heap, narrowest on top, and leave it when they have ended."""
-    at, waiting = None, []
+    """Rows by cell, part, key and side; a point gets the value of the piece that began last."""
+    at, now = None, None
     for batch in batches:
         points, values = [], []
-        columns = (batch.column(c).to_pylist() for c in ("cell", "part", "key", "until", "rank", "value", "point"))
-        for cell, part, key, until, rank, value, point in zip(*columns):
+        for cell, part, side, value, point in zip(*(batch.column(c).to_pylist() for c in ("cell", "part", "side", "value", "point"))):
             if (cell, part) != at:
-                at, waiting = (cell, part), []
-            if until is not None:
-                heappush(waiting, (rank, until, value))
-                continue
-            while waiting and waiting[0][1] < key:
-                heappop(waiting)
-            if waiting:
+                at, now = (cell, part), None
+            if side != POINT:
+                now = value
+            elif now is not None:
                 points.append(point)
-                values.append(waiting[0][2])
+                values.append(now)
         yield pa.RecordBatch.from_arrays([pa.array(points, pa.string()), pa.array(values, pa.string())], ["point", "value"])
 
 
 def narrowest_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(point, value) of the range with the least ``rank`` that holds a point; points without one are left out.
+    """(point, value) of the range with the least ``rank`` that holds a point; points without one, or with one whose value is
+    null, are left out.
 
     ``points``: point and its key; ``ranges``: start, until (keys, both inside), rank and value, all text; of equal ranks the
     values must be equal. Bounds sampled from the ranges cut the keys into cells. A range goes to the cells of its two ends; of
     the ranges that hold a cell as a whole only the best one matters there, found by one aggregate, so no range is ever cut
-    into blocks, however wide it is. ``points`` are read once.
+    into blocks, however wide it is. Each cell's ranges become a line of pieces of one value, and only these meet the points,
+    which are read once. A task holds the open ranges that may still count, none of which ends before a narrower one.
     """
     ends = ranges.select(F.explode(F.array("start", "until")).alias("key"))
     bounds = [r.key for r in sampled_bounds(ends, {"key": "asc"}, CELLS)]
@@ -51,17 +108,17 @@ def narrowest_ranges(points: DataFrame, ranges: DataFrame) -> DataFrame:
         return cell_of(bounds, lambda b: F.col(c) < b)
 
     placed = ranges.withColumns({"first": cell("start"), "last": cell("until")})
-    partly = placed.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("cell"), F.col("start").alias("key"), "until", "rank", "value")
-    lines = partly
+    lines = placed.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("cell"), F.col("start").alias("key"), "until", "rank", "value")
     if inner := range(1, len(bounds)):
         best = [F.min(F.when((F.col("first") < c) & (F.col("last") > c), F.struct("rank", "value"))) for c in inner]
-        whole = placed.agg(F.array(*best).alias("best")).select(F.posexplode("best").alias("at", "b")).where("b is not null")
+        whole = placed.where("last > first + 1").agg(F.array(*best).alias("best")).select(F.posexplode("best").alias("at", "b")).where("b is not null")
         # such a range is open before the cell's first key and after its last one
         lines = lines.union(whole.select(F.col("at") + inner[0], F.lit(""), F.lit("~"), "b.rank", "b.value"))
-    lines = lines.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).withColumn("point", F.lit(None).cast("string"))
-    none = [F.lit(None).cast("string").alias(c) for c in ("until", "rank", "value")]
-    asked = points.where("key is not null").select(cell("key").alias("cell"), "key", *none, F.pmod(F.xxhash64("point"), F.lit(SPREAD)).cast("int").alias("part"), "point")
-    run = lines.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "key", F.desc(F.isnotnull("until")))
+    pieces = lines.repartition("cell").sortWithinPartitions("cell", "key", "until", "rank").mapInArrow(_flatten, "cell int, key string, side int, value string")
+    pieces = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).withColumn("point", F.lit(None).cast("string"))
+    part = F.pmod(F.xxhash64("point"), F.lit(SPREAD)).cast("int").alias("part")
+    asked = points.where("key is not null").select(cell("key").alias("cell"), "key", F.lit(POINT).alias("side"), F.lit(None).cast("string").alias("value"), part, "point")
+    run = pieces.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "key", "side")
     return run.mapInArrow(_sweep, "point string, value string")
 
 

@@ -920,9 +920,8 @@ def overlapping_ranges(spark, d):
     v4 = v4.union(spark.createDataFrame([(0, (1 << 32) - 1, "W")], v4.schema))
     v6 = spark.createDataFrame([("::", "ffff:ffff:ffff:ffff:ffff:ffff:ffff:ffff", "W"), ("fe80::", "fe80::ffff", "X")], "start string, end string, country string")
     n = F.lit(first) + F.col("c_custkey") * 3
-    octets = F.concat_ws(".", *[(F.shiftright(n, s) % 256).cast("string") for s in (24, 16, 8, 0)])
     customers = A.table(spark, d, "customer")
-    rows = customers.select("c_custkey", octets.alias("ip_address")).union(customers.select(-F.col("c_custkey"), F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("c_custkey") % 65536)))))
+    rows = customers.select("c_custkey", A.address(n).alias("ip_address")).union(customers.select(-F.col("c_custkey"), F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("c_custkey") % 65536)))))
     return ranges.ip_country(rows, v4, ranges_v6=v6).select("c_custkey", F.col("country_code").alias("country"))
 
 

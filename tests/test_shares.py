@@ -137,3 +137,39 @@ def test_searches_are_those_of_the_scan(spark, tmp_path):
     for query in ("cat", "THE CAT SAT", "ção 🎉🎉🎉", "🎉🎉🎉", "ca", "", "zzz", "catzzz", "tag", "i̇st", "atenate", "xxxcat"):
         assert sorted(map(str, index.search(df, query).collect())) == sorted(map(str, filters.search(df, query, ["t", "l"]).collect())), query
     assert index.candidates("ca") is None and index.candidates("concat").count() == 1
+
+
+def test_a_line_of_pieces_is_that_of_every_point():
+    """Random ranges of random ranks, one after the other, equal brute force; what can no longer count is not held."""
+    import random
+
+    import pyarrow as pa
+
+    some = random.Random(5)
+    for n in (0, 1, 3, 40, 300):
+        rows = [(c, f"{a:03d}", f"{min(a + some.randrange(some.choice((2, 30, 200))), 99):03d}", f"{some.randrange(1000):04d}") for c in (1, 2) for a in (some.randrange(100) for _ in range(n))]
+        rows = sorted((*r, r[3][-1] if r[3] > "0100" else None) for r in rows)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7])], names=["cell", "key", "until", "rank", "value"]) for i in range(0, len(rows), 7)]
+        pieces = [tuple(r.values()) for b in ranges._flatten(iter(batches)) for r in b.to_pylist()]
+        assert pieces == sorted(pieces, key=lambda r: r[:3])
+        for c in (1, 2):
+            for k in (f"{x:03d}" for x in range(100)):
+                holding = min(((r[3], r[4]) for r in rows if r[0] == c and r[1] <= k <= r[2]), default=(None, None), key=lambda r: r[0])
+                assert next((p[3] for p in reversed(pieces) if p[0] == c and p[1:3] < (k, ranges.POINT)), None) == holding[1]
+
+
+def test_ranges_that_cannot_count_are_not_held():
+    """A hundred thousand ranges that all end at one place, each narrower than the one before: few bytes, whatever their number."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(n):
+        for i in range(0, n, 1000):
+            keys = [f"{k:08d}" for k in range(i, i + 1000)]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * 1000), pa.array(keys), pa.array(["09999999"] * 1000), pa.array([f"{10**8 - int(k):09d}" for k in keys]), pa.array(["v"] * 1000)], names=["cell", "key", "until", "rank", "value"])
+
+    tracemalloc.start()
+    assert [r["value"] for b in ranges._flatten(batches(100_000)) for r in b.to_pylist()] == ["v", None]
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
