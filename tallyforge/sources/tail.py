@@ -2,7 +2,8 @@
 
 The offset of a batch is a byte position for each file, always behind a line end; what follows the last line end waits
 until its line is complete. So a query that stops inside a file goes on there, whatever was added meanwhile. Long additions
-are cut into ranges of BYTES, one task each; a line belongs to the range in which it begins.
+are cut into ranges of BYTES; a line belongs to the range in which it begins. A task reads one range, or a run of them where a
+batch has more than TASKS and they are short, so that many small files do not become as many tasks.
 
 A file that has become shorter is a new one under the old name and is read from its beginning. Compressed files cannot be
 continued: ``ingest.stream_logs`` reads those as a whole. An offset holds every file of the folder, so very many finished
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -21,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 NAME = "tailed_lines"
-#: Of a task's range; and of a block that is searched for a line end.
+#: Of a range; and of a block that is searched for a line end.
 BYTES, BLOCK = 64 << 20, 1 << 16
+#: Of a batch whose ranges are short; and files that the driver looks into at once.
+TASKS, LOOKS = 64, 16
 
 
 def line_end(file, start: int, end: int) -> int:
@@ -49,6 +54,26 @@ class Range(InputPartition):
     bytes_each: int = BLOCK
 
 
+@dataclass
+class Run(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    parts: list[Range]
+
+
+def runs_of(parts: list[Range], most: int = BYTES) -> list[Run]:
+    """``parts`` in their order, in at most TASKS runs of about equal length; in more, of about ``most`` bytes, if they are long."""
+    each = min(max(1, sum(p.end - p.start for p in parts) // TASKS), most)
+    out, size = [], each
+    for part in parts:
+        if size >= each:
+            out.append(Run([]))
+            size = 0
+        out[-1].parts.append(part)
+        size += part.end - part.start
+    return out
+
+
 def ranges_of(path: str, start: int, end: int, each: int) -> list[Range]:
     return [Range(path, at, min(at + each, end), at == start) for at in range(start, end, each)]
 
@@ -91,34 +116,40 @@ class TailReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         system, root = self._system()
-        out = {}
-        for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
-            if f.is_file and f.path.endswith(self.suffix):
-                before = self.known.get(f.path, 0)
-                before = before if before <= f.size else 0
-                with system.open_input_file(f.path) as file:
-                    out[f.path] = line_end(file, before, f.size)
-        self.known = out
-        return out
-
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+        found = [f for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)) if f.is_file and f.path.endswith(self.suffix)]
+
+        def end(f: fs.FileInfo) -> int:
+            before = self.known.get(f.path, 0)
+            before = before if before <= f.size else 0
+            if before == f.size:
+                return before
+            with system.open_input_file(f.path) as file:
+                return line_end(file, before, f.size)
+
+        with ThreadPoolExecutor(LOOKS) as looks:
+            self.known = dict(zip([f.path for f in found], looks.map(end, found)))
+        return self.known
+
+    def partitions(self, start: dict, end: dict) -> list[Run]:
         out = []
         for path, until in sorted(end.items()):
             begin = start.get(path, 0)
             out += ranges_of(path, begin if begin <= until else 0, until, self.each)
-        return out
+        return runs_of(out)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, run: Run) -> Iterator[pa.RecordBatch]:
         system, _ = self._system()
-        with system.open_input_file(part.path) as file:
-            rows = []
-            for at, line in lines_of(file, part):
-                rows.append((line.decode("utf-8", "replace"), part.path, at))
-                if len(rows) == 4096:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+        rows = []
+        for path, parts in groupby(run.parts, key=lambda part: part.path):
+            with system.open_input_file(path) as file:
+                for part in parts:
+                    for at, line in lines_of(file, part):
+                        rows.append((line.decode("utf-8", "replace"), path, at))
+                        if len(rows) == 4096:
+                            yield _batch(rows)
+                            rows = []
+        if rows:
+            yield _batch(rows)
 
     def commit(self, end: dict) -> None:
         pass

@@ -93,6 +93,20 @@ def test_ranges_of_a_file_give_each_line_once(tmp_path, each):
             assert all(text[p:].startswith(x) for p, x in found)
 
 
+def test_short_ranges_share_tasks(tmp_path):
+    """A thousand small files are some tasks, a long one is cut; every range is in one run and in its order."""
+    ends = {f"f{i:04d}": 40 for i in range(1000)}
+    reader = tail.TailReader({"path": str(tmp_path), "bytes": "10"})
+    runs = reader.partitions({}, ends)
+    assert len(runs) <= tail.TASKS + 1 and sum(len(r.parts) for r in runs) == 4000
+    assert [p for r in runs for p in r.parts] == [p for f in ends for p in tail.ranges_of(f, 0, 40, 10)]
+    assert len(tail.runs_of(tail.ranges_of("f", 0, 100 * tail.BYTES, tail.BYTES))) == 100 and tail.runs_of([]) == []
+    for i in range(3):
+        (tmp_path / f"{i}.log").write_bytes(b"a\nb\n" * 20)
+    got = [x for run in reader.partitions({}, reader.latestOffset()) for b in reader.read(run) for x in b.column("value").to_pylist()]
+    assert got == ["a", "b"] * 60
+
+
 def test_lines_added_to_known_files_come_once(spark, tmp_path):
     src, out, check = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "check")
     src.mkdir()
