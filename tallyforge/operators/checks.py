@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import standardize as S
+from . import joins
 
 UNDEFINED = "undefined"
 PIDS = ("pid_v2", "pid_v3", "pid_generic")
@@ -40,44 +41,42 @@ def _given(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
-def check_access(df: DataFrame, known: DataFrame | None = None, journals: DataFrame | None = None) -> DataFrame:
+def check_access(df: DataFrame, known: DataFrame | None = None, journals: DataFrame | None = None, flags: dict[str, str] | None = None) -> DataFrame:
     """``df`` with is_valid, code and message; the first failing check decides.
 
     Required: issn, a defined format and content type, one identifier. With ``known`` (pid) and ``journals`` (issn), both
-    distinct, the codes must occur there as well.
+    distinct, the codes must occur there as well; ``flags`` names columns that say whether a code was found (``{"issn": "issn_known"}``).
+    Each row is moved once for each code. Where many rows have the same codes, ``check_distinct`` moves fewer.
     """
     required = _given("issn") & _given("media_format") & (F.col("media_format") != UNDEFINED) & _given("content_type") & (F.col("content_type") != UNDEFINED)
     required = required & (_given("pid_v2") | _given("pid_v3") | _given("pid_generic"))
-    code, message = F.when(~required, "missing_fields"), F.when(~required, "Required fields are missing.")
     columns = df.columns
-    if journals is not None:
-        df = df.join(journals.select(F.col("issn").alias("__issn")), F.col("issn") == F.col("__issn"), "left")
-        bad = F.col("__issn").isNull()
-        code, message = code.when(bad, "invalid_issn"), message.when(bad, F.concat(F.lit("Unknown issn: "), "issn"))
-    if known is not None:
-        # absent identifiers are most rows: they get keys that match nothing, so that they do not meet in one task
-        spread = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if kind in ("string", "bigint", "timestamp_ntz")]), F.lit(4096))
-        nothing = F.concat(F.lit("\x00"), spread.cast("string"))
-        for pid in PIDS:
-            found = f"__{pid}"
-            df = df.join(known.select(F.col("pid").alias(found)), F.when(_given(pid), F.col(pid)).otherwise(nothing) == F.col(found), "left")
-            bad = _given(pid) & F.col(found).isNull()
-            code, message = code.when(bad, f"invalid_{pid}"), message.when(bad, F.concat(F.lit(f"Unknown {pid}: "), pid))
+    # what the codes are needed for is worked out before and after each join, so that columns that nobody asks for are not moved on
+    df = df.withColumns({"__required": required, "__spread": F.pmod(joins.hash_of(df), F.lit(1 << 16))})
+    code, message = F.when(~F.col("__required"), "missing_fields"), F.when(~F.col("__required"), "Required fields are missing.")
+    looked_up = ([("issn", journals, "issn")] if journals is not None else []) + ([(pid, known, "pid") for pid in PIDS] if known is not None else [])
+    for c, codes, its in looked_up:
+        found, bad = f"__{c}", f"__bad_{c}"
+        df = joins.flag_known(df, F.when(_given(c), F.col(c)), codes, its, found, F.col("__spread")).withColumn(bad, _given(c) & ~F.col(found))
+        code, message = code.when(F.col(bad), f"invalid_{c}"), message.when(F.col(bad), F.concat(F.lit(f"Unknown {c}: "), c))
     code = code.otherwise("valid")
-    return df.select(*columns, (code == "valid").alias("is_valid"), code.alias("code"), message.otherwise("Valid.").alias("message"))
+    found = [F.col(f"__{c}").alias(name) for c, name in (flags or {}).items()]
+    return df.select(*columns, (code == "valid").alias("is_valid"), code.alias("code"), message.otherwise("Valid.").alias("message"), *found)
 
 
-def check_distinct(df: DataFrame, known: DataFrame | None = None, journals: DataFrame | None = None) -> DataFrame:
-    """``check_access`` made once for each set of codes and formats: rows are moved in one join, whatever is looked up."""
+def check_distinct(df: DataFrame, known: DataFrame | None = None, journals: DataFrame | None = None, flags: dict[str, str] | None = None) -> DataFrame:
+    """``check_access`` made once for each set of codes and formats: rows are moved in one join, whatever is looked up. For
+    rows that share few sets; where nearly every row has its own, this only adds to the rows that move."""
     codes = ["issn", *PIDS, "media_format", "content_type"]
-    found = check_access(df.select(*codes).distinct(), known, journals)
+    found = check_access(df.select(*codes).distinct(), known, journals, flags)
     key = F.xxhash64(*[F.coalesce(c, F.lit("\x00")) for c in codes])
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in codes]
-    right = found.select(key.alias("__key"), *[F.col(c).alias(f"__{c}") for c in codes], "is_valid", "code", "message")
+    made = ["is_valid", "code", "message", *(flags or {}).values()]
+    right = found.select(key.alias("__key"), *[F.col(c).alias(f"__{c}") for c in codes], *made)
     on = F.col("__own") == F.col("__key")
     for s in same:
         on = on & s
-    return df.withColumn("__own", key).join(right, on, "left").select(*df.columns, "is_valid", "code", "message")
+    return df.withColumn("__own", key).join(right, on, "left").select(*df.columns, *made)
 
 
 def error_type(code: Column) -> Column:

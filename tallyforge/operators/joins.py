@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .literals import first_contained
 from .store import first_per_key
 
 
-def flag_known(df: DataFrame, col: str, known: DataFrame, known_col: str, name: str) -> DataFrame:
-    """``df`` with ``name``: whether ``col`` occurs in the distinct ``known_col``."""
+def hash_of(df: DataFrame) -> Column:
+    """A hash of the texts, numbers and times of a row."""
+    return F.xxhash64(*[c for c, kind in df.dtypes if kind in ("string", "bigint", "timestamp_ntz")])
+
+
+def flag_known(df: DataFrame, col: str | Column, known: DataFrame, known_col: str, name: str, spread: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: whether ``col`` occurs in the distinct ``known_col``; a null does not.
+
+    Texts meet by their hash, then by themselves: codes of one kind share their first letters, which makes them slow to sort.
+    Nulls get hashes by ``spread`` (by the other columns without it), so that they do not meet in one task.
+    """
+    df = df.withColumn("__code", F.col(col) if isinstance(col, str) else col)
     right = known.select(F.col(known_col).alias("__known"))
-    return df.join(right, F.col(col) == F.col("__known"), "left").withColumn(name, F.col("__known").isNotNull()).drop("__known")
+    on = F.col("__code") == F.col("__known")
+    if df.schema["__code"].dataType == right.schema["__known"].dataType == T.StringType():
+        df = df.withColumn("__hash", F.when(F.col("__code").isNull(), hash_of(df) if spread is None else spread).otherwise(F.xxhash64("__code")))
+        right = right.withColumn("__its_hash", F.xxhash64("__known"))
+        on = (F.col("__hash") == F.col("__its_hash")) & on
+    return df.join(right, on, "left").withColumn(name, F.col("__known").isNotNull()).drop("__code", "__hash", "__known", "__its_hash")
 
 
 def article_journal(articles: DataFrame, journals: DataFrame, codes: str = "codes", rule: str = "last") -> DataFrame:

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import checks, metrics
+from tallyforge.operators import checks, joins, metrics
 from tallyforge.operators.metrics import Rules
 
 BASE = dict(client_name="c", client_version="1", ip_address="10.0.0.1", collection="aaa", issn="1234-5678", pid_v2="p", pid_v3="", pid_generic="", media_language="en", media_format="html", content_type="full_text", country_code="BR")
@@ -97,6 +97,55 @@ def test_catalogue_codes(spark):
     assert sorted(r.error_type for r in letters) == ["ART", "JOU"]
 
 
+def test_codes_found_are_flagged(spark):
+    """By both checks as by the single lookup; codes that are not given are not found."""
+    df = hits(spark, (0, {}), (1, {"issn": "x"}), (2, {"pid_v2": "q"}), (3, {"pid_v2": "", "pid_generic": "g"}), (4, {"issn": None, "pid_v2": None}))
+    known = checks.known_pids(spark.createDataFrame([("p", "", "g")], "pid_v2 string, pid_v3 string, pid_generic string"))
+    issns = checks.known_issns(spark.createDataFrame([(["1234-5678", ""],)], "issns array<string>"))
+    flags = {"issn": "issn_known", "pid_v2": "pid_known", "pid_generic": "generic_known"}
+    wanted = [(True, True, False), (False, True, False), (True, False, False), (True, False, True), (False, False, False)]
+    for check in (checks.check_access, checks.check_distinct):
+        assert [tuple(r) for r in check(df, known, issns, flags).orderBy("seq").select(*flags.values()).collect()] == wanted
+    alone = joins.flag_known(joins.flag_known(df, "issn", issns, "issn", "a"), "pid_v2", known, "pid", "b")
+    assert [(r.a, r.b) for r in alone.orderBy("seq").collect()] == [w[:2] for w in wanted]
+
+
+def test_numbers_are_flagged(spark):
+    out = joins.flag_known(spark.createDataFrame([(1,), (2,), (None,)], "n int"), "n", spark.createDataFrame([(2,), (3,)], "k long"), "k", "found")
+    assert {r.n: r.found for r in out.collect()} == {1: False, 2: True, None: False}
+
+
+def test_lines_are_moved_once_for_each_code(spark):
+    """Lines with codes of their own, looked up in a catalogue that is not sent to every task: three kinds of codes, three moves."""
+    from tallyforge import queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries.QUERIES["catalogue_lookups"](spark, "/root/testdata/sf0.001")
+        lines = df.count()
+        assert 0 < moved(df) < 3 * lines + 3 * 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def moved(df):
+    """Rows that the shuffles of ``df`` wrote."""
+    df.collect()
+    waiting, found = [df._jdf.queryExecution().executedPlan()], {}
+    while waiting:
+        node = waiting.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        elif name == "ShuffleExchangeExec":
+            found[node.id()] = node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return sum(found.values())
+
+
 def test_null_record_gives_null_fields(spark):
     df = spark.createDataFrame([(None,), ({"issn": "1"},)], "item struct<issn: string>")
     out = checks.item_access_data(df, F.lit("aaa"), {"en": "en"}, record="item").collect()
