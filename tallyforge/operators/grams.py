@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .filters import search, text_of
 
@@ -13,20 +19,51 @@ from .filters import search, text_of
 RAREST = 4
 
 
-def _pieces(text: Column) -> Column:
-    """Distinct runs of three code points, case ignored."""
-    # the letters are bound by a lambda, so that the text is split once and not for every piece
-    def runs(letters: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(letters) - 3), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1), F.get(letters, i + 2)))
-
-    def pieces(letters: Column) -> Column:
-        return F.when(F.size(letters) >= 3, F.array_distinct(runs(letters))).otherwise(F.array().cast("array<string>"))
-
-    return F.element_at(F.transform(F.array(F.split(F.lower(text), "")), pieces), 1)
+#: Letters that a task sorts at once; a longer text is cut into overlapping parts.
+LETTERS = 1 << 20
+
+
+def _runs(texts: Iterable[str], rows: Iterable[int]) -> Iterator[tuple[list[str], list[int]]]:
+    """Texts and their rows in runs of about ``LETTERS`` letters."""
+    held, at, n = [], [], 0
+    for text, row in zip(texts, rows):
+        for first in range(0, len(text) - 2, LETTERS):
+            held.append(text[first : first + LETTERS + 2])
+            at.append(row)
+            n += len(held[-1])
+            if n >= LETTERS:
+                yield held, at
+                held, at, n = [], [], 0
+    if held:
+        yield held, at
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of a run of texts by their runs of three code points."""
+    for batch in batches:
+        ids, texts = batch.columns
+        for held, at in _runs(texts.flatten().to_pylist(), pc.list_parent_indices(texts).to_pylist()):
+            letters = np.frombuffer("".join(held).encode("utf-32-le"), "<u4").astype(np.int64)
+            lengths = [len(text) for text in held]
+            text, row = np.repeat(np.arange(len(held)), lengths), np.repeat(at, lengths)
+            whole = text[2:] == text[:-2]
+            codes, row = (letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])[whole], row[:-2][whole]
+            order = np.argsort(codes, kind="stable")  # rows rise already
+            codes, row = codes[order], row[order]
+            other = np.append(True, codes[1:] != codes[:-1])
+            first = other | np.append(True, row[1:] != row[:-1])
+            starts = np.flatnonzero(other[first])
+            codes, row = codes[first], row[first]
+            own = codes[starts]
+            joined = np.stack([own >> 42, own >> 21 & 0x1FFFFF, own & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+            pieces = pa.array([joined[i : i + 3] for i in range(0, len(joined), 3)], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), ids.take(pa.array(row)))
+            yield pa.RecordBatch.from_arrays([pieces, lists], names=["piece", "ids"])
 
 
 class GramIndex:
-    """Lists of the ids of rows by the pieces of three letters in their ``fields``, as files sorted by piece under ``path``.
+    """Lists of the ids of rows by the pieces of three letters in their ``fields``, as files sorted by piece under ``path``; a
+    file has the lists of one task's rows.
 
     ``add`` indexes rows under the name of a load; the same name again replaces that load's rows, so a retry is safe. A search
     gives the rows of ``filters.search`` among those indexed, with equal ids all of them; a query below three letters reads every row.
@@ -37,11 +74,14 @@ class GramIndex:
 
     def add(self, rows: DataFrame, load: str) -> None:
         name = hashlib.sha256(load.encode()).hexdigest()[:16]
-        pieces = F.array_distinct(F.flatten(F.array(*[_pieces(F.coalesce(text_of(rows, c), F.lit(""))) for c in self.fields])))
-        lists = rows.select(F.explode(pieces).alias("piece"), F.col(self.key).alias("id")).repartitionByRange("piece", "id")
-        lists.sortWithinPartitions("piece", "id").write.mode("overwrite").parquet(f"{self.path}/lists/load={name}")
-        written = self.spark.read.schema(lists.schema).parquet(f"{self.path}/lists/load={name}")
-        written.groupBy("piece").agg(F.count("*").alias("n")).sort("piece").write.mode("overwrite").parquet(f"{self.path}/sizes/load={name}")
+        texts = F.array(*[F.coalesce(text_of(rows, c), F.lit("")) for c in self.fields])
+        # rows are dealt, not their many pieces: each task sorts the lists of its own rows
+        dealt = rows.select(F.col(self.key).alias("id"), texts.alias("texts")).repartition(F.xxhash64("id", "texts"))
+        schema = T.StructType([T.StructField("piece", T.StringType()), T.StructField("ids", T.ArrayType(rows.schema[self.key].dataType))])
+        lists = dealt.select("id", F.transform("texts", F.lower).alias("texts")).mapInArrow(_lists, schema)
+        lists.sortWithinPartitions("piece").write.mode("overwrite").parquet(f"{self.path}/lists/load={name}")
+        written = self.spark.read.schema(schema).parquet(f"{self.path}/lists/load={name}")
+        written.groupBy("piece").agg(F.sum(F.size("ids").cast("long")).alias("n")).sort("piece").write.mode("overwrite").parquet(f"{self.path}/sizes/load={name}")
 
     def candidates(self, query: str) -> DataFrame | None:
         """Ids whose texts hold the rarest pieces of ``query``; None for a query without a piece."""
@@ -53,7 +93,9 @@ class GramIndex:
         known = {r.piece: r.n for r in sizes}
         rarest = sorted(pieces, key=lambda p: known.get(p, 0))[:RAREST]
         lists = self.spark.read.parquet(f"{self.path}/lists").where(F.col("piece").isin(rarest))
-        return lists.groupBy("id").agg(F.count_distinct("piece").alias("n")).where(F.col("n") == len(rarest)).select("id")
+        which = reduce(lambda bits, i: F.when(F.col("piece") == rarest[i], 1 << i).otherwise(bits), range(len(rarest)), F.lit(0))
+        found = lists.select(which.alias("bit"), F.explode("ids").alias("id")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+        return found.where(F.col("bits") == (1 << len(rarest)) - 1).select("id")
 
     def search(self, df: DataFrame, query: str) -> DataFrame:
         found = self.candidates(query)

@@ -139,6 +139,39 @@ def test_searches_are_those_of_the_scan(spark, tmp_path):
     assert index.candidates("ca") is None and index.candidates("concat").count() == 1
 
 
+def test_lists_of_runs_are_those_of_every_text(monkeypatch):
+    """Odd and long texts, cut into runs and parts of every length, have the pieces of plain Python; ids of one run are rising."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [["".join(rng.choice("ab\U0001f389\u00e7\u0000") for _ in range(rng.choice([0, 1, 2, 3, 4, 9, 60]))) for _ in range(rng.choice([0, 1, 2, 3]))] for _ in range(200)]
+    ids = [{"a": i // 3, "b": None if i % 7 == 0 else str(i)} for i in range(len(texts))]
+    wanted = {(t[i : i + 3], str(key)) for key, several in zip(ids, texts) for t in several for i in range(len(t) - 2)}
+    for letters in (1, 2, 5, 64, 1 << 20):
+        monkeypatch.setattr(grams, "LETTERS", letters)
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 70]), pa.array(texts[i : i + 70], pa.list_(pa.string()))], names=["id", "texts"]) for i in range(0, 200, 70)]
+        rows = [r for b in grams._lists(iter(batches)) for r in b.to_pylist()]
+        assert {(r["piece"], str(key)) for r in rows for key in r["ids"]} == wanted, letters
+    assert all(len(r["ids"]) == len({str(key) for key in r["ids"]}) for r in rows)
+
+
+def test_pieces_are_not_moved_to_be_indexed(spark, tmp_path):
+    """A file of one row group is dealt to all tasks as rows; the index keeps far fewer rows than there are pieces of texts."""
+    at = str(tmp_path / "t")
+    texts = spark.range(4000).select("id", F.concat_ws(" ", *[F.sha2(F.concat("id", F.lit(i)).cast("string"), 512) for i in range(3)]).alias("t"))
+    texts.coalesce(1).write.parquet(at)
+    index = grams.GramIndex(spark, str(tmp_path / "i"), "id", ["t"])
+    index.add(spark.read.parquet(at), "all")
+    lists = spark.read.parquet(f"{index.path}/lists")
+    pieces = lists.selectExpr("sum(size(ids))").first()[0]
+    assert pieces > 1_000_000 and lists.count() * 20 < pieces
+    sizes = spark.read.parquet(f"{index.path}/sizes")
+    assert sizes.selectExpr("sum(n)").first()[0] == pieces and sizes.count() == lists.select("piece").distinct().count()
+    for part in lists.select(F.input_file_name()).distinct().collect():
+        own = [r.piece for r in spark.read.parquet(part[0]).select("piece").collect()]
+        assert own == sorted(own)
+
+
 def test_a_line_of_pieces_is_that_of_every_point():
     """Random ranges of random ranks, one after the other, equal brute force; what can no longer count is not held."""
     import random
